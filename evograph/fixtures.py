@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 V1_BEFORE = "1999-01-01"
 V2_FROM = "1997-01-01"
 NOW = "2001-08-01 00:00:00"
+LANGUAGES = ["Java", "Python", "Gleam", "Erlang", "Rust", "JavaScript"]
 
 # Fixed intents of the fixture (mirrors a demo run plus two structured limits).
 FIXTURE_INTENTS = [
     {"intent_id": 1, "kind": "text", "text": "avoid cyclic dependencies", "limit": None},
     {"intent_id": 2, "kind": "text", "text": "minimize changes and complexity increase", "limit": None},
-    {"intent_id": 3, "kind": "max-coupling", "text": "max coupling", "limit": 40},
+    {"intent_id": 3, "kind": "max-coupling", "text": "max coupling", "limit": 7},
     {"intent_id": 4, "kind": "max-inheritance", "text": "max depth", "limit": 3},
 ]
 
@@ -119,7 +120,8 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("owner"),
         k.cast("string").alias("repo"),
         F.col("o_totalprice").cast("bigint").alias("stars"),
-        F.col("o_orderpriority").alias("language"),
+        F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("o_custkey") % 6 + 1).cast("int"))
+         .alias("language"),
         status.alias("status"),
         F.when((F.col("o_orderstatus") == "O") & (k % 11 != 0), F.col("o_orderdate"))
          .cast("timestamp").alias("claimed_at"),

@@ -74,6 +74,8 @@ def coupling_anomalies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select(*G, "id", F.col("coupling_value").alias("coupling"),
                     F.round((F.col("coupling_value") - F.col("mean"))
                             / F.greatest(F.lit(0.1), F.col("std")), 2).alias("z_score"),
+                    ((F.col("coupling_value") - F.col("mean"))
+                     / F.greatest(F.lit(0.1), F.col("std"))).alias("z_raw"),
                     "mean", "std", thr.alias("threshold"), "implicit", "ord"))
 
 

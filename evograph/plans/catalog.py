@@ -215,7 +215,7 @@ def q_merge_static(spark, sf):
 @register("met_over_limit")
 def q_over_limit(spark, sf):
     nodes, _ = fx.dep_graph(spark, sf)
-    a = metrics.over_limit(nodes, "coupling", 40).select(
+    a = metrics.over_limit(nodes, "coupling", 7).select(
         "project", "version", "id", F.lit("coupling").alias("metric"),
         F.coalesce("coupling", F.lit(0)).alias("value"))
     b = metrics.over_limit(nodes, "inheritance_depth", 3).select(
@@ -229,3 +229,103 @@ def q_kpis(spark, sf):
     nodes, edges, tr = _g(spark, sf)
     return metrics.kpis(metrics.system_metrics(nodes), tr, cycles.cycle_changes(edges, tr)).select(
         "project", "v_old", "v_new", "total_loc", "total_classes", "avg_coupling", "new_cycles")
+
+
+# ------------------------------------------------------------------ INT
+
+from evograph.operators import intents as it  # noqa: E402
+from evograph.plans import evolution  # noqa: E402
+
+INTENTS = fx.FIXTURE_INTENTS
+
+
+def _judged(spark, sf, resolve=True):
+    nodes, edges, tr = _g(spark, sf)
+    s = diff.diff_summary(nodes, edges, tr, cycles.cycle_changes(edges, tr))
+    return it.intent_status(it.intent_violations(s, INTENTS, resolve=resolve))
+
+
+def _judged_cols(df):
+    return df.select(*diff.T, F.size("violations").cast("bigint").alias("n_violations"),
+                     F.array_join("violations", " | ").alias("violations"),
+                     F.size("conflicts").cast("bigint").alias("n_conflicts"), "intent_status")
+
+
+@register("int_intent_violations")
+def q_intent_violations(spark, sf):
+    return _judged_cols(_judged(spark, sf, resolve=False))
+
+
+@register("int_limit_violations")
+def q_limit_violations(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    return it.limit_violations(nodes, tr, INTENTS)
+
+
+@register("int_resolve_conflicts")
+def q_resolve_conflicts(spark, sf):
+    return _judged_cols(_judged(spark, sf, resolve=True))
+
+
+@register("int_report_lines")
+def q_report_lines(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    p = evolution.evolution_parts(nodes, edges, tr, INTENTS)
+    return it.report_lines(p["judged"], p["hubs"], p["anomalies"])
+
+
+@register("int_intent_status")
+def q_intent_status(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    j = _judged(spark, sf)
+    lim = it.limit_violations(nodes, tr, INTENTS)
+    return it.dashboard_status(j, lim, INTENTS).select(*diff.T, "intent_status", "conformance")
+
+
+@register("int_benchmark_status")
+def q_benchmark_status(spark, sf):
+    from evograph.operators import stats
+    nodes, edges, tr = _g(spark, sf)
+    cmp_ = stats.evolution_comparison(nodes, edges, tr)
+    a = it.benchmark_status(cmp_, "a").withColumnRenamed("status", "status_a")
+    b = it.benchmark_status(a, "b").withColumnRenamed("status", "status_b")
+    return b.select(*diff.T, "status_a", "status_b")
+
+
+@register("int_analysis_prompt")
+def q_analysis_prompt(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    return it.analysis_prompt(nodes, edges, tr, INTENTS)
+
+
+@register("int_report_from_payload")
+def q_report_from_payload(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    s = diff.diff_summary(nodes, edges, tr, cycles.cycle_changes(edges, tr))
+    payload = s.select("project", F.to_json(F.struct(F.struct(
+        F.col("v_old").alias("version_old"), F.col("v_new").alias("version_new"),
+        F.col("added_nodes").alias("addedNodes"), F.col("removed_nodes").alias("removedNodes"),
+        F.col("added_edges").alias("addedEdges"), F.col("removed_edges").alias("removedEdges"),
+        F.col("new_cycles").alias("newCycles"), F.col("broken_cycles").alias("brokenCycles"))
+        .alias("diff"))).alias("payload"))
+    ps = it.payload_summary(payload)
+    j = it.intent_status(it.intent_violations(ps, intents_col="intents"))
+    return _judged_cols(j)
+
+
+@register("int_language_terms")
+def q_language_terms(spark, sf):
+    inv = fx.inventory(spark, sf).select("owner", "repo", "language")
+    return it.language_terms(inv)
+
+
+@register("int_evolution_analysis")
+def q_evolution(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    return evolution.evolution_analysis(nodes, edges, tr, INTENTS)
+
+
+@register("int_evolution_analysis_for")
+def q_evolution_for(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    return evolution.evolution_analysis_for(nodes, edges, tr, "3-MEDIUM", intents=INTENTS).drop("report")
