@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 V1_BEFORE = "1999-01-01"
 V2_FROM = "1997-01-01"
 NOW = "2001-08-01 00:00:00"
+FILE_EXTENSIONS = [".py", ".js", ".html", ".css", ".toml", ".sh", ".ttl", ".txt", ".java", ".gleam",
+                   ".erl", ".rs"]
 LANGUAGES = ["Java", "Python", "Gleam", "Erlang", "Rust", "JavaScript"]
 
 # Fixed intents of the fixture (mirrors a demo run plus two structured limits).
@@ -168,10 +170,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("source").alias("project"),
         F.lit("v1").alias("version"),
-        F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.concat(F.when(F.col("doc_id") % 10 == 3, F.lit("build/")).otherwise(F.lit("")),
+                 "lang", F.lit("/"), F.col("doc_id").cast("string"),
+                 F.element_at(F.array(*[F.lit(x) for x in FILE_EXTENSIONS]),
+                              (F.col("doc_id") % len(FILE_EXTENSIONS) + 1).cast("int"))).alias("path"),
         F.col("lang").alias("language"),
         F.col("text").alias("content"),
-        F.col("n_chars").alias("n_bytes"),
+        F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.col("doc_id"))
 
 

@@ -329,3 +329,63 @@ def q_evolution(spark, sf):
 def q_evolution_for(spark, sf):
     nodes, edges, tr = _g(spark, sf)
     return evolution.evolution_analysis_for(nodes, edges, tr, "3-MEDIUM", intents=INTENTS).drop("report")
+
+
+# ------------------------------------------------------------------ VAL
+
+from evograph.operators import quality  # noqa: E402
+
+
+@register("val_class_metric_violations")
+def q_val_class(spark, sf):
+    nodes, _ = fx.dep_graph(spark, sf)
+    return quality.class_metric_violations(nodes)
+
+
+@register("val_edge_endpoint_violations")
+def q_val_edges(spark, sf):
+    return quality.edge_endpoint_violations(*fx.dep_graph(spark, sf)).select(
+        "project", "version", "source", "target", "type", "property")
+
+
+@register("val_entity_types")
+def q_val_entity_types(spark, sf):
+    nodes, _ = fx.dep_graph(spark, sf)
+    return quality.entity_types(nodes).select("project", "version", "id", "type", "entity_class",
+                                              "is_software_entity")
+
+
+@register("val_inferred_entities")
+def q_val_inferred(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    return quality.inferred_entities(graph.all_nodes(nodes, edges)).select(
+        "project", "version", "id", "is_entity")
+
+
+@register("val_conformance_flags")
+def q_val_conformance(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    return quality.conformance_flags(nodes, edges, edges)
+
+
+@register("val_schema_violations")
+def q_val_schema(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    versions = metrics.system_metrics(nodes).withColumn("language", F.lit("Java"))
+    return (quality.schema_violations(versions, nodes, edges)
+            .groupBy("project", "version", "scope", "rule").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("val_license_audit")
+def q_val_license(spark, sf):
+    return quality.license_audit(fx.files(spark, sf))
+
+
+@register("val_license_missing")
+def q_val_license_missing(spark, sf):
+    return quality.license_missing(fx.files(spark, sf))
+
+
+@register("val_unique_key_check")
+def q_val_unique(spark, sf):
+    return quality.unique_key_check(fx.discovered(spark, sf))

@@ -480,3 +480,109 @@ SELECT owner, repo, language,
        CASE language WHEN 'Java' THEN 'edges' WHEN 'Python' THEN 'dependencies' ELSE 'imports' END AS dep_term,
        language NOT IN ('Java', 'Python') AS is_fallback
 FROM inventory"""
+
+
+# ------------------------------------------------------------------ VAL
+_MSG = {
+    "loc": "Every ClassEntity must have a Lines of Code (loc) metric specified as an integer.",
+    "complexity": "Every ClassEntity must have a cyclomatic complexity metric specified as an integer.",
+    "inheritanceDepth": "Every ClassEntity must have an inheritance depth metric specified as an integer.",
+}
+
+Q["val_class_metric_violations"] = w(FIX) + " UNION ALL ".join(
+    f"SELECT project, version, id, '{k}' AS property, '{m}' AS message FROM dep_nodes "
+    f"WHERE type = 'class' AND {c} IS NULL"
+    for k, m, c in [("loc", _MSG["loc"], "loc"), ("complexity", _MSG["complexity"], "complexity"),
+                    ("inheritanceDepth", _MSG["inheritanceDepth"], "inheritance_depth")])
+
+_ENT = """
+ent AS (SELECT DISTINCT project, version, id FROM dep_nodes
+        WHERE type IN ('class', 'interface', 'module', 'package', 'file', 'function')
+           OR loc IS NOT NULL OR complexity IS NOT NULL),
+depe AS (SELECT * FROM dep_edges
+         WHERE type IN ('calls', 'inherits', 'inheritance', 'imports', 'implements', 'aggregates', 'depends_on')),
+endpoint_viol AS (
+  SELECT project, version, source, target, type, 'source' AS property FROM depe e
+  WHERE NOT EXISTS (SELECT 1 FROM ent n WHERE n.project = e.project AND n.version = e.version AND n.id = e.source)
+  UNION ALL
+  SELECT project, version, source, target, type, 'target' FROM depe e
+  WHERE NOT EXISTS (SELECT 1 FROM ent n WHERE n.project = e.project AND n.version = e.version AND n.id = e.target))
+"""
+
+Q["val_edge_endpoint_violations"] = w(FIX, _ENT) + "SELECT * FROM endpoint_viol"
+
+Q["val_entity_types"] = w(FIX) + """
+SELECT project, version, id, type,
+       CASE type WHEN 'class' THEN 'ClassEntity' WHEN 'interface' THEN 'InterfaceEntity'
+                 WHEN 'module' THEN 'ModuleEntity' WHEN 'package' THEN 'ModuleEntity'
+                 WHEN 'file' THEN 'ModuleEntity' WHEN 'function' THEN 'FunctionEntity' END AS entity_class,
+       type IN ('class', 'interface', 'module', 'package', 'file', 'function') AS is_software_entity
+FROM dep_nodes"""
+
+Q["val_inferred_entities"] = w(FIX) + """
+SELECT project, version, id,
+       coalesce(type IN ('class', 'interface', 'module', 'package', 'file', 'function'), false)
+       OR loc IS NOT NULL OR complexity IS NOT NULL AS is_entity
+FROM all_nodes"""
+
+Q["val_conformance_flags"] = w(FIX, _ENT) + """
+, res AS (
+  SELECT project, version FROM dep_nodes WHERE type = 'class' AND loc IS NULL
+  UNION ALL SELECT project, version FROM dep_nodes WHERE type = 'class' AND complexity IS NULL
+  UNION ALL SELECT project, version FROM dep_nodes WHERE type = 'class' AND inheritance_depth IS NULL
+  UNION ALL SELECT project, version FROM endpoint_viol)
+SELECT g.project, g.version, CAST(coalesce(r.n, 0) AS BIGINT) AS n_results, coalesce(r.n, 0) = 0 AS conforms
+FROM (SELECT DISTINCT project, version FROM dep_edges) g
+LEFT JOIN (SELECT project, version, count(*) AS n FROM res GROUP BY ALL) r USING (project, version)"""
+
+Q["val_schema_violations"] = w(FIX) + """
+SELECT project, version, scope, rule, count(*) AS n FROM (
+  SELECT project, version, 'edge' AS scope, 'enum:type' AS rule FROM dep_edges
+  WHERE type NOT IN ('calls', 'inherits', 'imports', 'implements', 'aggregates', 'depends_on')
+  UNION ALL
+  SELECT project, version, 'node', 'enum:type' FROM dep_nodes
+  WHERE type NOT IN ('class', 'interface', 'module', 'package', 'file', 'function')
+  UNION ALL
+  SELECT project, version, 'node', 'required:name' FROM dep_nodes WHERE name IS NULL)
+GROUP BY ALL"""
+
+FILES_FIX = """
+files AS (
+  SELECT source AS project, 'v1' AS version,
+         CASE WHEN doc_id % 10 = 3 THEN 'build/' ELSE '' END || lang || '/' || doc_id ||
+         (['.py', '.js', '.html', '.css', '.toml', '.sh', '.ttl', '.txt', '.java', '.gleam', '.erl', '.rs'])
+           [doc_id % 12 + 1] AS path,
+         lang AS language, text AS content, CAST(strlen(text) AS BIGINT) AS n_bytes, doc_id
+  FROM documents)
+"""
+
+_LIC = """
+lic AS (
+  SELECT project, version, path,
+         NOT (contains(content, 'Copyright') OR contains(content, 'Apache') OR contains(content, 'License'))
+           AND n_bytes > 100 AS missing
+  FROM files
+  WHERE (path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.html' OR path LIKE '%.css'
+         OR path LIKE '%.toml' OR path LIKE '%.sh' OR path LIKE '%.ttl')
+    AND NOT (contains(regexp_extract(path, '^(.*)/[^/]*$', 1), '.git')
+          OR contains(regexp_extract(path, '^(.*)/[^/]*$', 1), '.github')
+          OR contains(regexp_extract(path, '^(.*)/[^/]*$', 1), 'dist')
+          OR contains(regexp_extract(path, '^(.*)/[^/]*$', 1), 'build')
+          OR contains(regexp_extract(path, '^(.*)/[^/]*$', 1), 'node_modules')
+          OR contains(regexp_extract(path, '^(.*)/[^/]*$', 1), '.tempmediaStorage')))
+"""
+
+Q["val_license_audit"] = w(FILES_FIX, _LIC) + """
+SELECT project, version, count(*) AS audited, count_if(missing) AS missing, count_if(missing) = 0 AS ok
+FROM lic GROUP BY ALL"""
+
+Q["val_license_missing"] = w(FILES_FIX, _LIC) + "SELECT project, version, path FROM lic WHERE missing"
+
+DISC_FIX = """
+discovered AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS owner, c_mktsegment AS repo, CAST(c_acctbal AS BIGINT) AS stars,
+         'Java' AS language, c_custkey AS seq FROM customer)
+"""
+
+Q["val_unique_key_check"] = w(DISC_FIX) + \
+    "SELECT owner, repo, count(*) AS n FROM discovered GROUP BY ALL HAVING count(*) > 1"
