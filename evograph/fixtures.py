@@ -55,8 +55,8 @@ def dep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
           .where(F.col("target").isNotNull()))
     # one scan feeds both versions: a row goes to v1, v2 or both
     vers = F.filter(
-        F.array(F.when(F.col("d") < F.lit(V1_BEFORE).cast("timestamp"), F.lit("v1")),
-                F.when(F.col("d") >= F.lit(V2_FROM).cast("timestamp"), F.lit("v2"))),
+        F.array(F.when(F.col("d") < F.lit(V1_BEFORE).cast("timestamp_ntz"), F.lit("v1")),
+                F.when(F.col("d") >= F.lit(V2_FROM).cast("timestamp_ntz"), F.lit("v2"))),
         lambda v: v.isNotNull())
     e = e0.select("project", F.explode(vers).alias("version"), "source", "target")
     return e.select(
@@ -112,31 +112,57 @@ def dep_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repository queue from ``orders`` (owner = customer, repo = order)."""
+    """Repository queue from ``orders`` (owner = customer, repo = order).
+
+    The graph transition of a row is (``o_orderpriority``, v1, v2); the
+    extraction ran from the order date to the last ship date of its lines.
+    """
     o = table(spark, sf_dir, "orders")
+    last_ship = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+                 .agg(F.max("l_shipdate").alias("last_ship")))
     k = F.col("o_orderkey")
     status = (F.when(F.col("o_orderstatus") == "P", "pending")
                .when(F.col("o_orderstatus") == "O", "processing")
                .when(F.col("o_orderstatus") == "F", "crawled"))
-    return o.select(
+    return o.join(last_ship, o.o_orderkey == last_ship.l_orderkey, "left").select(
         F.col("o_custkey").cast("string").alias("owner"),
         k.cast("string").alias("repo"),
         F.col("o_totalprice").cast("bigint").alias("stars"),
         F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("o_custkey") % 6 + 1).cast("int"))
          .alias("language"),
+        F.lit("v1").alias("tag1"), F.lit("v2").alias("tag2"),
         status.alias("status"),
-        F.when((F.col("o_orderstatus") == "O") & (k % 11 != 0), F.col("o_orderdate"))
-         .cast("timestamp").alias("claimed_at"),
+        F.when((F.col("o_orderstatus") == "O") & (k % 11 != 0), F.col("o_orderdate")).alias("claimed_at"),
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("w"), (k % 4).cast("string")))
          .alias("worker_id"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
-         .cast("timestamp").alias("processed_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("processed_at"),
+        F.col("o_orderdate").alias("extraction_start_at"),
+        F.col("last_ship").alias("extraction_end_at"),
         F.when(k % 3 == 0, F.lit(None).cast("bigint"))
          .otherwise((k % 1000).cast("bigint")).alias("loc_v1"),
         k.alias("repo_key"),
+        F.col("o_orderpriority").alias("graph_project"),
     )
 
 
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker heartbeats: one per line of an order, at its ship date."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderkey").cast("string").alias("repo"),
+        F.col("l_shipdate").alias("ts"))
+
+
+def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished work: every processing row ends crawled, or failed when it has no LOC."""
+    inv = inventory(spark, sf_dir).where(F.col("status") == "processing")
+    return inv.select("owner", "repo",
+                      F.when(F.col("loc_v1").isNull(), "failed").otherwise("crawled").alias("status"),
+                      F.when(F.col("loc_v1").isNull(), F.lit("Validation failed")).alias("error_msg"),
+                      F.col("extraction_end_at").alias("ts"), "worker_id")
+
+
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status log from ``events``: repo = user, to_status = event type."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
@@ -150,18 +176,25 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.concat(F.lit("error "), F.col("event_id").cast("string")))
          .alias("error_msg"),
         F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("worker_id"),
-        "event_id")
+        "event_id", F.col("user_id").alias("repo_key"))
 
 
 def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results from ``customer``: many rows per (owner, repo)."""
+    """Search results: customers (many rows per (owner, repo)) plus a re-discovery of every
+    crawled repository with its current star count; ``seq`` is the discovery order."""
     c = table(spark, sf_dir, "customer")
-    return c.select(
+    fresh = c.select(
         F.col("c_nationkey").cast("string").alias("owner"),
         F.col("c_mktsegment").alias("repo"),
         F.col("c_acctbal").cast("bigint").alias("stars"),
         F.lit("Java").alias("language"),
         F.col("c_custkey").alias("seq"))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    again = o.select(
+        F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderkey").cast("string").alias("repo"),
+        (F.col("o_totalprice") * 2).cast("bigint").alias("stars"), F.lit("Java").alias("language"),
+        (F.col("o_orderkey") + 1000000000).alias("seq"))
+    return fresh.unionByName(again)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,3 +389,152 @@ def q_val_license_missing(spark, sf):
 @register("val_unique_key_check")
 def q_val_unique(spark, sf):
     return quality.unique_key_check(fx.discovered(spark, sf))
+
+
+# ------------------------------------------------------------------ INV
+
+from evograph.operators import inventory as inv  # noqa: E402
+
+NOW = fx.NOW
+
+
+def _batch(spark, sf):
+    return inv.assign_workers(inv.next_batch(fx.inventory(spark, sf), 50, NOW), 4)
+
+
+def _claims(spark, sf):
+    b = _batch(spark, sf)
+    return b.select("owner", "repo", F.concat(F.lit("worker-"), F.col("worker_no").cast("string")).alias("worker_id"))
+
+
+@register("inv_upsert_discovered")
+def q_upsert(spark, sf):
+    return inv.upsert_discovered(fx.inventory(spark, sf), fx.discovered(spark, sf)).select(
+        "owner", "repo", "stars", "language", "status")
+
+
+@register("inv_star_ranges")
+def q_star_ranges(spark, sf):
+    return inv.assign_range(fx.discovered(spark, sf), 0).select(
+        "owner", "repo", "seq", "stars", "range_idx", "low", "high")
+
+
+@register("inv_next_batch")
+def q_next_batch(spark, sf):
+    return inv.next_batch(fx.inventory(spark, sf), 50, NOW).select("owner", "repo", "stars", "status")
+
+
+@register("inv_assign_workers")
+def q_assign_workers(spark, sf):
+    return _batch(spark, sf).select("owner", "repo", "worker_no")
+
+
+@register("inv_apply_claims")
+def q_apply_claims(spark, sf):
+    new, _ = inv.apply_claims(fx.inventory(spark, sf), _claims(spark, sf), NOW)
+    return new.select("owner", "repo", "status", "claimed_at", "worker_id")
+
+
+@register("inv_claim_history")
+def q_claim_history(spark, sf):
+    _, hist = inv.apply_claims(fx.inventory(spark, sf), _claims(spark, sf), NOW)
+    return hist
+
+
+@register("inv_apply_status")
+def q_apply_status(spark, sf):
+    new, _ = inv.apply_status(fx.inventory(spark, sf), fx.status_updates(spark, sf))
+    return new.select("owner", "repo", "status", "error_msg", "processed_at")
+
+
+@register("inv_status_history")
+def q_status_history(spark, sf):
+    _, hist = inv.apply_status(fx.inventory(spark, sf), fx.status_updates(spark, sf))
+    return hist
+
+
+@register("inv_apply_heartbeats")
+def q_heartbeats(spark, sf):
+    return inv.apply_heartbeats(fx.inventory(spark, sf), fx.heartbeats(spark, sf)).select(
+        "owner", "repo", "status", "claimed_at")
+
+
+@register("inv_requeue_stale")
+def q_requeue(spark, sf):
+    new, _ = inv.requeue_stale(fx.inventory(spark, sf), NOW)
+    return new.select("owner", "repo", "status", "worker_id", "claimed_at")
+
+
+@register("inv_stale_history")
+def q_requeue_hist(spark, sf):
+    _, hist = inv.requeue_stale(fx.inventory(spark, sf), NOW)
+    return hist
+
+
+@register("inv_current_status")
+def q_current_status(spark, sf):
+    return inv.current_status(fx.status_events(spark, sf))
+
+
+@register("inv_align_schema")
+def q_align_schema(spark, sf):
+    legacy = fx.inventory(spark, sf).select("owner", "repo", "stars", "status")
+    return inv.align_schema(legacy)
+
+
+@register("inv_status_counts")
+def q_status_counts(spark, sf):
+    return inv.status_counts(fx.inventory(spark, sf))
+
+
+@register("inv_recent_transitions")
+def q_recent(spark, sf):
+    return inv.recent_transitions(fx.status_events(spark, sf), fx.inventory(spark, sf), 10)
+
+
+@register("inv_missing_metrics")
+def q_missing(spark, sf):
+    return inv.missing_metrics(fx.inventory(spark, sf)).select("owner", "repo")
+
+
+def per_transition_metrics(nodes, edges, tr, intents=INTENTS):
+    """Derived queue columns for every transition (INV-14 input)."""
+    p = evolution.evolution_parts(nodes, edges, tr, intents)
+    sm = metrics.system_metrics(nodes)
+    conf = quality.conformance_flags(nodes, edges, edges).select("project", "version", "conforms")
+    per = sm.join(conf, ["project", "version"], "left")
+    tagged = graph.tag_sides(per, tr)
+
+    def side(c, s):
+        return F.max(F.when(F.col("side") == s, F.col(c)))
+
+    sizes = tagged.groupBy(*diff.T).agg(
+        side("total_loc", 1).alias("loc_v1"), side("total_loc", 2).alias("loc_v2"),
+        side("total_classes", 1).alias("classes_v1"), side("total_classes", 2).alias("classes_v2"),
+        side("avg_coupling", 1).alias("coupling_v1"), side("avg_coupling", 2).alias("coupling_v2"),
+        side("conforms", 1).alias("conforms_v1"), side("conforms", 2).alias("conforms_v2"))
+    strings = inv.hub_and_anomaly_strings(p["hubs"], p["anomalies"], tr)
+    return (p["judged"].drop("violations", "conflicts").join(sizes, diff.T).join(strings, diff.T))
+
+
+@register("inv_backfill_metrics")
+def q_backfill(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    queue = inv.align_schema(fx.inventory(spark, sf))
+    out = inv.backfill_metrics(queue, per_transition_metrics(nodes, edges, tr))
+    return out.select("owner", "repo", "status", "loc_v1", "loc_v2", "classes_v1", "classes_v2",
+                      _r6("coupling_v1"), _r6("coupling_v2"), "conforms_v1", "conforms_v2", "added_nodes",
+                      "removed_nodes", "added_edges", "removed_edges", "new_cycles", "broken_cycles",
+                      "intent_status", "top_hubs", "coupling_anomalies")
+
+
+@register("inv_hub_and_anomaly_strings")
+def q_hub_strings(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    p = evolution.evolution_parts(nodes, edges, tr, INTENTS)
+    return inv.hub_and_anomaly_strings(p["hubs"], p["anomalies"], tr)
+
+
+@register("inv_extraction_duration")
+def q_duration(spark, sf):
+    return inv.extraction_duration(fx.inventory(spark, sf)).select("owner", "repo", "extraction_seconds")

@@ -460,15 +460,18 @@ Q["int_report_from_payload"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY,
 INV_FIX = """
 inventory AS (
   SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS repo,
-         CAST(o_totalprice AS BIGINT) AS stars,
+         CAST(trunc(o_totalprice) AS BIGINT) AS stars,
          (['Java', 'Python', 'Gleam', 'Erlang', 'Rust', 'JavaScript'])[o_custkey % 6 + 1] AS language,
+         'v1' AS tag1, 'v2' AS tag2,
          CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'processing' WHEN 'F' THEN 'crawled' END AS status,
          CASE WHEN o_orderstatus = 'O' AND o_orderkey % 11 <> 0 THEN o_orderdate END AS claimed_at,
          CASE WHEN o_orderstatus = 'O' THEN 'w' || (o_orderkey % 4) END AS worker_id,
          CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS processed_at,
+         o_orderdate AS extraction_start_at, ls.last_ship AS extraction_end_at,
          CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 1000 END AS loc_v1,
-         o_orderkey AS repo_key
-  FROM orders)
+         o_orderkey AS repo_key, o_orderpriority AS graph_project
+  FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) ls
+    ON o_orderkey = ls.l_orderkey)
 """
 
 Q["int_language_terms"] = w(INV_FIX) + """
@@ -580,9 +583,212 @@ Q["val_license_missing"] = w(FILES_FIX, _LIC) + "SELECT project, version, path F
 
 DISC_FIX = """
 discovered AS (
-  SELECT CAST(c_nationkey AS VARCHAR) AS owner, c_mktsegment AS repo, CAST(c_acctbal AS BIGINT) AS stars,
-         'Java' AS language, c_custkey AS seq FROM customer)
+  SELECT CAST(c_nationkey AS VARCHAR) AS owner, c_mktsegment AS repo, CAST(trunc(c_acctbal) AS BIGINT) AS stars,
+         'Java' AS language, c_custkey AS seq FROM customer
+  UNION ALL
+  SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CAST(trunc(o_totalprice * 2) AS BIGINT), 'Java',
+         o_orderkey + 1000000000 FROM orders WHERE o_orderstatus = 'F')
 """
 
 Q["val_unique_key_check"] = w(DISC_FIX) + \
     "SELECT owner, repo, count(*) AS n FROM discovered GROUP BY ALL HAVING count(*) > 1"
+
+
+# ------------------------------------------------------------------ INV
+NOW_SQL = "TIMESTAMP '2001-08-01 00:00:00'"
+CUTOFF = f"({NOW_SQL} - INTERVAL 30 MINUTE)"
+
+
+def _star_values(min_stars: int) -> str:
+    steps = [50, 50, 100, 100, 200, 200, 300, 500, 1000, 2000, 5000, 10000, 30000]
+    rows, cur = [], min_stars
+    for i, st in enumerate(steps):
+        rows.append(f"({i}, {cur}, {cur + st})")
+        cur += st + 1
+    rows.append(f"({len(steps)}, {cur}, NULL)")
+    return "ranges(range_idx, low, high) AS (SELECT * FROM (VALUES " + ", ".join(rows) + "))"
+
+
+_BATCH = f"""
+batch AS (
+  SELECT owner, repo, stars, status, row_number() OVER (ORDER BY stars DESC NULLS LAST, owner, repo) AS rk
+  FROM inventory WHERE status = 'pending' OR (status = 'processing' AND claimed_at < {CUTOFF})
+  ORDER BY stars DESC NULLS LAST, owner, repo LIMIT 50),
+claims AS (SELECT owner, repo, 'worker-' || ((rk - 1) % 4) AS worker_id FROM batch)
+"""
+
+Q["inv_upsert_discovered"] = w(INV_FIX, DISC_FIX) + """
+, last AS (SELECT owner, repo, arg_max(stars, seq) AS d_stars, arg_max(language, seq) AS d_language
+           FROM discovered GROUP BY ALL)
+SELECT coalesce(i.owner, l.owner) AS owner, coalesce(i.repo, l.repo) AS repo,
+       coalesce(l.d_stars, i.stars) AS stars, coalesce(l.d_language, i.language) AS language,
+       CASE WHEN i.owner IS NULL THEN 'pending' ELSE i.status END AS status
+FROM inventory i FULL JOIN last l ON i.owner = l.owner AND i.repo = l.repo"""
+
+Q["inv_star_ranges"] = w(DISC_FIX, _star_values(0)) + """
+SELECT d.owner, d.repo, d.seq, d.stars, r.range_idx, r.low, r.high FROM discovered d
+LEFT JOIN ranges r ON d.stars >= r.low AND (r.high IS NULL OR d.stars <= r.high)"""
+
+Q["inv_next_batch"] = w(INV_FIX, _BATCH) + "SELECT owner, repo, stars, status FROM batch"
+Q["inv_assign_workers"] = w(INV_FIX, _BATCH) + \
+    "SELECT owner, repo, CAST((rk - 1) % 4 AS INTEGER) AS worker_no FROM batch"
+
+Q["inv_apply_claims"] = w(INV_FIX, _BATCH) + f"""
+SELECT i.owner, i.repo, CASE WHEN c.owner IS NOT NULL THEN 'processing' ELSE i.status END AS status,
+       CASE WHEN c.owner IS NOT NULL THEN {NOW_SQL} ELSE i.claimed_at END AS claimed_at,
+       CASE WHEN c.owner IS NOT NULL THEN c.worker_id ELSE i.worker_id END AS worker_id
+FROM inventory i LEFT JOIN claims c ON i.owner = c.owner AND i.repo = c.repo"""
+
+Q["inv_claim_history"] = w(INV_FIX, _BATCH) + f"""
+SELECT i.owner, i.repo, i.status AS from_status, 'processing' AS to_status, {NOW_SQL} AS transitioned_at,
+       CAST(NULL AS VARCHAR) AS error_msg, c.worker_id
+FROM inventory i JOIN claims c ON i.owner = c.owner AND i.repo = c.repo"""
+
+_UPD = """
+upd AS (SELECT owner, repo, CASE WHEN loc_v1 IS NULL THEN 'failed' ELSE 'crawled' END AS u_status,
+               CASE WHEN loc_v1 IS NULL THEN 'Validation failed' END AS u_error,
+               extraction_end_at AS u_ts, worker_id AS u_worker
+        FROM inventory WHERE status = 'processing')
+"""
+
+Q["inv_apply_status"] = w(INV_FIX, _UPD) + """
+SELECT i.owner, i.repo, CASE WHEN u.owner IS NOT NULL THEN u.u_status ELSE i.status END AS status,
+       CASE WHEN u.owner IS NOT NULL THEN u.u_error ELSE NULL END AS error_msg,
+       CASE WHEN u.owner IS NOT NULL THEN u.u_ts ELSE i.processed_at END AS processed_at
+FROM inventory i LEFT JOIN upd u ON i.owner = u.owner AND i.repo = u.repo"""
+
+Q["inv_status_history"] = w(INV_FIX, _UPD) + """
+SELECT i.owner, i.repo, i.status AS from_status, u.u_status AS to_status, u.u_ts AS transitioned_at,
+       u.u_error AS error_msg, u.u_worker AS worker_id
+FROM inventory i JOIN upd u ON i.owner = u.owner AND i.repo = u.repo"""
+
+Q["inv_apply_heartbeats"] = w(INV_FIX) + """
+, beats AS (SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS repo,
+                   max(l_shipdate) AS beat
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT i.owner, i.repo, i.status,
+       CASE WHEN i.status = 'processing' AND b.beat IS NOT NULL THEN b.beat ELSE i.claimed_at END AS claimed_at
+FROM inventory i LEFT JOIN beats b ON i.owner = b.owner AND i.repo = b.repo"""
+
+_STALE = f"coalesce(status = 'processing' AND claimed_at < {CUTOFF}, false)"
+
+Q["inv_requeue_stale"] = w(INV_FIX) + f"""
+SELECT owner, repo, CASE WHEN {_STALE} THEN 'pending' ELSE status END AS status,
+       CASE WHEN {_STALE} THEN NULL ELSE worker_id END AS worker_id,
+       CASE WHEN {_STALE} THEN NULL ELSE claimed_at END AS claimed_at
+FROM inventory"""
+
+Q["inv_stale_history"] = w(INV_FIX) + f"""
+SELECT owner, repo, 'processing' AS from_status, 'pending' AS to_status, {NOW_SQL} AS transitioned_at,
+       'stale reclaim' AS error_msg, CAST(NULL AS VARCHAR) AS worker_id
+FROM inventory WHERE {_STALE}"""
+
+EVENTS_FIX = """
+status_events AS (
+  SELECT 'o' AS owner, CAST(user_id AS VARCHAR) AS repo,
+         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status,
+         event_type AS to_status, ts AS transitioned_at,
+         CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error_msg,
+         'w' || (user_id % 4) AS worker_id, event_id, user_id AS repo_key
+  FROM events)
+"""
+
+Q["inv_current_status"] = w(EVENTS_FIX) + """
+SELECT owner, repo, to_status AS status, since FROM (
+  SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY transitioned_at DESC, event_id DESC) AS rn,
+         max(transitioned_at) OVER (PARTITION BY owner, repo) AS since
+  FROM status_events) WHERE rn = 1"""
+
+
+def _align_sql() -> str:
+    from evograph.operators.inventory import INVENTORY_SCHEMA
+    tmap = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP"}
+    have = {"owner", "repo", "stars", "status"}
+    cols = []
+    for f in INVENTORY_SCHEMA.fields:
+        t = tmap[f.dataType.simpleString()]
+        if f.name in have:
+            cols.append(f"CAST({f.name} AS {t}) AS {f.name}")
+        elif f.name == "language":
+            cols.append(f"CAST('java' AS {t}) AS language")
+        else:
+            cols.append(f"CAST(NULL AS {t}) AS {f.name}")
+    return "SELECT " + ", ".join(cols) + " FROM inventory"
+
+
+Q["inv_align_schema"] = w(INV_FIX) + _align_sql()
+Q["inv_status_counts"] = w(INV_FIX) + "SELECT status, count(*) AS n FROM inventory GROUP BY ALL"
+
+Q["inv_recent_transitions"] = w(INV_FIX, EVENTS_FIX) + """
+SELECT i.owner, i.repo, e.from_status, e.to_status, e.transitioned_at, e.error_msg
+FROM status_events e JOIN inventory i ON e.repo_key = i.repo_key
+ORDER BY e.transitioned_at DESC, e.event_id DESC LIMIT 10"""
+
+Q["inv_missing_metrics"] = w(INV_FIX) + \
+    "SELECT owner, repo FROM inventory WHERE status = 'crawled' AND loc_v1 IS NULL"
+
+_STRINGS = """
+hub_str AS (SELECT h.project, string_agg(CAST(h.id AS VARCHAR), ', ' ORDER BY h.rank) AS top_hubs
+            FROM hubs h JOIN transitions t ON h.project = t.project AND h.version = t.v_new GROUP BY 1),
+anom_str AS (SELECT a.project, string_agg(a.id || ' (coupling: ' || a.coupling || ', z-score: '
+                                           || CAST(a.z_score AS VARCHAR) || ')', ', ' ORDER BY a.implicit, a.ord)
+                                AS coupling_anomalies
+             FROM anom a JOIN transitions t ON a.project = t.project AND a.version = t.v_new GROUP BY 1),
+strings AS (SELECT t.project, t.v_old, t.v_new, coalesce(h.top_hubs, '') AS top_hubs,
+                   coalesce(a.coupling_anomalies, '') AS coupling_anomalies
+            FROM transitions t LEFT JOIN hub_str h ON h.project = t.project
+            LEFT JOIN anom_str a ON a.project = t.project)
+"""
+
+Q["inv_hub_and_anomaly_strings"] = w(FIX, HUBS, ANOM, _STRINGS) + "SELECT * FROM strings"
+
+Q["inv_extraction_duration"] = w(INV_FIX) + """
+SELECT owner, repo, date_diff('second', extraction_start_at, extraction_end_at) AS extraction_seconds
+FROM inventory"""
+
+_CONF = """
+cres AS (
+  SELECT project, version FROM dep_nodes WHERE type = 'class' AND inheritance_depth IS NULL
+  UNION ALL SELECT project, version FROM endpoint_viol),
+conf AS (SELECT g.project, g.version, coalesce(r.n, 0) = 0 AS conforms
+         FROM (SELECT DISTINCT project, version FROM dep_edges) g
+         LEFT JOIN (SELECT project, version, count(*) AS n FROM cres GROUP BY ALL) r USING (project, version)),
+pt AS (
+  SELECT j.project, j.v_old, j.v_new, a.total_loc AS loc_v1, b.total_loc AS loc_v2,
+         a.total_classes AS classes_v1, b.total_classes AS classes_v2,
+         a.avg_coupling AS coupling_v1, b.avg_coupling AS coupling_v2,
+         ca.conforms AS conforms_v1, cb.conforms AS conforms_v2,
+         j.added_nodes, j.removed_nodes, j.added_edges, j.removed_edges, j.new_cycles, j.broken_cycles,
+         j.intent_status, s.top_hubs, s.coupling_anomalies
+  FROM judged j
+  JOIN sysm a ON a.project = j.project AND a.version = j.v_old
+  JOIN sysm b ON b.project = j.project AND b.version = j.v_new
+  JOIN conf ca ON ca.project = j.project AND ca.version = j.v_old
+  JOIN conf cb ON cb.project = j.project AND cb.version = j.v_new
+  JOIN strings s ON s.project = j.project)
+"""
+
+_BF_COLS = ["loc_v1", "loc_v2", "classes_v1", "classes_v2", "coupling_v1", "coupling_v2", "conforms_v1",
+            "conforms_v2", "added_nodes", "removed_nodes", "added_edges", "removed_edges", "new_cycles",
+            "broken_cycles", "intent_status", "top_hubs", "coupling_anomalies"]
+
+
+def _bf_select() -> str:
+    todo = "(i.status = 'crawled' AND i.loc_v1 IS NULL AND p.project IS NOT NULL)"
+    out = []
+    for c in _BF_COLS:
+        src = "i.loc_v1" if c == "loc_v1" else "NULL"
+        expr = f"CASE WHEN {todo} THEN p.{c} ELSE {src} END"
+        if c.startswith("coupling_v"):
+            expr = f"round({expr}, 6)"
+        if c == "loc_v1":
+            expr = f"CAST({expr} AS BIGINT)"
+        out.append(f"{expr} AS {c}")
+    return ("SELECT i.owner, i.repo, i.status, " + ", ".join(out) +
+            " FROM inventory i LEFT JOIN pt p ON p.project = i.graph_project AND p.v_old = i.tag1 "
+            "AND p.v_new = i.tag2")
+
+
+Q["inv_backfill_metrics"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _judged(True), HUBS, ANOM, _STRINGS,
+                              _ENT, _CONF, INV_FIX) + _bf_select()
