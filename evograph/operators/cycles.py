@@ -84,12 +84,23 @@ def enumerate_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
                       .where((F.col("x") > F.col("r")) & ~F.array_contains("mid", F.col("x"))
                              & (F.col("x") != F.col("y")))
                       .select(*G, "r", "x", F.concat(F.array("y"), "mid").alias("mid")))
-        for length in range(2, max_len + 1):
-            a, b = math.ceil(length / 2), length - math.ceil(length / 2)
-            closed = (fwd[a].join(bwd[b], [*G, "r", "x"])
-                      .where(~F.arrays_overlap("path", "mid"))
-                      .select(*G, F.concat("path", "mid").alias("cycle")))
-            out.append(closed)
+        # one closing join for all lengths: a cycle of length L pairs a forward
+        # path of a = ceil(L/2) edges with a backward path of b = L - a edges,
+        # so only (a == b) or (a == b + 1) combinations are kept
+        fa = None
+        for a, df in fwd.items():
+            d = df.withColumn("a", F.lit(a))
+            fa = d if fa is None else fa.unionByName(d)
+        bb = None
+        for b, df in bwd.items():
+            d = df.withColumn("b", F.lit(b))
+            bb = d if bb is None else bb.unionByName(d)
+        closed = (fa.join(bb, [*G, "r", "x"])
+                  .where(((F.col("a") == F.col("b")) | (F.col("a") == F.col("b") + 1))
+                         & (F.col("a") + F.col("b") <= max_len)
+                         & ~F.arrays_overlap("path", "mid"))
+                  .select(*G, F.concat("path", "mid").alias("cycle")))
+        out.append(closed)
     res = out[0]
     for d in out[1:]:
         res = res.unionByName(d)

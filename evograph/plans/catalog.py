@@ -538,3 +538,38 @@ def q_hub_strings(spark, sf):
 @register("inv_extraction_duration")
 def q_duration(spark, sf):
     return inv.extraction_duration(fx.inventory(spark, sf)).select("owner", "repo", "extraction_seconds")
+
+
+# ------------------------------------------------------------------ STA
+
+from evograph.operators import stats  # noqa: E402
+
+
+@register("sta_project_summary")
+def q_sta_summary(spark, sf):
+    return stats.project_summary(*fx.dep_graph(spark, sf))
+
+
+@register("sta_evolution_comparison")
+def q_sta_cmp(spark, sf):
+    return stats.evolution_comparison(*_g(spark, sf)).select(
+        *diff.T, "classes_v1", "classes_v2", "loc_v1", "loc_v2", "edges_v1", "edges_v2", "cycles_v1",
+        "cycles_v2", "added_nodes", "removed_nodes", "added_edges", "removed_edges", "status")
+
+
+@register("sta_evolution_comparison_fast")
+def q_sta_cmp_fast(spark, sf):
+    return stats.evolution_comparison_fast(*_g(spark, sf)).select(
+        *diff.T, "loc_v1", "loc_v2", "classes_v1", "classes_v2", "edges_v1", "edges_v2", "added_nodes",
+        "removed_nodes", "added_edges", "removed_edges", "new_cycles", "broken_cycles", "status")
+
+
+@register("sta_display_names")
+def q_sta_names(spark, sf):
+    q = fx.inventory(spark, sf)
+    folder = F.concat(F.col("language"), F.lit("_"), F.col("owner"))
+    prefixes = F.array(*[F.lit(p) for p in stats.TAG_PREFIXES])
+    fname = F.concat(F.element_at(prefixes, (F.col("repo_key") % 4 + 1).cast("int")), F.col("repo"),
+                     F.lit(stats.GRAPH_SUFFIX))
+    return q.select("owner", "repo", stats.display_repo(folder).alias("repo_name"),
+                    stats.display_version(fname).alias("version_name"))

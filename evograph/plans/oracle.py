@@ -792,3 +792,41 @@ def _bf_select() -> str:
 
 Q["inv_backfill_metrics"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _judged(True), HUBS, ANOM, _STRINGS,
                               _ENT, _CONF, INV_FIX) + _bf_select()
+
+
+# ------------------------------------------------------------------ STA
+Q["sta_project_summary"] = w(FIX) + """
+SELECT s.project, s.version, s.total_classes AS classes, coalesce(e.n, 0) AS edges, s.total_loc AS loc,
+       round(s.avg_coupling, 3) AS avg_coupling
+FROM sysm s LEFT JOIN (SELECT project, version, count(*) AS n FROM dep_edges GROUP BY ALL) e
+  USING (project, version)"""
+
+Q["sta_evolution_comparison"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _PER_VERSION) + """
+SELECT d.project, d.v_old, d.v_new, a.total_classes AS classes_v1, b.total_classes AS classes_v2,
+       a.total_loc AS loc_v1, b.total_loc AS loc_v2, a.n_edges AS edges_v1, b.n_edges AS edges_v2,
+       a.n_cycles AS cycles_v1, b.n_cycles AS cycles_v2, d.added_nodes, d.removed_nodes, d.added_edges,
+       d.removed_edges,
+       CASE WHEN b.n_cycles > a.n_cycles OR b.total_classes - a.total_classes > 100
+            THEN 'Violation' ELSE 'Satisfied' END AS status
+FROM diff_summary d JOIN per_v a ON a.project = d.project AND a.version = d.v_old
+JOIN per_v b ON b.project = d.project AND b.version = d.v_new"""
+
+Q["sta_evolution_comparison_fast"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _PER_VERSION) + """
+SELECT d.project, d.v_old, d.v_new, a.total_loc AS loc_v1, b.total_loc AS loc_v2,
+       a.total_classes AS classes_v1, b.total_classes AS classes_v2, a.n_edges AS edges_v1,
+       b.n_edges AS edges_v2, d.added_nodes, d.removed_nodes, d.added_edges, d.removed_edges,
+       d.new_cycles, d.broken_cycles,
+       CASE WHEN d.new_cycles > 0 OR d.added_nodes > 100 THEN 'Violation' ELSE 'Satisfied' END AS status
+FROM diff_summary d JOIN per_v a ON a.project = d.project AND a.version = d.v_old
+JOIN per_v b ON b.project = d.project AND b.version = d.v_new"""
+
+Q["sta_display_names"] = w(INV_FIX) + """
+SELECT owner, repo,
+       CASE WHEN replace(language || '_' || owner, '_', '/') = 'reactive-streams/reactive-streams-jvm'
+            THEN 'reactive-streams' ELSE replace(language || '_' || owner, '_', '/') END AS repo_name,
+       replace(replace(replace(replace(replace(
+         (['javapoet-', 'jsoup-', 'gson-parent-', 'open-source-java-design-patterns-'])[repo_key % 4 + 1]
+           || repo || '_graph.json',
+         '_graph.json', ''), 'javapoet-', ''), 'jsoup-', ''), 'gson-parent-', ''),
+         'open-source-java-design-patterns-', '') AS version_name
+FROM inventory"""
