@@ -573,3 +573,134 @@ def q_sta_names(spark, sf):
                      F.lit(stats.GRAPH_SUFFIX))
     return q.select("owner", "repo", stats.display_repo(folder).alias("repo_name"),
                     stats.display_version(fname).alias("version_name"))
+
+
+# ------------------------------------------------------------------ SRC / SNK
+
+from evograph.session import scratch_path  # noqa: E402
+from evograph.sinks import writers  # noqa: E402
+from evograph.sources import readers  # noqa: E402
+
+
+def _versions(nodes):
+    return metrics.system_metrics(nodes).withColumn("language", F.lit("Java"))
+
+
+def _written_graph_text(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    path = scratch_path(spark, "graph-text")
+    writers.write_graph_text(nodes, edges, _versions(nodes), path)
+    return readers.read_graph_text(spark, path)
+
+
+@register("snk_graph_text")
+def q_snk_graph_text(spark, sf):
+    g = _written_graph_text(spark, sf)
+    return g["nodes"].select("project", "version", "id", "type")
+
+
+@register("src_graph_text")
+def q_src_graph_text(spark, sf):
+    g = _written_graph_text(spark, sf)
+    return g["edges"].select("project", "version", "source", "target", "type")
+
+
+def _written_graph_json(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    path = scratch_path(spark, "graph-json")
+    writers.write_graph_json(nodes, graph.simple_edges(edges), _versions(nodes), path)
+    return readers.read_graph_parts(spark, path)
+
+
+@register("snk_graph_json")
+def q_snk_graph_json(spark, sf):
+    g = _written_graph_json(spark, sf)
+    return g["nodes"].select("project", "version", "ord", "id", "name", "type", "file_path", "loc", "complexity",
+                             "coupling", "inheritance_depth")
+
+
+@register("src_graph_json")
+def q_src_graph_json(spark, sf):
+    g = _written_graph_json(spark, sf)
+    return g["edges"].select("project", "version", "ord", "source", "target", "type")
+
+
+@register("src_search_pages")
+def q_src_search(spark, sf):
+    d = fx.discovered(spark, sf)
+    pages = (d.groupBy(F.floor(F.col("seq") / 100).alias("page"))
+             .agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("/", "owner", "repo").alias("full_name"),
+                                                       F.col("stars").alias("stargazers_count")))).alias("it"))
+             .select(F.transform("it", lambda x: F.struct(x["full_name"].alias("full_name"),
+                                                          x["stargazers_count"].alias("stargazers_count")))
+                     .alias("items")))
+    path = scratch_path(spark, "search-pages")
+    pages.write.mode("overwrite").json(path)
+    return readers.read_search_pages(spark, path).select("owner", "repo", "stars", "language")
+
+
+def _tags(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderkey").cast("string").alias("repo"),
+        F.concat(F.lit("v"), F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_partkey").cast("string"))
+        .alias("name"), F.col("l_shipdate").alias("created_at"))
+
+
+@register("src_adjacent_versions")
+def q_src_adjacent(spark, sf):
+    return readers.adjacent_versions(_tags(spark, sf))
+
+
+@register("src_read_inventory")
+def q_src_inventory(spark, sf):
+    path = scratch_path(spark, "inventory")
+    fx.inventory(spark, sf).write.mode("overwrite").parquet(path)
+    return readers.read_inventory(spark, path, status="crawled").select(
+        "owner", "repo", "stars", "language", "status", "processed_at", "loc_v1", "error_msg")
+
+
+@register("snk_export_inventory")
+def q_snk_export(spark, sf):
+    return writers.export_inventory(fx.inventory(spark, sf))
+
+
+@register("snk_export_graphs")
+def q_snk_export_graphs(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    return writers.export_graphs(fx.inventory(spark, sf), nodes, edges, _versions(nodes),
+                                 scratch_path(spark, "export-graphs"))
+
+
+@register("snk_ecosystem_summary")
+def q_snk_ecosystem(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    pt = per_transition_metrics(nodes, edges, tr)
+    cc = cycles.cycle_counts(edges, edges, 5)
+    return writers.ecosystem_summary(fx.inventory(spark, sf), pt, cc)
+
+
+@register("snk_class_diff_table")
+def q_snk_class_diff(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    return writers.class_diff_table(nodes, tr)
+
+
+@register("snk_write_reports")
+def q_snk_reports(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    p = evolution.evolution_parts(nodes, edges, tr, INTENTS)
+    path = scratch_path(spark, "reports")
+    writers.write_reports(it.report_lines(p["judged"], p["hubs"], p["anomalies"]), path)
+    files = readers.list_artifacts(spark, path).where(F.col("file").endswith(".txt"))
+    return files.select(F.regexp_extract("folder", r"project=([^/]*)", 1).alias("project_dir"), "length")
+
+
+@register("src_list_artifacts")
+def q_src_artifacts(spark, sf):
+    nodes, edges = fx.dep_graph(spark, sf)
+    path = scratch_path(spark, "artifacts")
+    writers.write_graph_text(nodes, edges, _versions(nodes), path)
+    return (readers.list_artifacts(spark, path).where(F.col("file").endswith(".txt"))
+            .groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")))

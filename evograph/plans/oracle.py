@@ -830,3 +830,69 @@ SELECT owner, repo,
          '_graph.json', ''), 'javapoet-', ''), 'jsoup-', ''), 'gson-parent-', ''),
          'open-source-java-design-patterns-', '') AS version_name
 FROM inventory"""
+
+
+# ------------------------------------------------------------------ SRC / SNK
+Q["snk_graph_text"] = w(FIX) + "SELECT project, version, CAST(id AS VARCHAR) AS id, type FROM dep_nodes"
+Q["src_graph_text"] = w(FIX) + """
+SELECT project, version, CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, type
+FROM dep_edges"""
+Q["snk_graph_json"] = w(FIX) + """
+SELECT project, version, ord, CAST(id AS VARCHAR) AS id, name, type, file_path, loc, complexity, coupling,
+       inheritance_depth FROM dep_nodes"""
+Q["src_graph_json"] = w(FIX) + """
+SELECT project, version, min(ord) AS ord, CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target,
+       arg_max(type, ord) AS type FROM dep_edges GROUP BY project, version, source, target"""
+Q["src_search_pages"] = w(DISC_FIX) + "SELECT owner, repo, stars, 'java' AS language FROM discovered"
+Q["src_adjacent_versions"] = """
+WITH tags AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS repo,
+         'v' || l_linenumber || '.' || l_partkey AS name, l_shipdate AS created_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY created_at DESC, name DESC) AS rn FROM tags)
+SELECT owner, repo, max(CASE WHEN rn = 2 THEN name END) AS tag1, max(CASE WHEN rn = 1 THEN name END) AS tag2,
+       CASE WHEN max(CASE WHEN rn = 2 THEN name END) IS NULL THEN 'Insufficient release tags found' END AS error_msg
+FROM r WHERE rn <= 2 GROUP BY owner, repo"""
+Q["src_read_inventory"] = w(INV_FIX) + """
+SELECT owner, repo, stars, language, status, processed_at, loc_v1, CAST(NULL AS VARCHAR) AS error_msg
+FROM inventory WHERE status = 'crawled'"""
+
+
+def _export_sql() -> str:
+    from evograph.sinks.writers import EXPORT_COLUMNS
+    have = {"owner", "repo", "stars", "language", "tag1", "tag2", "status", "processed_at",
+            "extraction_start_at", "extraction_end_at", "loc_v1"}
+    from evograph.operators.inventory import INVENTORY_SCHEMA
+    tmap = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP"}
+    cols = []
+    for c in EXPORT_COLUMNS:
+        if c == "id":
+            cols.append("repo_key AS id")
+        elif c in have:
+            cols.append(c)
+        else:
+            cols.append(f"CAST(NULL AS {tmap[INVENTORY_SCHEMA[c].dataType.simpleString()]}) AS {c}")
+    return "SELECT " + ", ".join(cols) + " FROM inventory WHERE status = 'crawled'"
+
+
+Q["snk_export_inventory"] = w(INV_FIX) + _export_sql()
+
+Q["snk_ecosystem_summary"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _judged(True), HUBS, ANOM, _STRINGS,
+                               _ENT, _CONF, INV_FIX) + """
+, cv AS (SELECT project, version, count(*) AS n FROM cyc GROUP BY ALL)
+SELECT i.owner, i.repo, i.status, i.language, i.tag1, i.tag2, p.classes_v2, p.loc_v2,
+       round(p.coupling_v2, 2) AS coupling_v2, coalesce(cv.n, CASE WHEN g.project IS NOT NULL THEN 0 END)
+         AS cycles_v2, p.new_cycles,
+       CASE WHEN p.intent_status IS NULL THEN NULL WHEN p.intent_status = 'VIOLATION' THEN 'NON-CONFORMANT'
+            ELSE 'CONFORMANT' END AS conformance
+FROM inventory i
+LEFT JOIN pt p ON p.project = i.graph_project AND p.v_old = i.tag1 AND p.v_new = i.tag2
+LEFT JOIN (SELECT DISTINCT project, version FROM dep_edges) g ON g.project = i.graph_project AND g.version = i.tag2
+LEFT JOIN cv ON cv.project = i.graph_project AND cv.version = i.tag2"""
+
+Q["snk_class_diff_table"] = w(FIX) + """
+SELECT t.project, t.v_old, t.v_new, n.id,
+       CASE WHEN o.id IS NULL THEN 'ADDED' ELSE 'UNCHANGED' END AS status, n.loc, n.complexity, n.coupling, n.type
+FROM transitions t JOIN dep_nodes n ON n.project = t.project AND n.version = t.v_new
+LEFT JOIN dep_nodes o ON o.project = t.project AND o.version = t.v_old AND o.id = n.id"""
