@@ -226,3 +226,94 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_quantity").cast("int").alias("begin_line"),
                     F.concat(F.lit("line "), F.col("l_orderkey").cast("string")).alias("message"),
                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("report_ord")))
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java source corpus generated from ``part`` by a fixed rule, one file per part.
+
+    Part ``k`` of brand ``m`` becomes class ``N{k div 7}`` in package
+    ``com.p{k mod 7}`` of project ``m`` (simple names repeat across packages,
+    so resolution needs imports); its parent follows the inheritance rule of
+    :func:`dep_parents`; it references parts ``k+1``, ``k+2`` and ``k+7``
+    through fields, comments, explicit and wildcard imports; some files add
+    a nested class, a record, a sealed interface, block comments, tab
+    indentation or CRLF line ends.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    k = F.col("p_partkey")
+
+    def name(x):
+        return F.concat(F.lit("N"), F.floor(x / 7).cast("bigint").cast("string"))
+
+    def pkg(x):
+        return F.concat(F.lit("com.p"), (x % 7).cast("string"))
+
+    s = lambda x: x.cast("string")
+    par = F.floor(k / 2).cast("bigint")
+    extends = (F.when(k % 5 == 0, F.lit(""))
+               .when(k % 7 == 0, F.lit(" extends RuntimeException"))
+               .otherwise(F.concat(F.lit(" extends "), name(par))))
+    body = F.when(k % 2 == 0, F.lit("        if (a > b && b > 0) { for (int i = 0; i < a; i++) { a--; } }")) \
+        .otherwise(F.lit("        while (a > 0 || b > 0) { a--; b--; }"))
+    lines = F.array(
+        F.concat(F.lit("package "), pkg(k), F.lit(";")),
+        F.lit(""),
+        F.when(k % 3 == 0, F.concat(F.lit("import "), pkg(k + 1), F.lit("."), name(k + 1), F.lit(";")))
+         .when(k % 3 == 1, F.concat(F.lit("import "), pkg(k + 1), F.lit(".*;")))
+         .otherwise(F.lit("import static java.util.Collections.emptyList;")),
+        F.when(k % 4 == 0, F.concat(F.lit("import "), pkg(par), F.lit("."), name(par), F.lit(";"))).otherwise(F.lit("")),
+        F.lit(""),
+        F.when(k % 6 == 0, F.lit("/* block comment: if for while */"))
+         .otherwise(F.concat(F.lit("// helper for "), name(k + 2))),
+        F.when(k % 9 == 0, F.lit("\t// tab indented comment")).otherwise(F.lit("  ")),
+        F.concat(F.lit("public class "), name(k), extends, F.lit(" {")),
+        F.concat(F.lit("    private "), name(k + 1), F.lit(" next;")),
+        F.lit("    void run(int a, int b) {"),
+        body,
+        F.lit("    }"),
+        F.when(k % 4 == 1, F.concat(F.lit("    static class Inner"), s(k % 3), F.lit(" { }"))).otherwise(F.lit("")),
+        F.lit("}"),
+        F.when(k % 11 == 0, F.concat(F.lit("record R"), s(k), F.lit("("), name(k + 7),
+                                      F.lit(" left, java.util.List<String> names) { }"))).otherwise(F.lit("")),
+        F.when(k % 13 == 0, F.concat(F.lit("sealed interface S"), s(k), F.lit(" permits "), name(k), F.lit(", "),
+                                      name(k + 7), F.lit(" { }"))).otherwise(F.lit("")),
+    )
+    sep = F.when(k % 17 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    return p.select(
+        F.col("p_brand").alias("project"), F.lit("v1").alias("version"),
+        F.concat(F.lit("src/com/p"), s(k % 7), F.lit("/"), name(k), F.lit("_"), s(k), F.lit(".java")).alias("path"),
+        F.lit("Java").alias("language"),
+        F.array_join(lines, "\n").alias("_c"), sep.alias("_sep")
+    ).select("project", "version", "path", "language",
+             F.regexp_replace("_c", "\n", F.col("_sep")).alias("content")) \
+        .withColumn("n_bytes", F.octet_length("content").cast("bigint"))
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python corpus generated from ``part``: module ``pkg{k mod 7}/m{k div 7}.py`` of
+    project ``p_brand`` imports the modules of parts ``k+1`` (``import``) and
+    ``k+2`` (``from .. import``) and mentions the module name of part ``k+3``."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    k = F.col("p_partkey")
+
+    def mod(x):
+        return F.concat(F.lit("pkg"), (x % 7).cast("string"), F.lit("."), F.lit("m"),
+                        F.floor(x / 7).cast("bigint").cast("string"))
+
+    def base(x):
+        return F.concat(F.lit("m"), F.floor(x / 7).cast("bigint").cast("string"))
+
+    content = F.concat_ws(
+        "\n",
+        F.concat(F.lit("import "), mod(k + 1)),
+        F.concat(F.lit("from "), mod(k + 2), F.lit(" import thing")),
+        F.lit("# comment line"),
+        F.lit(""),
+        F.lit("def run(a, b):"),
+        F.when(k % 2 == 0, F.lit("    if a and b or a && b:")).otherwise(F.lit("    while a || b:")),
+        F.concat(F.lit("        return "), base(k + 3), F.lit(".value")),
+        F.lit("    // trailing"))
+    return p.select(
+        F.col("p_brand").alias("project"), F.lit("v1").alias("version"),
+        F.concat(F.lit("src/pkg"), (k % 7).cast("string"), F.lit("/"), base(k), F.lit(".py")).alias("path"),
+        F.lit("Python").alias("language"), content.alias("content"))

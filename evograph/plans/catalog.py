@@ -704,3 +704,157 @@ def q_src_artifacts(spark, sf):
     writers.write_graph_text(nodes, edges, _versions(nodes), path)
     return (readers.list_artifacts(spark, path).where(F.col("file").endswith(".txt"))
             .groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")))
+
+
+# ------------------------------------------------------------------ EXT
+
+from evograph.operators import extract as ex  # noqa: E402
+
+
+def _jf(spark, sf):
+    return fx.java_files(spark, sf)
+
+
+@register("ext_java_loc")
+def q_ext_loc(spark, sf):
+    return _jf(spark, sf).select("project", "version", "path", ex.java_loc(F.col("content")).alias("loc"))
+
+
+@register("ext_java_complexity")
+def q_ext_complexity(spark, sf):
+    return _jf(spark, sf).select("project", "version", "path",
+                                 ex.java_complexity(F.col("content")).alias("complexity"))
+
+
+@register("ext_java_package")
+def q_ext_package(spark, sf):
+    return _jf(spark, sf).select("project", "version", "path", ex.java_package(F.col("content")).alias("package"))
+
+
+@register("ext_java_imports")
+def q_ext_imports(spark, sf):
+    return ex.java_imports(_jf(spark, sf))
+
+
+@register("ext_java_records")
+def q_ext_records(spark, sf):
+    return ex.java_records(_jf(spark, sf)).select(
+        "project", "version", "path", "pos", "name", F.array_join(F.array_sort("refs"), ",").alias("refs"))
+
+
+@register("ext_java_types")
+def q_ext_types(spark, sf):
+    return ex.java_types(_jf(spark, sf)).select(
+        "project", "version", "path", "pos", "name", "extends",
+        F.array_join(F.array_sort("refs"), ",").alias("permits"))
+
+
+@register("ext_java_nested_types")
+def q_ext_nested(spark, sf):
+    return ex.nested_types(_jf(spark, sf))
+
+
+@register("ext_declared_index")
+def q_ext_index(spark, sf):
+    d = ex.declarations(_jf(spark, sf))
+    return ex.declared_index(d).select("project", "version", "name", "n_cand",
+                                       F.when(F.col("n_cand") == 1, F.col("fqcn")).alias("unique_fqcn"))
+
+
+@register("ext_token_refs")
+def q_ext_tokens(spark, sf):
+    f = _jf(spark, sf)
+    d = ex.declarations(f)
+    return ex.token_refs(f, d, ex.declared_index(d)).select("project", "version", "fqcn", "token")
+
+
+@register("ext_resolve_refs")
+def q_ext_resolve(spark, sf):
+    f = _jf(spark, sf)
+    d = ex.declarations(f)
+    idx = ex.declared_index(d)
+    imps = ex._imports_of(f, d)
+    return ex.resolve(ex.token_refs(f, d, idx), imps, d, idx).select(
+        "project", "version", F.col("fqcn").alias("source"), "target").distinct()
+
+
+@register("ext_resolve_parent")
+def q_ext_parent(spark, sf):
+    f = _jf(spark, sf)
+    d = ex.declarations(f)
+    return ex.resolve_parent(d, ex._imports_of(f, d), ex.declared_index(d))
+
+
+@register("ext_inheritance_depth")
+def q_ext_depth(spark, sf):
+    g = ex.build_graph(_jf(spark, sf))
+    return g["nodes"].select("project", "version", "id", "inheritance_depth")
+
+
+@register("ext_import_edges")
+def q_ext_import_edges(spark, sf):
+    g = ex.build_graph(_jf(spark, sf))
+    return g["edges"].where(F.col("type") == "imports").select("project", "version", "source", "target")
+
+
+@register("ext_build_graph")
+def q_ext_build(spark, sf):
+    g = ex.build_graph(_jf(spark, sf))
+    return g["nodes"].select("project", "version", "id", "name", "file_path", "loc", "complexity",
+                             "inheritance_depth", "fan_in", "fan_out", "coupling")
+
+
+def _pf(spark, sf):
+    return fx.python_files(spark, sf)
+
+
+@register("ext_generic_metrics")
+def q_ext_generic_metrics(spark, sf):
+    f = fx.files(spark, sf)
+    return f.select("project", "version", "path", ex.generic_loc(F.col("content")).alias("loc"),
+                    ex.generic_complexity(F.col("content")).alias("complexity"))
+
+
+@register("ext_generic_imports")
+def q_ext_generic_imports(spark, sf):
+    return ex.generic_imports(_pf(spark, sf), "python")
+
+
+@register("ext_generic_mentions")
+def q_ext_generic_mentions(spark, sf):
+    return ex.generic_mentions(_pf(spark, sf), "python")
+
+
+@register("ext_build_file_graph")
+def q_ext_file_graph(spark, sf):
+    g = ex.build_file_graph(_pf(spark, sf), "python")
+    return g["nodes"].select("project", "version", "id", "name", "loc", "complexity", "fan_in", "fan_out",
+                             "coupling")
+
+
+def _languages(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    per = d.groupBy("source", "lang").agg(F.sum("n_chars").alias("n"))
+    return per.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("languages"))
+
+
+@register("ext_major_language")
+def q_ext_major(spark, sf):
+    return ex.major_language(_languages(spark, sf), ["source"], skip_minor=True)
+
+
+@register("ext_standard_language")
+def q_ext_standard(spark, sf):
+    inv = fx.inventory(spark, sf)
+    return inv.select("owner", "repo", "language", ex.standard_language(F.col("language")).alias("standard"))
+
+
+@register("ext_parse_coordinate")
+def q_ext_coord(spark, sf):
+    inv = fx.inventory(spark, sf)
+    coord = (F.when(F.col("stars") % 10 == 0, F.col("owner"))
+             .when(F.col("repo_key") % 2 == 0, F.concat("owner", F.lit("/"), "repo", F.lit(" : "), "language"))
+             .otherwise(F.concat("owner", F.lit("/"), "repo")))
+    p = ex.parse_coordinate(coord)
+    return inv.select(coord.alias("coordinate"), p["owner"].alias("p_owner"), p["repo"].alias("p_repo"),
+                      p["language"].alias("p_language"), p["error"].alias("error"))
