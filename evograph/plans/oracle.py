@@ -896,3 +896,281 @@ SELECT t.project, t.v_old, t.v_new, n.id,
        CASE WHEN o.id IS NULL THEN 'ADDED' ELSE 'UNCHANGED' END AS status, n.loc, n.complexity, n.coupling, n.type
 FROM transitions t JOIN dep_nodes n ON n.project = t.project AND n.version = t.v_new
 LEFT JOIN dep_nodes o ON o.project = t.project AND o.version = t.v_old AND o.id = n.id"""
+
+
+# ------------------------------------------------------------------ EXT
+# Java corpus restated from the generation rule (see fixtures.java_files).
+JAVA_FIX = r"""
+jparts AS (SELECT p_partkey AS k, p_brand AS project FROM part),
+jf0 AS (
+  SELECT project, 'v1' AS version, k,
+    'src/com/p' || (k % 7) || '/N' || (k // 7) || '_' || k || '.java' AS path,
+    array_to_string([
+      'package com.p' || (k % 7) || ';',
+      '',
+      CASE k % 3 WHEN 0 THEN 'import com.p' || ((k + 1) % 7) || '.N' || ((k + 1) // 7) || ';'
+                 WHEN 1 THEN 'import com.p' || ((k + 1) % 7) || '.*;'
+                 ELSE 'import static java.util.Collections.emptyList;' END,
+      CASE WHEN k % 4 = 0 THEN 'import com.p' || ((k // 2) % 7) || '.N' || ((k // 2) // 7) || ';' ELSE '' END,
+      '',
+      CASE WHEN k % 6 = 0 THEN '/* block comment: if for while */' ELSE '// helper for N' || ((k + 2) // 7) END,
+      CASE WHEN k % 9 = 0 THEN chr(9) || '// tab indented comment' ELSE '  ' END,
+      'public class N' || (k // 7) ||
+        CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN ' extends RuntimeException'
+             ELSE ' extends N' || ((k // 2) // 7) END || ' {',
+      '    private N' || ((k + 1) // 7) || ' next;',
+      '    void run(int a, int b) {',
+      CASE WHEN k % 2 = 0 THEN '        if (a > b && b > 0) { for (int i = 0; i < a; i++) { a--; } }'
+           ELSE '        while (a > 0 || b > 0) { a--; b--; }' END,
+      '    }',
+      CASE WHEN k % 4 = 1 THEN '    static class Inner' || (k % 3) || ' { }' ELSE '' END,
+      '}',
+      CASE WHEN k % 11 = 0 THEN 'record R' || k || '(N' || ((k + 7) // 7) ||
+                                ' left, java.util.List<String> names) { }' ELSE '' END,
+      CASE WHEN k % 13 = 0 THEN 'sealed interface S' || k || ' permits N' || (k // 7) || ', N' || ((k + 7) // 7)
+                                || ' { }' ELSE '' END
+    ], chr(10)) AS c0
+  FROM jparts),
+jf AS (SELECT project, version, path, 'Java' AS language,
+              CASE WHEN k % 17 = 0 THEN replace(c0, chr(10), chr(13) || chr(10)) ELSE c0 END AS content
+       FROM jf0)
+"""
+
+_WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LB = r"\r\n|[\n\x{0B}\f\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+_JTYPE = (r"\b(?:sealed\s+|non-sealed\s+)?(?:class|interface|enum)\s+(\w+)(?:\s+extends\s+([\w\.]+))?"
+          r"(?:\s+implements\s+([\w\.,\s]+))?(?:\s+permits\s+([\w\.,\s]+))?")
+_JREC = r"\brecord\s+(\w+)\s*\((.*?)\)"
+
+JDECL = rf"""
+jmeta AS (
+  SELECT project, version, path, regexp_extract(content, 'package\s+([\w\.]+);', 1) AS package,
+         len(list_filter(regexp_split_to_array(content, '{_LB}'),
+             lambda l: NOT regexp_matches(l, '^{_WS}*$') AND NOT regexp_matches(l, '^{_WS}*//'))) AS loc,
+         1 + len(regexp_extract_all(content, '\b(if|for|while|catch)\b|&&|\|\|')) AS complexity
+  FROM jf),
+jimp AS (
+  SELECT project, version, path, unnest(range(len(l))) AS pos, unnest(l) AS import
+  FROM (SELECT *, regexp_extract_all(content, '(?m)^import\s+([\w\.\*]+);', 1) AS l FROM jf)),
+jrec AS (
+  SELECT project, version, path, unnest(range(len(n))) AS pos, unnest(n) AS name, unnest(p) AS params
+  FROM (SELECT *, regexp_extract_all(content, '{_JREC}', 1) AS n, regexp_extract_all(content, '{_JREC}', 2) AS p
+        FROM jf)),
+jtyp0 AS (
+  SELECT project, version, path, unnest(range(len(n))) AS pos, unnest(n) AS name, unnest(e) AS ext,
+         unnest(pm) AS permits
+  FROM (SELECT *, regexp_extract_all(content, '{_JTYPE}', 1) AS n, regexp_extract_all(content, '{_JTYPE}', 2) AS e,
+               regexp_extract_all(content, '{_JTYPE}', 4) AS pm FROM jf)),
+jtyp AS (SELECT project, version, path, pos, name, nullif(ext, '') AS ext,
+                list_filter(list_transform(string_split(coalesce(permits, ''), ','), lambda x: trim(x)),
+                            lambda x: x <> '') AS permits
+         FROM jtyp0 WHERE name <> 'record'),
+jcand AS (
+  SELECT r.project, r.version, r.path, r.pos, r.name, CAST(NULL AS VARCHAR) AS ext, 0 AS kind FROM jrec r
+  UNION ALL SELECT project, version, path, pos, name, ext, 1 FROM jtyp),
+jdecl AS (
+  SELECT * FROM (
+    SELECT c.*, m.package, m.loc, m.complexity,
+           CASE WHEN m.package <> '' THEN m.package || '.' || c.name ELSE c.name END AS fqcn,
+           row_number() OVER (PARTITION BY c.project, c.version,
+                                CASE WHEN m.package <> '' THEN m.package || '.' || c.name ELSE c.name END
+                              ORDER BY c.kind, CASE WHEN c.kind = 0 THEN c.path END DESC NULLS LAST,
+                                       CASE WHEN c.kind = 0 THEN c.pos END DESC NULLS LAST, c.path, c.pos) AS rn
+    FROM jcand c JOIN jmeta m USING (project, version, path)) WHERE rn = 1),
+jidx AS (SELECT project, version, name, count(DISTINCT fqcn) AS n_cand, min(fqcn) AS fqcn FROM jdecl GROUP BY ALL),
+jtok AS (
+  SELECT DISTINCT project, version, path, unnest(regexp_extract_all(content, '\b\w+\b')) AS token FROM jf),
+jrefs AS (
+  SELECT d.project, d.version, d.fqcn, d.package, t.token AS ref
+  FROM jdecl d JOIN jtok t ON t.project = d.project AND t.version = d.version AND t.path = d.path
+  JOIN (SELECT DISTINCT project, version, name FROM jidx) k
+    ON k.project = t.project AND k.version = t.version AND k.name = t.token
+  WHERE t.token <> d.name),
+jcimp AS (SELECT d.project, d.version, d.fqcn, i.pos, i.import FROM jdecl d JOIN jimp i USING (project, version, path))
+"""
+
+
+def _resolve_sql(refs: str, out: str) -> str:
+    return f"""
+{out}_a AS (
+  SELECT r.project, r.version, r.fqcn, r.ref, arg_min(i.import, i.pos) AS t
+  FROM {refs} r JOIN jcimp i ON i.project = r.project AND i.version = r.version AND i.fqcn = r.fqcn
+  JOIN jdecl c ON c.project = r.project AND c.version = r.version AND c.fqcn = i.import
+  WHERE ends_with(i.import, '.' || r.ref) AND NOT ends_with(i.import, '.*') GROUP BY ALL),
+{out}_b AS (
+  SELECT r.project, r.version, r.fqcn, r.ref, c.fqcn AS t FROM {refs} r JOIN jdecl c
+    ON c.project = r.project AND c.version = r.version
+   AND c.fqcn = CASE WHEN r.package <> '' THEN r.package || '.' || r.ref ELSE r.ref END),
+{out}_c AS (
+  SELECT r.project, r.version, r.fqcn, r.ref, arg_min(c.fqcn, i.pos) AS t
+  FROM {refs} r JOIN jcimp i ON i.project = r.project AND i.version = r.version AND i.fqcn = r.fqcn
+  JOIN jdecl c ON c.project = r.project AND c.version = r.version
+   AND c.fqcn = left(i.import, length(i.import) - 2) || '.' || r.ref
+  WHERE ends_with(i.import, '.*') GROUP BY ALL),
+{out}_d AS (
+  SELECT r.project, r.version, r.fqcn, r.ref, x.fqcn AS t FROM {refs} r JOIN jidx x
+    ON x.project = r.project AND x.version = r.version AND x.name = r.ref WHERE x.n_cand = 1),
+{out} AS (
+  SELECT r.project, r.version, r.fqcn, r.ref, coalesce(a.t, b.t, c.t, d.t) AS target
+  FROM (SELECT DISTINCT project, version, fqcn, ref FROM {refs}) r
+  LEFT JOIN {out}_a a USING (project, version, fqcn, ref)
+  LEFT JOIN {out}_b b USING (project, version, fqcn, ref)
+  LEFT JOIN {out}_c c USING (project, version, fqcn, ref)
+  LEFT JOIN {out}_d d USING (project, version, fqcn, ref)
+  WHERE coalesce(a.t, b.t, c.t, d.t) IS NOT NULL)
+"""
+
+
+JRES = _resolve_sql("jrefs", "jcalls0") + "," + """
+jprefs AS (SELECT project, version, fqcn, package, ext AS ref FROM jdecl WHERE ext IS NOT NULL),
+""" + _resolve_sql("jprefs", "jpar")
+
+JGRAPH = """
+jcalls AS (SELECT DISTINCT project, version, fqcn AS source, target, 'calls' AS type FROM jcalls0),
+jinh AS (SELECT project, version, fqcn AS source, target, 'inheritance' AS type FROM jpar),
+jci AS (SELECT * FROM jcalls UNION ALL SELECT * FROM jinh),
+jimpe AS (
+  SELECT DISTINCT i.project, i.version, i.fqcn AS source, i.import AS target, 'imports' AS type
+  FROM jcimp i JOIN jdecl c ON c.project = i.project AND c.version = i.version AND c.fqcn = i.import
+  WHERE i.fqcn <> i.import
+    AND NOT EXISTS (SELECT 1 FROM jci e WHERE e.project = i.project AND e.version = i.version
+                    AND e.source = i.fqcn AND e.target = i.import)),
+jedges AS (SELECT * FROM jci UNION ALL SELECT * FROM jimpe),
+jwalk AS (
+  SELECT w.project, w.version, w.fqcn, w.cur, w.steps FROM (
+    WITH RECURSIVE walk(project, version, fqcn, cur, seen, steps) AS (
+      SELECT project, version, fqcn, fqcn, [fqcn], 0 FROM jdecl
+      UNION ALL
+      SELECT w.project, w.version, w.fqcn, p.target, list_append(w.seen, p.target), w.steps + 1
+      FROM walk w JOIN jpar p ON p.project = w.project AND p.version = w.version AND p.fqcn = w.cur
+      WHERE NOT list_contains(w.seen, p.target))
+    SELECT *, row_number() OVER (PARTITION BY project, version, fqcn ORDER BY steps DESC) AS rn FROM walk) w
+  WHERE w.rn = 1),
+jdepth AS (
+  SELECT w.project, w.version, w.fqcn,
+         CASE WHEN p.target IS NOT NULL OR d.ext IS NOT NULL THEN w.steps + 1 ELSE w.steps END AS depth
+  FROM jwalk w LEFT JOIN jpar p ON p.project = w.project AND p.version = w.version AND p.fqcn = w.cur
+  JOIN jdecl d ON d.project = w.project AND d.version = w.version AND d.fqcn = w.cur)
+"""
+
+Q["ext_java_loc"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, loc FROM jmeta"
+Q["ext_java_complexity"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, complexity FROM jmeta"
+Q["ext_java_package"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, package FROM jmeta"
+Q["ext_java_imports"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, pos, import FROM jimp"
+Q["ext_java_records"] = w(JAVA_FIX, JDECL) + r"""
+SELECT project, version, path, pos, name, array_to_string(list_sort(list_distinct(list_filter(list_transform(
+         string_split(params, ','), lambda x: CASE WHEN len(regexp_split_to_array(trim(x), '\s+')) >= 2
+           THEN regexp_replace(regexp_split_to_array(trim(x), '\s+')[-2], '<.*?>', '', 'g') END),
+         lambda x: x IS NOT NULL AND x <> ''))), ',') AS refs
+FROM jrec"""
+Q["ext_java_types"] = w(JAVA_FIX, JDECL) + """
+SELECT project, version, path, pos, name, ext AS extends, array_to_string(list_sort(permits), ',') AS permits
+FROM jtyp"""
+Q["ext_declared_index"] = w(JAVA_FIX, JDECL) + """
+SELECT project, version, name, n_cand, CASE WHEN n_cand = 1 THEN fqcn END AS unique_fqcn FROM jidx"""
+Q["ext_token_refs"] = w(JAVA_FIX, JDECL) + "SELECT project, version, fqcn, ref AS token FROM jrefs"
+Q["ext_resolve_refs"] = w(JAVA_FIX, JDECL, JRES) + \
+    "SELECT DISTINCT project, version, fqcn AS source, target FROM jcalls0"
+Q["ext_resolve_parent"] = w(JAVA_FIX, JDECL, JRES) + "SELECT project, version, fqcn, target AS parent FROM jpar"
+Q["ext_inheritance_depth"] = w(JAVA_FIX, JDECL, JRES, JGRAPH) + """
+SELECT d.project, d.version, d.fqcn AS id, CAST(coalesce(x.depth, 0) AS BIGINT) AS inheritance_depth
+FROM jdecl d LEFT JOIN jdepth x USING (project, version, fqcn)"""
+Q["ext_import_edges"] = w(JAVA_FIX, JDECL, JRES, JGRAPH) + "SELECT project, version, source, target FROM jimpe"
+Q["ext_build_graph"] = w(JAVA_FIX, JDECL, JRES, JGRAPH) + """
+SELECT d.project, d.version, d.fqcn AS id, d.name, d.path AS file_path, CAST(d.loc AS BIGINT) AS loc,
+       CAST(d.complexity AS BIGINT) AS complexity, CAST(coalesce(x.depth, 0) AS BIGINT) AS inheritance_depth,
+       CAST(coalesce(fi.n, 0) AS BIGINT) AS fan_in, CAST(coalesce(fo.n, 0) AS BIGINT) AS fan_out,
+       CAST(coalesce(fi.n, 0) + coalesce(fo.n, 0) AS BIGINT) AS coupling
+FROM jdecl d LEFT JOIN jdepth x USING (project, version, fqcn)
+LEFT JOIN (SELECT project, version, target AS fqcn, count(*) AS n FROM jedges GROUP BY ALL) fi
+  USING (project, version, fqcn)
+LEFT JOIN (SELECT project, version, source AS fqcn, count(*) AS n FROM jedges GROUP BY ALL) fo
+  USING (project, version, fqcn)"""
+
+_GKW = "['if', 'for', 'while', 'case', 'cond', 'fn', 'def', 'match']"
+Q["ext_generic_metrics"] = w(FILES_FIX) + rf"""
+SELECT project, version, path,
+       len(list_filter(regexp_split_to_array(content, '{_LB}'),
+           lambda l: NOT regexp_matches(l, '^{_WS}*$') AND NOT regexp_matches(l, '^{_WS}*(#|//)'))) AS loc,
+       1 + len(list_filter(regexp_extract_all(content, '[\p{{L}}\p{{Nl}}\p{{Nd}}\p{{M}}_]+'),
+                           lambda t: list_contains({_GKW}, t)))
+         + len(regexp_extract_all(content, '&&|\|\|')) AS complexity
+FROM files"""
+
+PY_FIX = """
+pf AS (
+  SELECT p_brand AS project, 'v1' AS version,
+         'src/pkg' || (p_partkey % 7) || '/m' || (p_partkey // 7) || '.py' AS path, 'Python' AS language,
+         array_to_string([
+           'import pkg' || ((p_partkey + 1) % 7) || '.m' || ((p_partkey + 1) // 7),
+           'from pkg' || ((p_partkey + 2) % 7) || '.m' || ((p_partkey + 2) // 7) || ' import thing',
+           '# comment line', '', 'def run(a, b):',
+           CASE WHEN p_partkey % 2 = 0 THEN '    if a and b or a && b:' ELSE '    while a || b:' END,
+           '        return m' || ((p_partkey + 3) // 7) || '.value',
+           '    // trailing'], chr(10)) AS content
+  FROM part),
+pbase AS (SELECT *, CASE WHEN contains(path, '.') THEN regexp_extract(path, '^(.*)\\.[^.]*$', 1) ELSE path END
+                      AS base FROM pf),
+pimp AS (
+  SELECT DISTINCT project, version, path AS source,
+         trim(replace(replace(imp, '.', '/'), '/py', '')) AS key
+  FROM (SELECT project, version, path, unnest(list_transform(
+                 list_zip(regexp_extract_all(content, '\\bimport\\s+([\\w\\.]+)\\b|\\bfrom\\s+([\\w\\.]+)\\s+import\\b', 1),
+                          regexp_extract_all(content, '\\bimport\\s+([\\w\\.]+)\\b|\\bfrom\\s+([\\w\\.]+)\\s+import\\b', 2)),
+                 lambda z: coalesce(nullif(z[1], ''), nullif(z[2], '')))) AS imp FROM pf)
+  WHERE imp IS NOT NULL AND imp <> ''),
+pimports AS (
+  SELECT DISTINCT i.project, i.version, i.source, b.path AS target FROM pimp i JOIN pbase b
+    ON b.project = i.project AND b.version = i.version AND (b.base = i.key OR ends_with(b.base, '/' || i.key))),
+pment AS (
+  SELECT DISTINCT t.project, t.version, t.path AS source, b.path AS target
+  FROM (SELECT DISTINCT project, version, path, unnest(regexp_extract_all(content, '\\b\\w+\\b')) AS tok FROM pf) t
+  JOIN pbase b ON b.project = t.project AND b.version = t.version
+   AND string_split(b.base, '/')[-1] = t.tok
+  WHERE b.path <> t.path),
+pedges AS (SELECT DISTINCT * FROM (SELECT * FROM pimports UNION ALL SELECT * FROM pment))
+"""
+
+Q["ext_generic_imports"] = w(PY_FIX) + "SELECT * FROM pimports"
+Q["ext_generic_mentions"] = w(PY_FIX) + "SELECT * FROM pment"
+Q["ext_build_file_graph"] = w(PY_FIX) + rf"""
+SELECT p.project, p.version, p.path AS id, string_split(p.path, '/')[-1] AS name,
+       CAST(len(list_filter(regexp_split_to_array(p.content, '{_LB}'),
+           lambda l: NOT regexp_matches(l, '^{_WS}*$') AND NOT regexp_matches(l, '^{_WS}*(#|//)'))) AS BIGINT) AS loc,
+       CAST(1 + len(regexp_extract_all(p.content, '\b(if|for|while|case|cond|fn|def|match)\b|&&|\|\|')) AS BIGINT)
+         AS complexity,
+       CAST(coalesce(fi.n, 0) AS BIGINT) AS fan_in, CAST(coalesce(fo.n, 0) AS BIGINT) AS fan_out,
+       CAST(coalesce(fi.n, 0) + coalesce(fo.n, 0) AS BIGINT) AS coupling
+FROM pf p
+LEFT JOIN (SELECT project, version, target AS path, count(*) AS n FROM pedges GROUP BY ALL) fi
+  USING (project, version, path)
+LEFT JOIN (SELECT project, version, source AS path, count(*) AS n FROM pedges GROUP BY ALL) fo
+  USING (project, version, path)"""
+
+Q["ext_major_language"] = """
+SELECT source, arg_max(lang, n) AS major_language
+FROM (SELECT source, lang, sum(n_chars) AS n FROM documents GROUP BY ALL) GROUP BY source"""
+
+Q["ext_standard_language"] = w(INV_FIX) + """
+SELECT owner, repo, language,
+       CASE WHEN language IS NULL OR language = '' THEN 'Java'
+            WHEN contains(lower(language), 'java') THEN 'Java'
+            WHEN contains(lower(language), 'python') THEN 'Python'
+            WHEN contains(lower(language), 'gleam') THEN 'Gleam'
+            WHEN contains(lower(language), 'erlang') THEN 'Erlang'
+            ELSE upper(left(language, 1)) || lower(substr(language, 2)) END AS standard
+FROM inventory"""
+
+Q["ext_parse_coordinate"] = w(INV_FIX) + """
+, c AS (SELECT CASE WHEN stars % 10 = 0 THEN owner
+                    WHEN repo_key % 2 = 0 THEN owner || '/' || repo || ' : ' || language
+                    ELSE owner || '/' || repo END AS coordinate FROM inventory),
+r AS (SELECT coordinate, CASE WHEN contains(coordinate, ':') THEN trim(string_split(coordinate, ':')[1])
+                              ELSE coordinate END AS raw,
+             CASE WHEN contains(coordinate, ':') THEN trim(string_split(coordinate, ':')[2]) END AS lang FROM c)
+SELECT coordinate, CASE WHEN contains(raw, '/') THEN split_part(raw, '/', 1) END AS p_owner,
+       CASE WHEN contains(raw, '/') THEN substr(raw, strpos(raw, '/') + 1) END AS p_repo,
+       lang AS p_language,
+       CASE WHEN NOT contains(raw, '/') THEN 'Invalid repository format ''' || coordinate ||
+            '''. Must be ''owner/repo''.' END AS error
+FROM r"""
