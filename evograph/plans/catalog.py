@@ -858,3 +858,65 @@ def q_ext_coord(spark, sf):
     p = ex.parse_coordinate(coord)
     return inv.select(coord.alias("coordinate"), p["owner"].alias("p_owner"), p["repo"].alias("p_repo"),
                       p["language"].alias("p_language"), p["error"].alias("error"))
+
+
+# ------------------------------------------------------------------ STR
+
+from evograph.streaming import jobs as st  # noqa: E402
+
+
+def _stream(spark, records, build, name, mode="complete", n_files=4):
+    """Land ``records`` as files, run ``build(stream)`` to completion, read the sink back."""
+    base = scratch_path(spark, name)
+    landing = st.land(records, base + "/landing", n_files)
+    schema = spark.read.parquet(landing).schema
+    src = st.read_stream(spark, landing, schema)
+    st.run(build(src), base + "/sink", base + "/checkpoint", mode=mode)
+    return st.read_result(spark, base + "/sink"), base
+
+
+@register("str_graph_ingest")
+def q_str_ingest(spark, sf):
+    res, base = _stream(spark, fx.dep_edges(spark, sf), st.graph_ingest, "ingest", mode="append")
+    # a second run over the same checkpoint finds nothing new: exactly-once ingestion
+    schema = spark.read.parquet(base + "/landing").schema
+    st.run(st.graph_ingest(st.read_stream(spark, base + "/landing", schema)), base + "/sink",
+           base + "/checkpoint", mode="append")
+    return st.read_result(spark, base + "/sink").select("project", "version", "source", "target", "type", "ord")
+
+
+@register("str_dedupe_discovered")
+def q_str_discovered(spark, sf):
+    latest, _ = _stream(spark, fx.discovered(spark, sf), st.latest_discovery, "discovered")
+    return inv.upsert_discovered(fx.inventory(spark, sf), latest).select(
+        "owner", "repo", "stars", "language", "status")
+
+
+def _events(spark, sf):
+    return fx.status_events(spark, sf)
+
+
+@register("str_stale_claims")
+def q_str_stale(spark, sf):
+    res, _ = _stream(spark, _events(spark, sf), lambda s: st.stale_claims(s), "stale")
+    return res
+
+
+@register("str_status_counts")
+def q_str_counts(spark, sf):
+    tumbling, _ = _stream(spark, _events(spark, sf), lambda s: st.status_counts(s, "1 hour"), "counts-1h")
+    sliding, _ = _stream(spark, _events(spark, sf), lambda s: st.status_counts(s, "1 hour", "15 minutes"),
+                         "counts-sliding")
+    return tumbling.withColumn("kind", F.lit("tumbling")).unionByName(sliding.withColumn("kind", F.lit("sliding")))
+
+
+@register("str_worker_sessions")
+def q_str_workers(spark, sf):
+    res, _ = _stream(spark, _events(spark, sf), lambda s: st.worker_sessions(s), "workers")
+    return res
+
+
+@register("str_current_status")
+def q_str_current(spark, sf):
+    res, _ = _stream(spark, _events(spark, sf), st.current_status, "current")
+    return res

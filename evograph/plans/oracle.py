@@ -1174,3 +1174,35 @@ SELECT coordinate, CASE WHEN contains(raw, '/') THEN split_part(raw, '/', 1) END
        CASE WHEN NOT contains(raw, '/') THEN 'Invalid repository format ''' || coordinate ||
             '''. Must be ''owner/repo''.' END AS error
 FROM r"""
+
+
+# ------------------------------------------------------------------ STR
+Q["str_graph_ingest"] = w(FIX) + "SELECT project, version, source, target, type, ord FROM dep_edges"
+Q["str_dedupe_discovered"] = Q["inv_upsert_discovered"]
+
+
+def _sessions_sql(keys: str) -> str:
+    return f"""
+, ev AS (SELECT owner, repo, worker_id, to_status, transitioned_at AS ts, event_id FROM status_events),
+g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY {keys} ORDER BY ts, event_id) IS NULL
+                       OR ts - lag(ts) OVER (PARTITION BY {keys} ORDER BY ts, event_id) >= INTERVAL 30 MINUTE
+                     THEN 1 ELSE 0 END AS brk FROM ev),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY {keys} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY {keys}, sid ORDER BY ts DESC, event_id DESC) AS rn FROM s)
+SELECT {keys}, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+       max(CASE WHEN rn = 1 THEN to_status END) AS last_status, count(*) AS n_events"""
+
+
+Q["str_stale_claims"] = "SELECT *, last_status IN ('processing') AS stale FROM (" + w(EVENTS_FIX) + \
+    _sessions_sql("owner, repo") + " FROM r GROUP BY owner, repo, sid)"
+Q["str_worker_sessions"] = w(EVENTS_FIX) + _sessions_sql("worker_id") + " FROM r GROUP BY worker_id, sid"
+Q["str_status_counts"] = w(EVENTS_FIX) + """
+SELECT date_trunc('hour', transitioned_at) AS window_start,
+       date_trunc('hour', transitioned_at) + INTERVAL 1 HOUR AS window_end, to_status, count(*) AS n,
+       'tumbling' AS kind
+FROM status_events GROUP BY ALL
+UNION ALL
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, to_status, count(*) AS n, 'sliding' AS kind
+FROM (SELECT to_status, time_bucket(INTERVAL 15 MINUTE, transitioned_at) - k * INTERVAL 15 MINUTE AS ws
+      FROM status_events, range(0, 4) t(k)) GROUP BY ALL"""
+Q["str_current_status"] = Q["inv_current_status"]
