@@ -920,3 +920,51 @@ def q_str_workers(spark, sf):
 def q_str_current(spark, sf):
     res, _ = _stream(spark, _events(spark, sf), st.current_status, "current")
     return res
+
+
+# ------------------------------------------------------------------ UDF
+
+from evograph.functions import registry  # noqa: E402
+
+
+@register("udf_register_adapter")
+def q_udf_adapters(spark, sf):
+    java = fx.java_files(spark, sf)
+    py = fx.python_files(spark, sf)
+    docs = fx.files(spark, sf).select("project", "version", "path", "language", "content")
+    files = java.select("project", "version", "path", "language", "content").unionByName(
+        py.select("project", "version", "path", "language", "content")).unionByName(docs)
+    g = registry.extract_all(files)
+    counts = g["nodes"].groupBy("project", "version", "adapter").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return (counts.select("project", "version", F.col("adapter").alias("language"), "n_nodes",
+                          F.lit(None).cast("string").alias("error"))
+            .unionByName(g["failures"].select("project", "version", F.lower("language").alias("language"),
+                                              F.lit(None).cast("bigint").alias("n_nodes"), "error")))
+
+
+@register("udf_score_reports")
+def q_udf_score(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    p = evolution.evolution_parts(nodes, edges, tr, INTENTS)
+    report = it.report_text(it.report_lines(p["judged"], p["hubs"], p["anomalies"]))
+    prompts = it.analysis_prompt(nodes, edges, tr, INTENTS)
+    return registry.score_reports(prompts, report, scorer=None)
+
+
+@register("udf_sql_functions")
+def q_udf_sql(spark, sf):
+    registry.register_sql_functions(spark)
+    cyc = cycles.enumerate_cycles(fx.dep_edges(spark, sf), 5)
+    k = (F.col("length") / 2).cast("int")
+    rotated = F.concat(F.slice("cycle", k + 1, F.col("length") - k), F.slice("cycle", F.lit(1), k))
+    view = f"cyc_{abs(hash(sf)) % 10_000_000}"
+    cyc.select("project", "version", cycles.cycle_string(F.col("cycle")).alias("cycle_str"),
+               F.transform(rotated, lambda x: F.lpad(x.cast("string"), 12, "0")).alias("rotated")
+               ).createOrReplaceTempView(view)
+    return spark.sql(f"""
+        SELECT project, version, cycle_str,
+               array_join(transform(canonical_cycle(rotated), x -> cast(cast(x AS BIGINT) AS STRING)), '>')
+                 AS canonical_str,
+               standard_language(project) AS std_project,
+               coupling_z_score(size(rotated), 2.0, 1.5) AS z
+        FROM {view}""")

@@ -1206,3 +1206,27 @@ SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, to_status, count(
 FROM (SELECT to_status, time_bucket(INTERVAL 15 MINUTE, transitioned_at) - k * INTERVAL 15 MINUTE AS ws
       FROM status_events, range(0, 4) t(k)) GROUP BY ALL"""
 Q["str_current_status"] = Q["inv_current_status"]
+
+
+# ------------------------------------------------------------------ UDF
+Q["udf_register_adapter"] = w(JAVA_FIX, JDECL, PY_FIX, FILES_FIX) + """
+SELECT project, version, 'java' AS language, count(*) AS n_nodes, CAST(NULL AS VARCHAR) AS error
+FROM jdecl GROUP BY ALL
+UNION ALL
+SELECT project, version, 'python', count(*), NULL FROM pf GROUP BY ALL
+UNION ALL
+SELECT DISTINCT project, version, lower(language), CAST(NULL AS BIGINT),
+       'Language adapter for ''' || lower(language) || ''' is not yet implemented.'
+FROM files WHERE lower(language) NOT IN ('java', 'python')"""
+
+Q["udf_score_reports"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _judged(True), HUBS, ANOM, _REPORT) + """
+SELECT project, v_old, v_new, string_agg(line, chr(10) ORDER BY sec, sub, k1, k2) || chr(10) AS answer
+FROM report_lines GROUP BY ALL"""
+
+Q["udf_sql_functions"] = w(FIX, CYC) + """
+SELECT project, version, cycle_str, cycle_str AS canonical_str,
+       CASE WHEN project IS NULL OR project = '' THEN 'Java'
+            WHEN contains(lower(project), 'java') THEN 'Java'
+            ELSE upper(left(project, 1)) || lower(substr(project, 2)) END AS std_project,
+       round((length - 2.0) / greatest(0.1, 1.5), 2) AS z
+FROM cyc"""
