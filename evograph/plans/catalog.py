@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evograph import fixtures as fx
 from evograph.operators import cycles, diff, graph, metrics
+from evograph.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +27,15 @@ def register(name: str):
     return deco
 
 
+def _graph(spark, sf):
+    """The fixture graph, written once per query as Parquet (it feeds many branches)."""
+    edges = materialize(fx.dep_edges(spark, sf), "dep-edges")
+    nodes = materialize(fx.dep_nodes(spark, sf, edges), "dep-nodes")
+    return nodes, edges
+
+
 def _g(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return nodes, edges, fx.dep_transitions(spark, sf, edges)
 
 
@@ -44,7 +52,7 @@ def q_simple_edges(spark, sf):
 
 @register("grf_all_nodes")
 def q_all_nodes(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return graph.all_nodes(nodes, edges).select(
         "project", "version", "id", "name", "type", "file_path", "loc", "complexity", "coupling",
         "inheritance_depth", "ord", "implicit")
@@ -52,7 +60,7 @@ def q_all_nodes(spark, sf):
 
 @register("grf_graph_stats")
 def q_graph_stats(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     st = graph.graph_stats(nodes, edges, metrics.system_metrics(nodes))
     return st.select("project", "version", "node_count", "edge_count", "total_loc", "total_classes",
                      _r6("avg_coupling"))
@@ -115,7 +123,7 @@ def q_size_change(spark, sf):
 
 @register("cyc_scc_labels")
 def q_scc_labels(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return cycles.scc_labels(graph.all_nodes(nodes, edges), edges)
 
 
@@ -165,56 +173,56 @@ def q_cycle_counts(spark, sf):
 
 @register("met_degrees")
 def q_degrees(spark, sf):
-    return metrics.degrees(*fx.dep_graph(spark, sf)).select(
+    return metrics.degrees(*_graph(spark, sf)).select(
         "project", "version", "id", "in_deg", "out_deg", "degree", "implicit")
 
 
 @register("met_degree_centrality")
 def q_centrality(spark, sf):
-    return metrics.degree_centrality(*fx.dep_graph(spark, sf)).select(
+    return metrics.degree_centrality(*_graph(spark, sf)).select(
         "project", "version", "id", "n_nodes", _r6("centrality"))
 
 
 @register("met_coupling")
 def q_coupling(spark, sf):
-    return metrics.coupling(*fx.dep_graph(spark, sf)).select("project", "version", "id", "coupling_value")
+    return metrics.coupling(*_graph(spark, sf)).select("project", "version", "id", "coupling_value")
 
 
 @register("met_top_hubs")
 def q_top_hubs(spark, sf):
-    return metrics.top_hubs(*fx.dep_graph(spark, sf), k=3).select(
+    return metrics.top_hubs(*_graph(spark, sf), k=3).select(
         "project", "version", "rank", "id", _r6("centrality"), "degree")
 
 
 @register("met_coupling_anomalies")
 def q_anomalies(spark, sf):
-    return metrics.coupling_anomalies(*fx.dep_graph(spark, sf)).select(
+    return metrics.coupling_anomalies(*_graph(spark, sf)).select(
         "project", "version", "id", "coupling", "z_score", _r6("mean"), _r6("std"), _r6("threshold"))
 
 
 @register("met_system_metrics")
 def q_system_metrics(spark, sf):
-    nodes, _ = fx.dep_graph(spark, sf)
+    nodes, _ = _graph(spark, sf)
     return metrics.system_metrics(nodes).select("project", "version", "total_loc", "total_classes",
                                                 _r6("avg_coupling"))
 
 
 @register("met_fan_metrics")
 def q_fan_metrics(spark, sf):
-    return metrics.fan_metrics(*fx.dep_graph(spark, sf)).select(
+    return metrics.fan_metrics(*_graph(spark, sf)).select(
         "project", "version", "id", "fan_in", "fan_out", "fan_coupling")
 
 
 @register("met_merge_static_analysis")
 def q_merge_static(spark, sf):
-    nodes, _ = fx.dep_graph(spark, sf)
+    nodes, _ = _graph(spark, sf)
     return metrics.merge_static_analysis(nodes, fx.violations(spark, sf)).select(
         "project", "version", "id", "violation_count")
 
 
 @register("met_over_limit")
 def q_over_limit(spark, sf):
-    nodes, _ = fx.dep_graph(spark, sf)
+    nodes, _ = _graph(spark, sf)
     a = metrics.over_limit(nodes, "coupling", 7).select(
         "project", "version", "id", F.lit("coupling").alias("metric"),
         F.coalesce("coupling", F.lit(0)).alias("value"))
@@ -338,39 +346,39 @@ from evograph.operators import quality  # noqa: E402
 
 @register("val_class_metric_violations")
 def q_val_class(spark, sf):
-    nodes, _ = fx.dep_graph(spark, sf)
+    nodes, _ = _graph(spark, sf)
     return quality.class_metric_violations(nodes)
 
 
 @register("val_edge_endpoint_violations")
 def q_val_edges(spark, sf):
-    return quality.edge_endpoint_violations(*fx.dep_graph(spark, sf)).select(
+    return quality.edge_endpoint_violations(*_graph(spark, sf)).select(
         "project", "version", "source", "target", "type", "property")
 
 
 @register("val_entity_types")
 def q_val_entity_types(spark, sf):
-    nodes, _ = fx.dep_graph(spark, sf)
+    nodes, _ = _graph(spark, sf)
     return quality.entity_types(nodes).select("project", "version", "id", "type", "entity_class",
                                               "is_software_entity")
 
 
 @register("val_inferred_entities")
 def q_val_inferred(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return quality.inferred_entities(graph.all_nodes(nodes, edges)).select(
         "project", "version", "id", "is_entity")
 
 
 @register("val_conformance_flags")
 def q_val_conformance(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return quality.conformance_flags(nodes, edges, edges)
 
 
 @register("val_schema_violations")
 def q_val_schema(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     versions = metrics.system_metrics(nodes).withColumn("language", F.lit("Java"))
     return (quality.schema_violations(versions, nodes, edges)
             .groupBy("project", "version", "scope", "rule").agg(F.count(F.lit(1)).alias("n")))
@@ -547,7 +555,7 @@ from evograph.operators import stats  # noqa: E402
 
 @register("sta_project_summary")
 def q_sta_summary(spark, sf):
-    return stats.project_summary(*fx.dep_graph(spark, sf))
+    return stats.project_summary(*_graph(spark, sf))
 
 
 @register("sta_evolution_comparison")
@@ -587,7 +595,7 @@ def _versions(nodes):
 
 
 def _written_graph_text(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     path = scratch_path(spark, "graph-text")
     writers.write_graph_text(nodes, edges, _versions(nodes), path)
     return readers.read_graph_text(spark, path)
@@ -606,7 +614,7 @@ def q_src_graph_text(spark, sf):
 
 
 def _written_graph_json(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     path = scratch_path(spark, "graph-json")
     writers.write_graph_json(nodes, graph.simple_edges(edges), _versions(nodes), path)
     return readers.read_graph_parts(spark, path)
@@ -668,7 +676,7 @@ def q_snk_export(spark, sf):
 
 @register("snk_export_graphs")
 def q_snk_export_graphs(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     return writers.export_graphs(fx.inventory(spark, sf), nodes, edges, _versions(nodes),
                                  scratch_path(spark, "export-graphs"))
 
@@ -699,7 +707,7 @@ def q_snk_reports(spark, sf):
 
 @register("src_list_artifacts")
 def q_src_artifacts(spark, sf):
-    nodes, edges = fx.dep_graph(spark, sf)
+    nodes, edges = _graph(spark, sf)
     path = scratch_path(spark, "artifacts")
     writers.write_graph_text(nodes, edges, _versions(nodes), path)
     return (readers.list_artifacts(spark, path).where(F.col("file").endswith(".txt"))

@@ -25,6 +25,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # runtime-checked broadcast: AQE converts a join only when the measured side is smaller
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold",
+                os.environ.get("EVOGRAPH_BROADCAST_THRESHOLD", "64MB"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -63,10 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "round") -> DataFrame:
+    """Cut the lineage of ``df`` by writing it as a Parquet table under the reliable
+    checkpoint folder (survives executor loss; columnar, so later scans prune)."""
+    return materialize(df, name)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -75,3 +78,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/evograph-out/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
+
+    Used where one derived table feeds many branches of a plan: the branches
+    then scan columnar files (with pruning and pushdown) instead of
+    recomputing the derivation, and the lineage is cut, so a lost executor
+    never replays it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
