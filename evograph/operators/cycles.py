@@ -155,83 +155,75 @@ def cycle_changes(edges: DataFrame, transitions: DataFrame, max_len: int = 5) ->
 
 # ---------------------------------------------------------------- SCC
 
-def _trim(v: DataFrame, e: DataFrame) -> DataFrame:
-    """Nodes that have both an in-edge and an out-edge inside the active edge set."""
-    outs = e.select(*G, F.col("s").alias("id")).distinct()
-    ins = e.select(*G, F.col("t").alias("id")).distinct()
-    return v.join(outs, [*G, "id"], "left_semi").join(ins, [*G, "id"], "left_semi")
+def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
+    """Propagate the minimum label along ``src -> dst`` edges until stable.
+
+    ``lab(project, version, id, c)``.  Each round takes the minimum over the
+    in-neighbours' labels and also jumps through the label's own label
+    (``c(c(v))``, still a node connected in the same direction), so the number
+    of rounds grows with the logarithm of the path lengths.  One Parquet
+    write per round cuts the lineage.
+    """
+    for _ in range(max_rounds):
+        msg = (e.join(lab.select(*G, F.col("id").alias(src), "c"), [*G, src])
+               .groupBy(*G, F.col(dst).alias("id")).agg(F.min("c").alias("m")))
+        jump = lab.select(*G, F.col("id").alias("c"), F.col("c").alias("cc"))
+        nxt = (lab.join(msg, [*G, "id"], "left").join(jump, [*G, "c"], "left")
+               .select(*G, "id", F.least("c", F.coalesce("m", "c"), F.coalesce("cc", "c")).alias("c2"), "c"))
+        nxt = cut_lineage(nxt.select(*G, "id", F.col("c2").alias("c"), (F.col("c2") < F.col("c")).alias("chg")),
+                          "scc-label")
+        lab = nxt.select(*G, "id", "c")
+        if nxt.where("chg").limit(1).count() == 0:
+            return lab
+    raise RuntimeError("label propagation did not converge")
 
 
 def scc_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """CYC-01: strongly connected component label (smallest member id) per node.
 
-    Distributed colouring: trim nodes without in- or out-edges, propagate the
-    minimum id forward until stable, then collect every colour root's
-    backward-reachable set inside its colour; that set is one SCC.  Remaining
-    nodes repeat with edges kept only inside a colour.  Each round is cut with
-    a reliable checkpoint, so the loop survives executor loss and the plan
-    never grows.  ``nodes`` needs ``(project, version, id)``.
+    Distributed colouring, all graphs at once: trim nodes without an in- or
+    out-edge (singleton components); forward min-label propagation gives each
+    node the smallest id that reaches it (its colour); backward min-label
+    propagation over same-colour edges gives the smallest id it reaches; a node
+    whose two labels agree lies in the SCC of its colour root.  Found
+    components leave the graph and the rest repeats on same-colour edges.
+    ``nodes`` needs ``(project, version, id)``.
     """
-    v = cut_lineage(nodes.select(*G, "id").distinct())
-    e = cut_lineage(_pairs(edges).where(F.col("s") != F.col("t")))
+    v = cut_lineage(nodes.select(*G, "id").distinct(), "scc-v")
+    e = cut_lineage(_pairs(edges).where(F.col("s") != F.col("t")), "scc-e")
     done = []
-    rounds = 0
-    while True:
-        # trimming to a fixpoint; trimmed nodes are singleton components
-        while True:
-            kept = cut_lineage(_trim(v, e))
-            removed = v.join(kept, [*G, "id"], "left_anti")
-            n_removed = removed.count()
-            if n_removed:
-                done.append(cut_lineage(removed.withColumn("scc", F.col("id"))))
-            v = kept
-            e = cut_lineage(e.join(v.select(*G, F.col("id").alias("s")), [*G, "s"], "left_semi")
-                            .join(v.select(*G, F.col("id").alias("t")), [*G, "t"], "left_semi"))
-            rounds += 1
-            if n_removed == 0 or rounds > max_rounds:
-                break
+    for _ in range(max_rounds):
+        # one trimming step: no in-edge or no out-edge inside the active set -> singleton
+        outs = e.select(*G, F.col("s").alias("id")).distinct()
+        ins = e.select(*G, F.col("t").alias("id")).distinct()
+        kept = v.join(outs, [*G, "id"], "left_semi").join(ins, [*G, "id"], "left_semi")
+        flagged = cut_lineage(v.join(kept.withColumn("k", F.lit(True)), [*G, "id"], "left"), "scc-trim")
+        done.append(flagged.where(F.col("k").isNull()).select(*G, "id", F.col("id").alias("scc")))
+        v = flagged.where(F.col("k")).select(*G, "id")
         if v.limit(1).count() == 0:
             break
-        # forward min-colour propagation
-        color = v.withColumn("c", F.col("id"))
-        while True:
-            msg = (e.join(color.select(*G, F.col("id").alias("s"), "c"), [*G, "s"])
-                   .groupBy(*G, F.col("t").alias("id")).agg(F.min("c").alias("m")))
-            nxt = cut_lineage(color.join(msg, [*G, "id"], "left")
-                              .select(*G, "id", F.least("c", F.coalesce("m", "c")).alias("c"),
-                                      (F.col("m") < F.col("c")).alias("chg")))
-            changed = nxt.where(F.col("chg")).limit(1).count()
-            color = nxt.drop("chg")
-            rounds += 1
-            if changed == 0 or rounds > max_rounds:
-                break
-        # backward reachability from each root inside its colour
+        e = (e.join(v.select(*G, F.col("id").alias("s")), [*G, "s"], "left_semi")
+             .join(v.select(*G, F.col("id").alias("t")), [*G, "t"], "left_semi"))
+        fwd = _min_label(v.withColumn("c", F.col("id")), e, "s", "t", max_rounds)
         ce = cut_lineage(
-            e.join(color.select(*G, F.col("id").alias("s"), F.col("c").alias("cs")), [*G, "s"])
-             .join(color.select(*G, F.col("id").alias("t"), F.col("c").alias("ct")), [*G, "t"])
-             .where(F.col("cs") == F.col("ct")).select(*G, "s", "t", F.col("cs").alias("c")))
-        reached = cut_lineage(color.where(F.col("id") == F.col("c")).select(*G, "id", "c"))
-        frontier = reached
-        while True:
-            cand = (ce.join(frontier.select(*G, F.col("id").alias("t"), "c"), [*G, "t", "c"])
-                    .select(*G, F.col("s").alias("id"), "c").distinct()
-                    .join(reached, [*G, "id", "c"], "left_anti"))
-            frontier = cut_lineage(cand)
-            if frontier.limit(1).count() == 0 or rounds > max_rounds:
-                break
-            reached = cut_lineage(reached.unionByName(frontier))
-            rounds += 1
-        done.append(reached.select(*G, "id", F.col("c").alias("scc")))
-        v = cut_lineage(v.join(reached.select(*G, "id"), [*G, "id"], "left_anti"))
-        e = cut_lineage(ce.join(reached.select(*G, F.col("id").alias("s")), [*G, "s"], "left_anti")
-                        .join(reached.select(*G, F.col("id").alias("t")), [*G, "t"], "left_anti")
-                        .select(*G, "s", "t"))
-        if rounds > max_rounds:
-            raise RuntimeError("scc_labels did not converge")
-    res = done[0]
+            e.join(fwd.select(*G, F.col("id").alias("s"), F.col("c").alias("cs")), [*G, "s"])
+             .join(fwd.select(*G, F.col("id").alias("t"), F.col("c").alias("ct")), [*G, "t"])
+             .where(F.col("cs") == F.col("ct")).select(*G, "s", "t"), "scc-ce")
+        bwd = _min_label(v.withColumn("c", F.col("id")), ce, "t", "s", max_rounds)
+        res = cut_lineage(fwd.join(bwd.withColumnRenamed("c", "b"), [*G, "id"])
+                          .withColumn("found", F.col("b") == F.col("c")), "scc-res")
+        done.append(res.where("found").select(*G, "id", F.col("c").alias("scc")))
+        v = res.where(~F.col("found")).select(*G, "id")
+        if v.limit(1).count() == 0:
+            break
+        alive = res.where(~F.col("found")).select(*G, "id", "c")
+        e = (ce.join(alive.select(*G, F.col("id").alias("s"), F.col("c").alias("cs")), [*G, "s"])
+             .join(alive.select(*G, F.col("id").alias("t"), F.col("c").alias("ct")), [*G, "t"])
+             .where(F.col("cs") == F.col("ct")).select(*G, "s", "t"))
+    out = done[0]
     for d in done[1:]:
-        res = res.unionByName(d)
-    return res
+        out = out.unionByName(d)
+    return out
 
 
 def has_new_cycle(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,
