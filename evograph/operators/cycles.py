@@ -61,24 +61,36 @@ def enumerate_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
     Self-loops are cycles of length 1.  Complete up to ``max_len``; the
     bound is the only limit (no cap on partners or paths).
     """
-    e = _pairs(edges)
+    # the pair table feeds every step below: computed once, written once
+    e = cut_lineage(_pairs(edges), "cycle-pairs")
     loops = e.where(F.col("s") == F.col("t")).select(*G, F.array("s").alias("cycle"))
     out = [loops]
     if max_len >= 2:
         e2 = e.where(F.col("s") != F.col("t"))
         succ = e2.select(*G, F.col("s").alias("x"), F.col("t").alias("y"))
-        # forward paths r -> ... -> x, all nodes after r greater than r
+        mid_type = ArrayType(e2.schema["s"].dataType)
+        # forward paths r -> ... -> x (all nodes after r greater than r); backward paths
+        # x -> m.. -> r (``mid`` = nodes strictly between x and r, all greater than r)
         fwd = {1: e2.where(F.col("t") > F.col("s"))
                .select(*G, F.col("s").alias("r"), F.col("t").alias("x"), F.array("s", "t").alias("path"))}
-        for k in range(2, math.ceil(max_len / 2) + 1):
+        bwd = {1: e2.where(F.col("s") > F.col("t"))
+               .select(*G, F.col("t").alias("r"), F.col("s").alias("x"), F.array().cast(mid_type).alias("mid"))}
+        if max_len >= 3:
+            # one 2-edge path table a -> b -> c serves both directions
+            p2 = cut_lineage(
+                e2.select(*G, F.col("s").alias("a"), F.col("t").alias("b"))
+                  .join(e2.select(*G, F.col("s").alias("b"), F.col("t").alias("c")), [*G, "b"])
+                  .where(F.col("a") != F.col("c")), "cycle-p2")
+            fwd[2] = (p2.where((F.col("b") > F.col("a")) & (F.col("c") > F.col("a")))
+                      .select(*G, F.col("a").alias("r"), F.col("c").alias("x"), F.array("a", "b", "c").alias("path")))
+            if max_len >= 4:
+                bwd[2] = (p2.where((F.col("a") > F.col("c")) & (F.col("b") > F.col("c")))
+                          .select(*G, F.col("c").alias("r"), F.col("a").alias("x"), F.array("b").alias("mid")))
+        for k in range(3, math.ceil(max_len / 2) + 1):
             fwd[k] = (fwd[k - 1].join(succ, [*G, "x"])
                       .where((F.col("y") > F.col("r")) & ~F.array_contains("path", F.col("y")))
                       .select(*G, "r", F.col("y").alias("x"), F.concat("path", F.array("y")).alias("path")))
-        # backward paths x -> m1 -> ... -> r; ``mid`` are the nodes strictly between x and r
-        bwd = {1: e2.where(F.col("s") > F.col("t"))
-               .select(*G, F.col("t").alias("r"), F.col("s").alias("x"),
-                       F.array().cast(ArrayType(e2.schema["s"].dataType)).alias("mid"))}
-        for k in range(2, max_len // 2 + 1):
+        for k in range(3, max_len // 2 + 1):
             prev = bwd[k - 1].withColumnRenamed("x", "y")
             bwd[k] = (succ.join(prev, [*G, "y"])
                       .where((F.col("x") > F.col("r")) & ~F.array_contains("mid", F.col("x"))
