@@ -151,8 +151,8 @@ def _imports_of(files: DataFrame, decls: DataFrame) -> DataFrame:
     return decls.select(*G, "fqcn", "path").join(imp, [*G, "path"]).drop("path")
 
 
-def resolve(refs: DataFrame, imports: DataFrame, decls: DataFrame, index: DataFrame, ref_col: str = "token"
-            ) -> DataFrame:
+def resolve(refs: DataFrame, imports: DataFrame, decls: DataFrame, index: DataFrame, ref_col: str = "token",
+            use_global: bool = True) -> DataFrame:
     """EXT-10 / EXT-12: the four-step cascade for ``(fqcn, package, ref)`` rows.
 
     A explicit import ending in ``.ref`` that is a project class (first by
@@ -179,7 +179,8 @@ def resolve(refs: DataFrame, imports: DataFrame, decls: DataFrame, index: DataFr
                                           F.concat_ws(".", "wpkg", "ref").alias("cand"))
          .join(classes, [*G, "cand"], "left_semi")
          .groupBy(*G, "fqcn", "ref").agg(F.min_by("cand", "pos").alias("t_c")))
-    d = (r.join(index.where(F.col("n_cand") == 1).select(*G, F.col("name").alias("ref"), F.col("fqcn").alias("t_d")),
+    uniq = index.where(F.col("n_cand") == 1) if use_global else index.where(F.lit(False))
+    d = (r.join(uniq.select(*G, F.col("name").alias("ref"), F.col("fqcn").alias("t_d")),
                 [*G, "ref"]).select(*G, "fqcn", "ref", "t_d"))
     k = [*G, "fqcn", "ref"]
     out = (r.select(*k).join(a, k, "left").join(b, k, "left").join(c, k, "left").join(d, k, "left")
@@ -195,7 +196,7 @@ def resolve_qualified(refs: DataFrame, imports: DataFrame, decls: DataFrame, ind
                      [*G, "token"]).select(*G, "fqcn", F.col("token").alias("ref"), F.col("t").alias("target")))
     outer = q.select(*G, "fqcn", "package", F.substring_index("token", ".", 1).alias("outer"),
                      F.expr("substring(token, length(substring_index(token, '.', 1)) + 2)").alias("inner"), "token")
-    res = resolve(outer.withColumnRenamed("outer", "o"), imports, decls, index.limit(0), ref_col="o") \
+    res = resolve(outer.withColumnRenamed("outer", "o"), imports, decls, index, ref_col="o", use_global=False) \
         .select(*G, "fqcn", F.col("ref").alias("o"), F.col("target").alias("outer_fqcn"))
     nested = (outer.withColumnRenamed("outer", "o").join(res, [*G, "fqcn", "o"])
               .select(*G, "fqcn", F.col("token").alias("ref"),

@@ -98,3 +98,20 @@ def test_stream_ingest_exactly_once(spark, tmpdir_path):
         st.run(st.graph_ingest(st.read_stream(spark, landing, schema)), os.path.join(tmpdir_path, "sink"),
                os.path.join(tmpdir_path, "ck"), mode="append")
     assert spark.read.parquet(os.path.join(tmpdir_path, "sink")).count() == 50
+
+
+def test_resolve_qualified_nested(spark):
+    from pyspark.sql import functions as F
+    container = "package com.model;\npublic class Response {\n  public static class Body {}\n}\n"
+    api = "package com.api;\nimport com.model.Response;\npublic class ApiService { Response.Body b; }\n"
+    f = files(spark, [("com/model/Response.java", container), ("com/api/ApiService.java", api)])
+    decls = ex.declarations(f)
+    nested = ex.nested_types(f).select("project", "version", "fqcn", F.col("inner").alias("name"),
+                                       F.lit("com.model").alias("package"), "path")
+    decls = decls.select("project", "version", "fqcn", "name", "package", "path").unionByName(nested)
+    idx = ex.declared_index(decls)
+    imports = ex._imports_of(f, decls)
+    refs = spark.createDataFrame([("P", "v1", "com.api.ApiService", "com.api", "Response.Body")],
+                                 "project string, version string, fqcn string, package string, token string")
+    got = [(r.fqcn, r.target) for r in ex.resolve_qualified(refs, imports, decls, idx).collect()]
+    assert got == [("com.api.ApiService", "com.model.Response.Body")]
