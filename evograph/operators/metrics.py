@@ -51,21 +51,26 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumn("coupling_value", F.coalesce(declared, F.col("degree")).cast("bigint"))
 
 
-def top_hubs(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
-    """MET-04: the k most central nodes per graph; ties keep node order."""
-    c = degree_centrality(nodes, edges)
+def top_hubs(nodes: DataFrame, edges: DataFrame, k: int = 3, centrality: DataFrame | None = None) -> DataFrame:
+    """MET-04: the k most central nodes per graph; ties keep node order.
+
+    ``centrality`` may pass a precomputed :func:`degree_centrality` table."""
+    c = centrality if centrality is not None else degree_centrality(nodes, edges)
     w = Window.partitionBy(*G).orderBy(F.desc("degree"), "implicit", "ord")
     return (c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(*G, "rank", "id", "centrality", "degree"))
 
 
-def coupling_anomalies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def coupling_anomalies(nodes: DataFrame, edges: DataFrame, degree_table: DataFrame | None = None) -> DataFrame:
     """MET-05: nodes whose coupling exceeds max(3, mean + 2 sigma) (population sigma).
 
-    ``z_score = round((c - mean) / max(0.1, sigma), 2)``.  ``pos`` keeps the
-    node order used for listing.
+    ``z_score = round((c - mean) / max(0.1, sigma), 2)``; ``implicit, ord`` keep
+    the node order used for listing.  ``degree_table`` may pass a
+    precomputed :func:`degrees` table.
     """
-    c = coupling(nodes, edges)
+    d = degree_table if degree_table is not None else degrees(nodes, edges)
+    declared = F.col("coupling") if "coupling" in d.columns else F.lit(None)
+    c = d.withColumn("coupling_value", F.coalesce(declared, F.col("degree")).cast("bigint"))
     st = c.groupBy(*G).agg(F.avg("coupling_value").alias("mean"),
                            F.stddev_pop("coupling_value").alias("std"))
     thr = F.greatest(F.lit(3.0), F.col("mean") + 2 * F.col("std"))

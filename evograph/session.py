@@ -27,7 +27,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # runtime-checked broadcast: AQE converts a join only when the measured side is smaller
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold",
-                os.environ.get("EVOGRAPH_BROADCAST_THRESHOLD", "64MB"))
+                os.environ.get("EVOGRAPH_BROADCAST_THRESHOLD", "10MB"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
