@@ -165,12 +165,14 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status log from ``events``: repo = user, to_status = event type."""
+    from evograph.operators.graph import previous_value
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # lag per user, computed per (user, day) so a very active user is not sorted in one task
+    ev = previous_value(ev, ["user_id"], "ts", "event_id", "event_type", F.to_date("ts"), "from_status")
     return ev.select(
         F.lit("o").alias("owner"),
         F.col("user_id").cast("string").alias("repo"),
-        F.lag("event_type").over(w).alias("from_status"),
+        "from_status",
         F.col("event_type").alias("to_status"),
         F.col("ts").alias("transitioned_at"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("error "), F.col("event_id").cast("string")))

@@ -8,7 +8,7 @@ document position; it decides "last wins" and tie orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 G = ["project", "version"]
@@ -105,3 +105,24 @@ def tag_sides(df: DataFrame, transitions: DataFrame) -> DataFrame:
     new = (df.join(t.withColumnRenamed("v_new", "version"), ["project", "version"])
            .withColumnRenamed("version", "v_new").withColumn("side", F.lit(2)))
     return old.unionByName(new)
+
+
+def previous_value(df: DataFrame, key: list[str], ts: str, tie: str, value: str, bucket: Column,
+                   out: str = "previous") -> DataFrame:
+    """``lag(value)`` over ``key`` ordered by ``(ts, tie)``, without sorting a whole key in one task.
+
+    Rows are windowed per ``(key, bucket)`` (e.g. the day of ``ts``); the
+    first row of a bucket takes the last value of the key's previous
+    non-empty bucket, found on a per-bucket summary (one row per key and
+    bucket, partially aggregated).  Exact for any bucket function that is
+    monotone in ``ts``.
+    """
+    b = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*key, "_b").orderBy(ts, tie)
+    inner = b.withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = b.groupBy(*key, "_b").agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
+    wb = Window.partitionBy(*key).orderBy("_b")
+    prev_bucket = last.select(*key, "_b", F.lag("_last").over(wb).alias("_carry"))
+    return (inner.join(prev_bucket, [*key, "_b"], "left")
+            .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out)))
+            .drop("_b", "_first", "_carry"))
