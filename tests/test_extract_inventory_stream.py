@@ -115,3 +115,14 @@ def test_resolve_qualified_nested(spark):
                                  "project string, version string, fqcn string, package string, token string")
     got = [(r.fqcn, r.target) for r in ex.resolve_qualified(refs, imports, decls, idx).collect()]
     assert got == [("com.api.ApiService", "com.model.Response.Body")]
+
+
+def test_previous_value_equals_lag(spark):
+    from pyspark.sql import Window
+    from evograph.operators.graph import previous_value
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = {r.event_id: r.p for r in ev.select("event_id", F.lag("event_type").over(w).alias("p")).collect()}
+    got = {r.event_id: r.p for r in previous_value(ev, ["user_id"], "ts", "event_id", "event_type",
+                                                   F.to_date("ts"), "p").select("event_id", "p").collect()}
+    assert got == want
