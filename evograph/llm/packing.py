@@ -91,17 +91,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 _SWEPT = "kind string, id long, seq long, size long, pid int, low long, high long"
 
 
-def _sweep(rows: DataFrame, parts: int) -> DataFrame:
+def _sweep(rows: DataFrame, parts: int, capacity: int, first_seq: int | None = None) -> DataFrame:
     """One sweep over each range of ``rows`` (kind 0 gap / 1 piece, id, size). Out come
 
     - ``match``: piece ``id`` is put into sequence ``seq``;
     - ``item``: piece ``id`` found no gap; ``low`` is its rank in the range;
-    - ``gap``: sequence ``id`` has ``size`` left; [low, high) are its slots for pieces of later ranges."""
+    - ``gap``: sequence ``id`` has ``size`` left; [low, high) are its slots for pieces of later ranges.
+
+    ``first_seq``: the rows are one range, the last; pieces without a gap open sequences from this number on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         pool: dict[int, list[int]] = {}
         sizes: list[int] = []
-        floor = None
+        floor, fresh = None, first_seq
         out: list[tuple] = []
         left = 0
 
@@ -123,7 +125,11 @@ def _sweep(rows: DataFrame, parts: int) -> DataFrame:
                     put(size, key)
                     continue
                 at = bisect_left(sizes, size)
-                if at == len(sizes):
+                if at == len(sizes) and fresh is not None:
+                    out.append(("match", key, fresh, size, pid, None, None))
+                    put(capacity - size, fresh)
+                    fresh += 1
+                elif at == len(sizes):
                     out.append(("item", key, None, size, pid, left, None))
                     left += 1
                 else:
@@ -138,7 +144,7 @@ def _sweep(rows: DataFrame, parts: int) -> DataFrame:
                     yield batch(out)
                     out = []
         slot = 0
-        for size in sizes:
+        for size in sizes if first_seq is None else ():
             for seq in pool[size]:
                 n = size // floor  # all later ranges hold pieces of at most this range's smallest size
                 out.append(("gap", seq, None, size, pid, slot, slot + n))
@@ -147,7 +153,8 @@ def _sweep(rows: DataFrame, parts: int) -> DataFrame:
             yield batch(out)
 
     order = [F.desc("size"), F.col("kind"), F.col("id")]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _SWEPT)
+    ranges = rows.repartitionByRange(parts, *order) if first_seq is None else rows.coalesce(1)
+    return ranges.sortWithinPartitions(*order).mapInArrow(run, _SWEPT)
 
 
 def _carried(counts: list) -> list[tuple]:
@@ -178,7 +185,11 @@ def assign(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_R
     placed: list[DataFrame] = []
     next_seq, opened = 0, False
     while n_rows:
-        swept = materialize(_sweep(pool, max(1, min(most, ceil(n_rows / range_rows)))), "pack_sweep")
+        last = next_seq if n_rows <= range_rows else None
+        swept = materialize(_sweep(pool, max(1, min(most, ceil(n_rows / range_rows))), capacity, last), "pack_sweep")
+        if last is not None:
+            placed.append(swept.select(F.col("id").alias("item"), "seq"))
+            break
         counts = (swept.groupBy("pid").agg(
             F.count(F.when(F.col("kind") == "item", 1)).alias("n_items"),
             F.sum(F.when(F.col("kind") == "item", F.col("size"))).alias("tokens"),
