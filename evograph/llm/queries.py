@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evograph.llm import bpe, packing, pii, quality_rules, simhash
+from evograph.llm import (bpe, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, topk,
+                          toxicity, warc)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,10 +48,39 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(_read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the two marks of ``labels``: 0 poor, 1 good but toxic, 2 good."""
+    grade = F.when(F.col("quality") == 1, 2 - F.col("toxic")).when(F.col("quality") == 0, 0)
+    ratings = _read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return quality_classifier.score(_read(spark, sf_dir, "documents"), ratings)
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_contextual_pii": op7_contextual_pii,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }

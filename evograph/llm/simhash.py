@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evograph.session import materialize
 
@@ -61,12 +61,13 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+    """doc_id, fp (the 64 bits as a signed long) and text_hash of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), k) for t in b.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "text_hash"])
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, fp long, text_hash long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -255,24 +256,26 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row."""
+    """doc_id, fp, component_id (the smallest doc_id of the component), text_hash, label (of the component) of every row."""
     fps = materialize(fingerprints(docs, k), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_classes")
     labels = connected(links(classes, max_bits))
     named = classes.join(labels, classes.fp == labels.node, "left").select(
         "fp", "rep", F.coalesce("label", "fp").alias("label"))
     first = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(first, "label").select("fp", "component_id"), "simhash_names")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(named.join(first, "label").select("fp", "component_id", "label"), "simhash_names")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash", "label")
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with their own columns.
-
-    Rows that repeat a doc_id are one document each: of those that share the smallest one, one stays."""
-    firsts = (components(docs, k, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
-              .distinct())
+    """One row of ``docs`` for each component, with its own columns: that of the smallest doc_id (nulls last),
+    of several the one with the smallest text hash, and of equal rows any one."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")
+    firsts = components(docs, k, max_bits).groupBy("label").agg(least).select(
+        F.col("m.doc_id").alias("__doc"), F.col("m.text_hash").alias("__hash"))
     plain = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
-    key = f"__c{docs.columns.index('doc_id')}"
-    out = plain.join(firsts, F.col(key) == F.col("__first"), "left_semi")
-    return out.dropDuplicates([key]).toDF(*docs.columns)
+    doc, text = (F.col(f"__c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    kept = plain.withColumn("__text_hash", F.xxhash64(text)).join(
+        firsts, doc.cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    one = F.row_number().over(Window.partitionBy(doc, "__text_hash").orderBy(doc))
+    return kept.withColumn("__one", one).where("__one = 1").select(*plain.columns).toDF(*docs.columns)
