@@ -164,9 +164,10 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status log from ``events``: repo = user, to_status = event type."""
+    """Status log from ``events``: repo = user, to_status = event type (a view is ``processing``)."""
     from evograph.operators.graph import previous_value
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    kind = F.when(F.col("event_type") == "view", "processing").otherwise(F.col("event_type"))
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", kind.alias("event_type"))
     # lag per user, computed per (user, day) so a very active user is not sorted in one task
     ev = previous_value(ev, ["user_id"], "ts", "event_id", "event_type", F.to_date("ts"), "from_status")
     return ev.select(

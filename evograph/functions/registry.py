@@ -31,11 +31,9 @@ def register_adapter(language: str, fn: Adapter) -> None:
 
 
 def adapters() -> dict[str, Adapter]:
-    if not _ADAPTERS:
-        from evograph.operators import extract as ex
-        register_adapter("java", ex.build_graph)
-        register_adapter("python", lambda f: ex.build_file_graph(f, "python"))
-    return dict(_ADAPTERS)
+    """The built-in adapters and the registered ones, which may replace them."""
+    from evograph.operators import extract as ex
+    return {"java": ex.build_graph, "python": lambda f: ex.build_file_graph(f, "python")} | _ADAPTERS
 
 
 def extract_all(files: DataFrame) -> dict[str, DataFrame]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -119,19 +119,16 @@ def enumerate_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
     return res.withColumn("length", F.size("cycle"))
 
 
-def simple_cycles(edges: DataFrame, max_len: int = 5, cap: int | None = 100) -> DataFrame:
-    """CYC-02: canonical cycles per graph, listing at most ``cap`` (shortest, then by id string).
+def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
+    """CYC-02: every canonical cycle of at most ``max_len`` nodes per graph, with their count.
 
-    ``n_cycles`` is the complete count up to ``max_len``; ``truncated`` tells
-    whether the listing was cut by ``cap``.
+    The listing is complete up to ``max_len``, which the output states in
+    ``length_bound``; verdicts do not read it (:func:`has_new_cycle` is exact
+    for any length).
     """
-    cyc = enumerate_cycles(edges, max_len).withColumn("cycle_str", cycle_string(F.col("cycle")))
+    cyc = cut_lineage(enumerate_cycles(edges, max_len).withColumn("cycle_str", cycle_string(F.col("cycle"))), "cycles")
     counts = cyc.groupBy(*G).agg(F.count(F.lit(1)).alias("n_cycles"))
-    if cap is not None:
-        w = Window.partitionBy(*G).orderBy("length", "cycle_str")
-        cyc = cyc.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
-    return (cyc.join(counts, G)
-            .withColumn("truncated", F.col("n_cycles") > F.lit(cap if cap is not None else 1 << 62)))
+    return cyc.join(counts, G).withColumn("length_bound", F.lit(max_len))
 
 
 def cycle_counts(edges: DataFrame, graphs: DataFrame, max_len: int = 5) -> DataFrame:
@@ -167,7 +164,7 @@ def cycle_changes(edges: DataFrame, transitions: DataFrame, max_len: int = 5) ->
 
 # ---------------------------------------------------------------- SCC
 
-def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
+def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str) -> DataFrame:
     """Propagate the minimum label along ``src -> dst`` edges until stable.
 
     ``lab(project, version, id, c)``.  Each round takes the minimum over the
@@ -176,7 +173,7 @@ def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str, max_rounds: int
     of rounds grows with the logarithm of the path lengths.  One Parquet
     write per round cuts the lineage.
     """
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         msg = (e.join(lab.select(*G, F.col("id").alias(src), "c"), [*G, src])
                .groupBy(*G, F.col(dst).alias("id")).agg(F.min("c").alias("m")))
         jump = lab.select(*G, F.col("id").alias("c"), F.col("c").alias("cc"))
@@ -187,10 +184,9 @@ def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str, max_rounds: int
         lab = nxt.select(*G, "id", "c")
         if nxt.where("chg").limit(1).count() == 0:
             return lab
-    raise RuntimeError("label propagation did not converge")
 
 
-def scc_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def scc_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """CYC-01: strongly connected component label (smallest member id) per node.
 
     Distributed colouring, all graphs at once: trim nodes without an in- or
@@ -204,7 +200,7 @@ def scc_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) ->
     v = cut_lineage(nodes.select(*G, "id").distinct(), "scc-v")
     e = cut_lineage(_pairs(edges).where(F.col("s") != F.col("t")), "scc-e")
     done = []
-    for _ in range(max_rounds):
+    while True:  # every round takes at least one component out
         # one trimming step: no in-edge or no out-edge inside the active set -> singleton
         outs = e.select(*G, F.col("s").alias("id")).distinct()
         ins = e.select(*G, F.col("t").alias("id")).distinct()
@@ -216,12 +212,12 @@ def scc_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) ->
             break
         e = (e.join(v.select(*G, F.col("id").alias("s")), [*G, "s"], "left_semi")
              .join(v.select(*G, F.col("id").alias("t")), [*G, "t"], "left_semi"))
-        fwd = _min_label(v.withColumn("c", F.col("id")), e, "s", "t", max_rounds)
+        fwd = _min_label(v.withColumn("c", F.col("id")), e, "s", "t")
         ce = cut_lineage(
             e.join(fwd.select(*G, F.col("id").alias("s"), F.col("c").alias("cs")), [*G, "s"])
              .join(fwd.select(*G, F.col("id").alias("t"), F.col("c").alias("ct")), [*G, "t"])
              .where(F.col("cs") == F.col("ct")).select(*G, "s", "t"), "scc-ce")
-        bwd = _min_label(v.withColumn("c", F.col("id")), ce, "t", "s", max_rounds)
+        bwd = _min_label(v.withColumn("c", F.col("id")), ce, "t", "s")
         res = cut_lineage(fwd.join(bwd.withColumnRenamed("c", "b"), [*G, "id"])
                           .withColumn("found", F.col("b") == F.col("c")), "scc-res")
         done.append(res.where("found").select(*G, "id", F.col("c").alias("scc")))
@@ -256,3 +252,18 @@ def has_new_cycle(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,
             .groupBy(*T).agg(F.count(F.lit(1)).alias("n_cycle_edges")))
     return (transitions.select(*T).join(hits, T, "left")
             .select(*T, F.coalesce(F.col("n_cycle_edges") > 0, F.lit(False)).alias("has_new_cycle")))
+
+
+def with_exact_verdict(summary: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """DIF-05 counts plus ``has_new_cycle`` for cycles of any length.
+
+    A listed new cycle decides at once; only transitions without one go through
+    the components of their new version.
+    """
+    s = cut_lineage(summary, "summary")
+    open_ = s.where(F.col("new_cycles") == 0).select(*T)
+    if open_.isEmpty():
+        return s.withColumn("has_new_cycle", F.col("new_cycles") > 0)
+    exact = cut_lineage(has_new_cycle(nodes, edges, open_), "exact-verdict")
+    return (s.join(exact, T, "left")
+            .withColumn("has_new_cycle", F.coalesce("has_new_cycle", F.col("new_cycles") > 0)))

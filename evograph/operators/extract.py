@@ -211,7 +211,7 @@ def resolve_parent(decls: DataFrame, imports: DataFrame, index: DataFrame) -> Da
     return resolve(refs, imports, decls, index).select(*G, "fqcn", F.col("target").alias("parent"))
 
 
-def inheritance_depth(decls: DataFrame, parents: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def inheritance_depth(decls: DataFrame, parents: DataFrame) -> DataFrame:
     """EXT-13: 0 without ``extends``; 1 for a parent outside the project; else 1 + the
     parent's depth.  In an inheritance loop a class counts the steps until the
     first class repeats.  One join per level; lineage cut each round."""
@@ -220,7 +220,6 @@ def inheritance_depth(decls: DataFrame, parents: DataFrame, max_rounds: int = 10
     walk = cut_lineage(base.select(*G, "fqcn", F.col("fqcn").alias("cur"), F.array("fqcn").alias("seen"),
                                    F.lit(0).cast("bigint").alias("steps"), "has_ext"))
     done = []
-    rounds = 0
     while True:
         step = walk.join(par, [*G, "cur"], "left")
         # finished: no extends (steps), extends unresolved (steps + 1), or loop (steps + 1)
@@ -234,8 +233,7 @@ def inheritance_depth(decls: DataFrame, parents: DataFrame, max_rounds: int = 10
                            .select(*G, "fqcn", F.col("parent").alias("cur"),
                                    F.concat("seen", F.array("parent")).alias("seen"),
                                    (F.col("steps") + 1).alias("steps"), F.col("p_ext").alias("has_ext")))
-        rounds += 1
-        if walk.limit(1).count() == 0 or rounds > max_rounds:
+        if walk.limit(1).count() == 0:  # every step adds a class to ``seen``, so the walk ends
             break
     out = done[0]
     for d in done[1:]:
@@ -285,46 +283,41 @@ def build_graph(files: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges, "versions": versions, "decls": decls}
 
 
+# string, character and text-block literals and comments; possessive loops do not recurse on long ones
+_JAVA_BLANKS = (r'"""(?s:.*?)"""|"(?:\\.|[^"\\\n])*+"|' + r"'(?:\\.|[^'\\\n])*+'" + r"|//[^\n]*|/\*(?s:.*?)\*/")
+_NESTING = r"\b(?:class|interface|enum)\s+[\p{L}\p{Nd}_]+|[{}]"
+
+
 def nested_types(files: DataFrame) -> DataFrame:
     """EXT-07: one level of nested types (``Outer.Inner``) per top-level type.
 
-    Needs brace depth, which no column expression tracks, so each file is
-    scanned inside its task (``mapInPandas``); the scan is linear in the
-    file length.  Output ``(project, version, path, outer, inner, fqcn)``.
+    Literals and comments are blanked, then the brace depth is folded over the
+    array of braces and declarations of a file, all in column expressions.
+    Output ``(project, version, path, outer, inner, fqcn)``.
     """
-    import re
-    decl = re.compile(r"\b(?:class|interface|enum)\s+(\w+)")
-
-    def scan(batches):
-        for pdf in batches:
-            out = []
-            for proj, ver, path, content in zip(pdf["project"], pdf["version"], pdf["path"], pdf["content"]):
-                m = re.search(r"package\s+([\w\.]+);", content or "")
-                pkg = m.group(1) if m else ""
-                depth, outer, pending = 0, None, None
-                i, text = 0, content or ""
-                for tok in re.finditer(r"\b(?:class|interface|enum)\s+\w+|[{}]", text):
-                    s = tok.group(0)
-                    if s == "{":
-                        if pending is not None:
-                            if depth == 0:
-                                outer = pending
-                            elif depth == 1 and outer is not None:
-                                fq = f"{pkg}.{outer}.{pending}" if pkg else f"{outer}.{pending}"
-                                out.append((proj, ver, path, outer, pending, fq))
-                            pending = None
-                        depth += 1
-                    elif s == "}":
-                        depth -= 1
-                        if depth == 0:
-                            outer = None
-                    else:
-                        pending = decl.match(s).group(1)
-                    i += 1
-            yield pd.DataFrame(out, columns=["project", "version", "path", "outer", "inner", "fqcn"])
-
-    return files.select(*G, "path", "content").mapInPandas(
-        scan, "project string, version string, path string, outer string, inner string, fqcn string")
+    text = F.coalesce("content", F.lit(""))
+    tokens = F.regexp_extract_all(F.regexp_replace(text, _JAVA_BLANKS, " "), F.lit(_NESTING), F.lit(0))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("outer"), none.alias("pending"),
+                     F.array().cast("array<struct<outer:string,inner:string>>").alias("found"))
+
+    def step(a, t):
+        opens, closes = t == "{", t == "}"
+        named = opens & a["pending"].isNotNull()
+        nested = named & (a["depth"] == 1) & a["outer"].isNotNull()
+        return F.struct(
+            F.when(opens, a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+            F.when(named & (a["depth"] == 0), a["pending"]).when(closes & (a["depth"] == 1), none)
+            .otherwise(a["outer"]).alias("outer"),
+            F.when(opens, none).when(closes, a["pending"])
+            .otherwise(F.regexp_extract(t, r"([\p{L}\p{Nd}_]+)$", 1)).alias("pending"),
+            F.when(nested, F.concat(a["found"], F.array(F.struct(a["outer"].alias("outer"), a["pending"].alias("inner")))))
+            .otherwise(a["found"]).alias("found"))
+    package = F.regexp_extract(text, r"package\s+([\p{L}\p{Nd}_.]+);", 1)
+    found = files.select(*G, "path", package.alias("package"),
+                         F.explode(F.aggregate(tokens, start, step, lambda a: a["found"])).alias("n"))
+    return found.select(*G, "path", "n.outer", "n.inner", F.concat_ws(
+        ".", F.when(F.col("package") != "", F.col("package")), "n.outer", "n.inner").alias("fqcn"))
 
 
 # ------------------------------------------------------------------ generic path

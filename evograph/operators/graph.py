@@ -42,13 +42,14 @@ def endpoint_positions(edges: DataFrame) -> DataFrame:
     return ends.groupBy(*G, F.col("e.id").alias("id")).agg(F.min("e.pos").alias("ord"))
 
 
-def all_nodes(nodes: DataFrame, edges: DataFrame, dedupe: bool = False) -> DataFrame:
+def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-02: declared nodes plus attribute-less endpoints (``implicit = true``).
 
     Order of the node set = declared nodes by ``ord``, then implicit ones by
-    first appearance in the edge list.
+    first appearance in the edge list.  A node that is declared more than once
+    counts once.
     """
-    declared = dedupe_nodes(nodes) if dedupe else nodes
+    declared = dedupe_nodes(nodes)
     implicit = (endpoint_positions(edges)
                 .join(declared.select(*G, "id"), [*G, "id"], "left_anti")
                 .withColumn("implicit", F.lit(True)))
@@ -84,9 +85,24 @@ def raw_edge_count(edges: DataFrame, nodes_dependencies: DataFrame | None = None
             .select(*G, F.coalesce("raw_edges", "dep_edges", F.lit(0)).cast("bigint").alias("raw_edges")))
 
 
-def transitions_from_versions(versions: DataFrame, order_col: str = "version") -> DataFrame:
-    """Adjacent version pairs per project (the version table is one row per graph)."""
-    w = Window.partitionBy("project").orderBy(order_col)
+def version_key(version: Column) -> Column:
+    """Sort key of a version name: runs of digits compare as numbers (1.9 before 1.10), the rest as text."""
+    parts = F.regexp_extract_all(version, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def part(p: Column) -> Column:
+        number = F.when(p.rlike("^[0-9]"), F.regexp_replace(p, "^0+(?=[0-9])", ""))
+        # text before numbers; a longer number is a larger one
+        return F.struct(F.coalesce(F.length(number), F.lit(0)).alias("n"), F.coalesce(number, p).alias("t"))
+    return F.transform(parts, part)
+
+
+def transitions_from_versions(versions: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Adjacent version pairs per project (the version table is one row per graph).
+
+    ``order_col`` names the release time or any other order; without it the
+    version names are ordered by :func:`version_key`.
+    """
+    w = Window.partitionBy("project").orderBy(*([order_col] if order_col else [version_key(F.col("version")), "version"]))
     return (versions.select("project", F.col("version").alias("v_old"),
                             F.lead("version").over(w).alias("v_new"))
             .where(F.col("v_new").isNotNull()))

@@ -98,6 +98,9 @@ def intent_violations(summary: DataFrame, intents=None, resolve: bool = True,
     (payload form, INT-08).  Each intent is checked in order, cycle rule first.
     """
     its = F.col(intents_col) if intents_col else intents_column(intents)
+    # the exact verdict, where the summary has it; a cycle too long for the listing counts as one
+    new_cycle = F.col("has_new_cycle") if "has_new_cycle" in summary.columns else F.col("new_cycles") > 0
+    n_cycles = F.greatest("new_cycles", F.lit(1))
     head, tail = CYCLE_VIOLATION.split("{n}")
     c_head, c_rest = CHANGE_VIOLATION.split("{nodes}")
     c_mid, c_tail = c_rest.split("{edges}")
@@ -106,8 +109,8 @@ def intent_violations(summary: DataFrame, intents=None, resolve: bool = True,
 
     def per_intent(t):
         low = F.lower(t)
-        cyc = F.when(low.contains(CYCLE_RULE_KEY) & (F.col("new_cycles") > 0), F.concat(
-            F.lit(head), F.col("new_cycles").cast("string"), F.lit(t_pre), t, F.lit(t_post)))
+        cyc = F.when(low.contains(CYCLE_RULE_KEY) & new_cycle, F.concat(
+            F.lit(head), n_cycles.cast("string"), F.lit(t_pre), t, F.lit(t_post)))
         chg = F.when(low.contains(CHANGE_RULE_KEY)
                      & ((F.col("added_nodes") > CHANGE_NODE_LIMIT) | (F.col("added_edges") > CHANGE_EDGE_LIMIT)),
                      F.concat(F.lit(c_head), F.col("added_nodes").cast("string"), F.lit(c_mid),
@@ -119,7 +122,7 @@ def intent_violations(summary: DataFrame, intents=None, resolve: bool = True,
                             | F.lower(t).contains(CYCLE_INTENT_KEYS[1]))
     stability = F.exists(its, lambda t: F.lower(t).contains(STABILITY_INTENT_KEYS[0])
                          | F.lower(t).contains(STABILITY_INTENT_KEYS[1]))
-    conflict = F.lit(resolve) & cycle_intent & stability & (F.col("new_cycles") > 0)
+    conflict = F.lit(resolve) & cycle_intent & stability & new_cycle
     resolved = F.concat(F.filter(viol, lambda v: ~F.lower(v).contains(CHANGE_RULE_KEY)),
                         F.array(F.lit(RESOLVED)))
     empty = F.array().cast("array<string>")
@@ -164,7 +167,8 @@ def dashboard_status(summary: DataFrame, limit_rows: DataFrame, intents) -> Data
     off = (limit_rows.where(F.col("kind") == "max-coupling").groupBy(*T)
            .agg(F.count(F.lit(1)).alias("n_over")))
     s = summary.join(off, T, "left")
-    bad = (F.lit(no_cycles) & (F.col("new_cycles") > 0)) | (F.coalesce("n_over", F.lit(0)) > 0)
+    new_cycle = F.col("has_new_cycle") if "has_new_cycle" in summary.columns else F.col("new_cycles") > 0
+    bad = (F.lit(no_cycles) & new_cycle) | (F.coalesce("n_over", F.lit(0)) > 0)
     return s.withColumn("conformance", F.when(bad, "NON-CONFORMANT").otherwise("CONFORMANT")).drop("n_over")
 
 

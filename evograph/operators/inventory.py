@@ -113,15 +113,17 @@ def assign_workers(batch: DataFrame, k: int) -> DataFrame:
     return batch.withColumn("worker_no", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
-def apply_claims(inventory: DataFrame, claims: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+def apply_claims(inventory: DataFrame, claims: DataFrame, now,
+                 timeout_minutes: int = STALE_TIMEOUT_MINUTES) -> tuple[DataFrame, DataFrame]:
     """INV-05: claimed rows become processing with ``claimed_at = now`` and the worker id.
 
-    ``claims(owner, repo, worker_id)``.  Returns (new inventory, history rows);
-    history keeps the true previous status.
+    ``claims(owner, repo, worker_id)``.  Of several claims of a row the smallest
+    worker id wins; only rows that are claimable at ``now`` are claimed.  Returns
+    (new inventory, history rows); history keeps the true previous status.
     """
-    c = claims.select(*K, F.col("worker_id").alias("c_worker"), F.lit(True).alias("_claimed"))
+    c = claims.groupBy(*K).agg(F.min("worker_id").alias("c_worker")).withColumn("_claimed", F.lit(True))
     j = inventory.join(c, K, "left")
-    hit = F.col("_claimed").isNotNull()
+    hit = F.col("_claimed").isNotNull() & F.coalesce(eligible(inventory, now, timeout_minutes), F.lit(False))
     cols = []
     for col in inventory.columns:
         if col == "status":
@@ -139,16 +141,21 @@ def apply_claims(inventory: DataFrame, claims: DataFrame, now) -> tuple[DataFram
 
 
 def apply_status(inventory: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """INV-06: ``updates(owner, repo, status, error_msg, ts[, worker_id])`` set status,
-    error and ``processed_at``; the history row carries the previous status."""
+    """INV-06: ``updates(owner, repo, status, error_msg, ts[, sequence][, worker_id])`` set status,
+    error and ``processed_at``.  The last update of a row by ``(ts, sequence)`` decides; every update
+    of a queue row is one history row, whose previous status is that of the update before it (for
+    the first one: of the queue)."""
     u = updates.select(*K, F.col("status").alias("u_status"), F.col("error_msg").alias("u_error"),
                        F.col("ts").alias("u_ts"),
                        (F.col("worker_id") if "worker_id" in updates.columns else F.lit(None).cast("string"))
-                       .alias("u_worker"), F.lit(True).alias("_upd"))
+                       .alias("u_worker"), F.lit(True).alias("_upd"),
+                       (F.col("sequence") if "sequence" in updates.columns else F.lit(0)).cast("long").alias("_seq"))
+    place = ["u_ts", "_seq", "u_status", "u_error", "u_worker"]
+    last = u.groupBy(*K).agg(F.max(F.struct(*place)).alias("_last")).select(*K, "_last.*", F.lit(True).alias("_upd"))
     for c in ("error_msg", "processed_at"):
         if c not in inventory.columns:
             inventory = inventory.withColumn(c, F.lit(None).cast(INVENTORY_SCHEMA[c].dataType))
-    j = inventory.join(u, K, "left")
+    j = inventory.join(last, K, "left")
     hit = F.col("_upd").isNotNull()
     cols = []
     for col in inventory.columns:
@@ -160,9 +167,13 @@ def apply_status(inventory: DataFrame, updates: DataFrame) -> tuple[DataFrame, D
             cols.append(F.when(hit, F.col("u_ts")).otherwise(F.col("processed_at")).alias(col))
         else:
             cols.append(F.col(col))
-    hist = j.where(hit).select(*K, F.col("status").alias("from_status"), F.col("u_status").alias("to_status"),
-                               F.col("u_ts").alias("transitioned_at"), F.col("u_error").alias("error_msg"),
-                               F.col("u_worker").alias("worker_id"))
+    # a row of the queue sees few updates in a batch
+    w = Window.partitionBy(*K).orderBy(*place)
+    seq = u.withColumn("_prev", F.lag("u_status").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    hist = (inventory.select(*K, F.col("status").alias("_queue_status")).join(seq, K)
+            .select(*K, F.when(F.col("_first"), F.col("_queue_status")).otherwise(F.col("_prev")).alias("from_status"),
+                    F.col("u_status").alias("to_status"), F.col("u_ts").alias("transitioned_at"),
+                    F.col("u_error").alias("error_msg"), F.col("u_worker").alias("worker_id")))
     return j.select(*cols), hist
 
 

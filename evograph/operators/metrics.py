@@ -111,23 +111,31 @@ def _latest_report_entries(findings: DataFrame) -> DataFrame:
     """A later report entry with the same basename replaces the earlier one."""
     if "report_file" not in findings.columns:
         return findings
-    last = findings.groupBy("basename").agg(F.max("report_file").alias("report_file"))
-    return findings.join(last, ["basename", "report_file"], "left_semi")
+    keys = _finding_keys(findings)
+    last = findings.groupBy(*keys).agg(F.max("report_file").alias("report_file"))
+    return findings.join(last, [*keys, "report_file"], "left_semi")
+
+
+def _finding_keys(findings: DataFrame) -> list[str]:
+    """A basename names a file of one graph when the findings say which."""
+    return [*[c for c in G if c in findings.columns], "basename"]
 
 
 def merge_static_analysis(nodes: DataFrame, findings: DataFrame) -> DataFrame:
     """MET-08: attach static-analysis findings to nodes by file basename.
 
-    ``findings(basename, rule, ruleset, priority, begin_line, message[, report_file])``.
+    ``findings([project, version,] basename, rule, ruleset, priority, begin_line, message[, report_file])``;
+    findings that name their project and version stay with that graph.
     Findings are counted per basename first (partial aggregation), then one
     equi-join adds ``violation_count`` to every node whose file has that
     basename; a file holding two classes counts for both.  The per-node list
     itself is :func:`node_violations` (long form, no nested collection).
     """
-    per_file = (_latest_report_entries(findings).groupBy("basename")
+    keys = _finding_keys(findings)
+    per_file = (_latest_report_entries(findings).groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("violation_count")))
     base = nodes.withColumn("basename", F.element_at(F.split(F.col("file_path"), "/"), -1))
-    return (base.join(per_file, "basename", "left")
+    return (base.join(per_file, keys, "left")
             .withColumn("violation_count", F.coalesce("violation_count", F.lit(0)).cast("bigint"))
             .drop("basename"))
 
@@ -135,7 +143,7 @@ def merge_static_analysis(nodes: DataFrame, findings: DataFrame) -> DataFrame:
 def node_violations(nodes: DataFrame, findings: DataFrame) -> DataFrame:
     """MET-08 (list form): one row per (node, finding)."""
     base = nodes.select(*G, "id", F.element_at(F.split(F.col("file_path"), "/"), -1).alias("basename"))
-    return base.join(_latest_report_entries(findings), "basename")
+    return base.join(_latest_report_entries(findings), _finding_keys(findings))
 
 
 def total_violations(nodes: DataFrame, findings: DataFrame) -> DataFrame:

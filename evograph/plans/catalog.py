@@ -129,8 +129,8 @@ def q_scc_labels(spark, sf):
 
 @register("cyc_simple_cycles")
 def q_simple_cycles(spark, sf):
-    return cycles.simple_cycles(fx.dep_edges(spark, sf), 5, 100).select(
-        "project", "version", "cycle_str", "length", "n_cycles", "truncated")
+    return cycles.simple_cycles(fx.dep_edges(spark, sf), 5).select(
+        "project", "version", "cycle_str", "length", "n_cycles", "length_bound")
 
 
 @register("cyc_cycle_changes")
@@ -250,6 +250,7 @@ INTENTS = fx.FIXTURE_INTENTS
 def _judged(spark, sf, resolve=True):
     nodes, edges, tr = _g(spark, sf)
     s = diff.diff_summary(nodes, edges, tr, cycles.cycle_changes(edges, tr))
+    s = cycles.with_exact_verdict(s, nodes, edges)
     return it.intent_status(it.intent_violations(s, INTENTS, resolve=resolve))
 
 

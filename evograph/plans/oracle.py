@@ -223,9 +223,8 @@ FROM transitions t JOIN sysm a ON a.project = t.project AND a.version = t.v_old
 JOIN sysm b ON b.project = t.project AND b.version = t.v_new"""
 
 Q["cyc_simple_cycles"] = w(FIX, CYC) + """
-SELECT project, version, cycle_str, length, n_cycles, n_cycles > 100 AS truncated FROM (
-  SELECT *, row_number() OVER (PARTITION BY project, version ORDER BY length, cycle_str) AS rn,
-         count(*) OVER (PARTITION BY project, version) AS n_cycles FROM cyc) WHERE rn <= 100"""
+SELECT project, version, cycle_str, length, count(*) OVER (PARTITION BY project, version) AS n_cycles,
+       5 AS length_bound FROM cyc"""
 
 Q["cyc_cycle_changes"] = w(FIX, CYC, CYC_CHANGES) + "SELECT * FROM cyc_changes"
 
@@ -690,7 +689,8 @@ status_events AS (
          event_type AS to_status, ts AS transitioned_at,
          CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error_msg,
          'w' || (user_id % 4) AS worker_id, event_id, user_id AS repo_key
-  FROM events)
+  FROM (SELECT * REPLACE (CASE WHEN event_type = 'view' THEN 'processing' ELSE event_type END AS event_type)
+        FROM events))
 """
 
 Q["inv_current_status"] = w(EVENTS_FIX) + """

@@ -17,11 +17,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``. That is
     the size check behind every broadcast of a data-derived table here.
     """
-    master = master or os.environ.get("EVOGRAPH_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("EVOGRAPH_SHUFFLE_PARTITIONS", "8"))
+    builder = SparkSession.builder.appName(app_name)
+    master = master or os.environ.get("EVOGRAPH_MASTER")
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # a submitted job brings its own cluster settings
+        parts = shuffle_partitions or int(os.environ.get("EVOGRAPH_SHUFFLE_PARTITIONS", "8"))
+        builder = (builder.master(master or "local[8]").config("spark.sql.shuffle.partitions", str(parts))
+                   .config("spark.driver.memory", os.environ.get("EVOGRAPH_DRIVER_MEMORY", "16g")))
     builder = (
-        SparkSession.builder.master(master).appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -32,7 +35,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("EVOGRAPH_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
