@@ -1,3 +1,88 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The other operators have brute-force tests: packing (many optimal placements), SimHash (no XXH64 in
+SQL), toxicity and quality models (fits), PII (iterative patterns), BPE (tokens).
+"""
+
+from evograph.llm.quality_rules import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, WINDOW
+
+_GRID = ", ".join(f"('{r}', '{m}', {s}, {j}, {c!r})" for r, (m, s, g) in RULES.items() for j, c in enumerate(g))
+_METRIC = "CASE metric " + " ".join(f"WHEN '{m}' THEN {m}" for m in dict.fromkeys(m for m, _, _ in RULES.values())) + " END"
+
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+o AS (SELECT doc_id, o, substr(h, 512 * o + 1, 610) AS h  -- blocks, as a substring is found from the start
+      FROM (SELECT doc_id, h, unnest(range((len(h) + 511) // 512)) AS o FROM d)),
+b AS (SELECT doc_id, 256 * o + i AS i, substr(h, 2 * i + 1, 100) AS k
+      FROM (SELECT doc_id, o, h, unnest(range(least(256, len(h) // 2))) AS i FROM o)),
+s AS (SELECT * FROM b WHERE len(k) = 100),
+m AS (SELECT k, min(doc_id) AS f FROM s GROUP BY k),
+c AS (SELECT s.doc_id, s.i FROM s JOIN m USING (k) WHERE m.f < s.doc_id),
+t AS (SELECT b.doc_id, b.i, substr(b.k, 1, 2) AS x,
+             b.i - max(c.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) < 50 AS gone
+      FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND b.i = c.i),
+u AS (SELECT doc_id, i, x, coalesce(gone, false) AS gone,
+             coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM t),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+             string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(r.n_removed, 0) AS n_removed,
+       coalesce(r.n_spans, 0) AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (
+          SELECT doc_id, i, unnest(range({WINDOW})) AS j FROM (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+base AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+                CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+         FROM d LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+             n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars,
+             n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT m.* FROM m SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+grid(rule, metric, sign, j, cutoff) AS (VALUES {_GRID}),
+risk AS (SELECT stratum, rule, j, count(*) AS n, count(*) FILTER (({_METRIC}) * sign > cutoff * sign) AS k
+         FROM held, grid GROUP BY stratum, rule, j),
+tail AS (SELECT stratum, rule, j, CASE WHEN k < n * {ALPHA / len(RULES)!r} THEN list_sum(list_transform(range(k + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)!r}::DOUBLE)
+               + (n - i) * ln(1 - {ALPHA / len(RULES)!r}::DOUBLE)))) ELSE 1 END AS p FROM risk),
+steps AS (SELECT stratum, rule, j, bool_and(p <= {DELTA!r} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES)}))
+                 OVER (PARTITION BY stratum, rule ORDER BY j) AS ok FROM tail),
+cut AS (SELECT stratum, rule, max(j) AS j FROM steps WHERE ok GROUP BY stratum, rule),
+bad AS (SELECT DISTINCT doc_id FROM m JOIN cut USING (stratum) JOIN grid USING (rule, j)
+        WHERE ({_METRIC}) * sign > cutoff * sign)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND bad.doc_id IS NULL AS kept FROM m LEFT JOIN bad USING (doc_id)"""
+
+OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+OP10 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(h, 10 * (k // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31 AS INTEGER) + 1, 1)), '')
+        AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+ORACLE: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "op6_exact_top_k": OP6,
+                          "op10_warc_round_trip": OP10}
