@@ -144,46 +144,82 @@ def ratios(grams: DataFrame) -> DataFrame:
     return seen.unionByName(contexts)
 
 
-def _slot(gram: str) -> int:
-    from xxhash import xxh64_intdigest
-    return xxh64_intdigest(gram.encode(), 42) & (SLOTS - 1)
+def _slots(codes: list[np.ndarray]) -> np.ndarray:
+    """Slots of n-grams given as one array of code points for each place."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(codes[0]), np.uint64)
+        for c in codes:
+            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h & np.uint64(SLOTS - 1)).astype(np.int32)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _slotted(table: DataFrame) -> DataFrame:
+    """slot, llr; all n-grams have ORDER characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = _codes("".join(b.column(0).to_pylist())).reshape(-1, ORDER)
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(list(codes.T))), b.column(1)], ["slot", "llr"])
+    return table.select("gram", "llr").mapInArrow(run, "slot int, llr double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Slots and log ratios, in order of the slots. At most SLOTS rows reach the driver."""
     words = materialize(word_counts(docs, _bounded(labels, 0)), "toxic_words")
-    table = (ratios(materialize(gram_counts(words), "toxic_grams"))
+    table = (_slotted(ratios(materialize(gram_counts(words), "toxic_grams")))
              # of n-grams in one slot the strongest counts
-             .groupBy(F.xxhash64("gram").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
-             .agg(F.max_by("llr", F.abs("llr")).cast("float").alias("llr")).toPandas().sort_values("slot"))
+             .groupBy("slot").agg(F.max_by("llr", F.abs("llr")).cast("float").alias("llr")).toPandas().sort_values("slot"))
     return table["slot"].to_numpy(np.int32), table["llr"].to_numpy(np.float32)
 
 
-class _Scorer(dict):
-    """Word -> its log-likelihood difference."""
+class _Scorer:
+    """Log-likelihood differences of words; those of a whole chunk of text are worked out together."""
 
     def __init__(self, slots: np.ndarray, llr: np.ndarray) -> None:
-        super().__init__()
-        self.slots, self.llr = slots, llr
-
-    def _find(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        k = np.array(keys, np.int32)
-        at = np.minimum(np.searchsorted(self.slots, k), len(self.slots) - 1)
-        return self.slots[at] == k, self.llr[at]
-
-    def __missing__(self, word: str) -> float:
+        self.slots, self.llr, self.known = slots, llr, {}
+
+    def _find(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
+        return self.slots[at] == slots, self.llr[at]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) >= _TABLE_ROWS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
         if not len(self.slots):
-            return 0.0
-        padded = "^" * (ORDER - 1) + word + "$"
-        grams = [padded[i:i + ORDER] for i in range(len(word) + 1)]
-        known, llr = self._find([_slot(g) for g in grams])
-        context, backed = self._find([_slot(g[:-1] + " ") for g in grams])
-        got = float(np.where(known, llr, np.where(context, backed, 0.0)).sum())
-        if len(self) >= _TABLE_ROWS:
-            self.clear()
-        if len(word) < 64:
-            self[word] = got
-        return got
+            self.known.update(dict.fromkeys(new, 0.0))
+            return
+        pad = "^" * (ORDER - 1)
+        codes = _codes("".join([f"{pad}{w}$" for w in new]))
+        n = np.fromiter(map(len, new), np.int64, len(new)) + ORDER
+        begin = np.cumsum(n) - n
+        inside = np.ones(len(codes), bool)  # the last characters of a word begin no n-gram
+        for d in range(1, ORDER):
+            inside[begin + n - d] = False
+        at = np.flatnonzero(inside)
+        places = [codes[at + d] for d in range(ORDER)]
+        seen, llr = self._find(_slots(places))
+        context, backed = self._find(_slots([*places[:-1], np.full(len(at), ord(" "), "<u4")]))
+        value = np.where(seen, llr, np.where(context, backed, 0.0)).astype(float)
+        grams = n - ORDER + 1
+        self.known.update(zip(new, np.add.reduceat(value, np.cumsum(grams) - grams).tolist()))
+
+
+def _described(words: list[str], known: dict[str, float]) -> tuple[float, ...]:
+    """FEATURES of a text."""
+    if not words:
+        return 0.0, 0.0, 0.0, 0.0
+    s = np.fromiter(map(known.__getitem__, words), float, len(words))
+    n = np.fromiter(map(len, words), float, len(words)) + 1
+    top = np.sort(np.partition(s, -2)[-2:] if len(s) > 2 else s)[::-1]
+    return s.sum() / n.sum(), top[0], top[1] if len(top) > 1 else 0.0, (s / n).max()
 
 
 def features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -193,16 +229,19 @@ def features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*model_.value)
         for b in batches:
-            rows = []
+            rows, chunk, size = [], [], 0
+
+            def flush() -> None:
+                scorer.learn(set().union(*chunk))
+                rows.extend(_described(words, scorer.known) for words in chunk)
             for text in b.column(1):
-                words = _words(text.as_py())
-                if not words:
-                    rows.append((0.0, 0.0, 0.0, 0.0))
-                    continue
-                s = np.fromiter(map(scorer.__getitem__, words), float, len(words))
-                n = np.fromiter(map(len, words), float, len(words)) + 1
-                top = np.sort(np.partition(s, -2)[-2:] if len(s) > 2 else s)[::-1]
-                rows.append((s.sum() / n.sum(), top[0], top[1] if len(top) > 1 else 0.0, (s / n).max()))
+                chunk.append(_words(text.as_py()))
+                size += len(chunk[-1])
+                if size > 1 << 17:
+                    flush()
+                    chunk, size = [], 0
+            if chunk:
+                flush()
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", *FEATURES])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
