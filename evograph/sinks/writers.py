@@ -9,6 +9,8 @@ document, and no graph is ever collected into one row or one task.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,42 +69,59 @@ def write_graph_text(nodes: DataFrame, edges: DataFrame, versions: DataFrame, pa
     _write_lines(graph_text_lines(nodes, edges, versions), G, path, **kw)
 
 
+# The context of a graph document.
+ONTOLOGY = "https://w3id.org/impact/ontology#"
+DOCUMENT_CONTEXT = {
+    "@vocab": ONTOLOGY, "projectName": "projectName", "version": "versionString", "language": "language",
+    "extractedAt": "extractedAt", "extractionStart": "extractionStart", "extractionEnd": "extractionEnd",
+    "systemMetrics": "systemMetrics", "nodes": "hasEntity", "edges": "hasDependency", "id": "@id", "type": "@type",
+    "source": {"@id": ONTOLOGY + "source", "@type": "@id"}, "target": {"@id": ONTOLOGY + "target", "@type": "@id"},
+    **dict.fromkeys(["class"], ONTOLOGY + "ClassEntity"), **dict.fromkeys(["interface"], ONTOLOGY + "InterfaceEntity"),
+    **dict.fromkeys(["module", "package", "file"], ONTOLOGY + "ModuleEntity"),
+    **dict.fromkeys(["function"], ONTOLOGY + "FunctionEntity"),
+    **dict.fromkeys(["calls", "inherits", "inheritance", "imports", "implements", "aggregates", "depends_on"],
+                    ONTOLOGY + "Dependency"),
+}
+
+
 def graph_json_lines(nodes: DataFrame, edges: DataFrame, versions: DataFrame) -> DataFrame:
     """SNK-02 layout: a JSON document per graph, one node / edge object per line.
 
-    Separating commas lead each element line except the first of its array
-    (the first element is found with a per-graph ``min``, one value per
-    graph).  Every element line also carries ``kind`` and ``ord`` so it can
-    be parsed on its own (:func:`evograph.sources.readers.read_graph_parts`).
+    The document is the one that :func:`evograph.sources.readers.read_graphs` takes: context,
+    coordinates, system metrics, plain node and edge objects.  Every element also carries its
+    position ``ord``, so a line can be parsed on its own
+    (:func:`evograph.sources.readers.read_graph_parts`).  Separating commas lead each element line
+    except the first of its array (found with a per-graph ``min``, one value per graph).
     """
     sm = [c for c in ("total_loc", "total_classes", "avg_coupling") if c in versions.columns]
     sys_metrics = F.struct(*[F.col(c).alias(n) for c, n in
                              zip(sm, ["totalLinesOfCode", "totalClasses", "averageCoupling"][:len(sm)])])
+    optional = [(c, n) for c, n in [("language", "language"), ("extracted_at", "extractedAt")] if c in versions.columns]
+    fields = F.to_json(F.struct(F.col("project").alias("projectName"), F.col("version").alias("version"),
+                                *[F.col(c).alias(n) for c, n in optional], sys_metrics.alias("systemMetrics")))
     head = versions.select(*G, F.lit(0).alias("sec"), F.lit(0).cast("bigint").alias("k"), F.concat(
-        F.lit('{"projectName": '), F.to_json(F.array("project")).substr(F.lit(2), F.length(F.to_json(F.array("project"))) - 2),
-        F.lit(', "version": '), F.to_json(F.array("version")).substr(F.lit(2), F.length(F.to_json(F.array("version"))) - 2),
-        F.lit(', "systemMetrics": '), F.to_json(sys_metrics), F.lit(', "nodes": [')).alias("line"))
+        F.lit('{"@context": ' + json.dumps(DOCUMENT_CONTEXT) + ", "), F.substring(fields, F.lit(2), F.length(fields) - 2),
+        F.lit(', "nodes": [')).alias("line"))
     metric_cols = [(c, n) for c, n in [("loc", "loc"), ("complexity", "complexity"), ("fan_in", "fanIn"),
                                        ("fan_out", "fanOut"), ("coupling", "coupling"),
                                        ("inheritance_depth", "inheritanceDepth")] if c in nodes.columns]
-    node_obj = F.struct(F.col("id").cast("string").alias("id"), F.col("name").alias("name"),
-                        F.col("type").alias("type"), F.col("file_path").alias("filePath"),
-                        F.to_json(F.struct(*[F.col(c).alias(n) for c, n in metric_cols])).alias("metrics"))
+    node_obj = F.to_json(F.struct(
+        F.col("id").cast("string").alias("id"), F.col("name").alias("name"), F.col("type").alias("type"),
+        F.col("file_path").alias("filePath"), F.struct(*[F.col(c).alias(n) for c, n in metric_cols]).alias("metrics"),
+        F.col("ord").alias("ord")))
     first_n = nodes.groupBy(*G).agg(F.min("ord").alias("_first"))
     nl = nodes.join(first_n, G).select(
         *G, F.lit(1).alias("sec"), F.col("ord").cast("bigint").alias("k"),
-        F.concat(F.when(F.col("ord") == F.col("_first"), F.lit("")).otherwise(F.lit(",")),
-                 F.to_json(F.struct(F.lit("node").alias("kind"), F.col("ord").alias("ord"),
-                                    node_obj.alias("node")))).alias("line"))
+        F.concat(F.when(F.col("ord") == F.col("_first"), F.lit("")).otherwise(F.lit(",")), node_obj).alias("line"))
     mid = versions.select(*G, F.lit(2).alias("sec"), F.lit(0).cast("bigint").alias("k"),
                           F.lit('], "edges": [').alias("line"))
     first_e = edges.groupBy(*G).agg(F.min("ord").alias("_first"))
+    edge_obj = F.to_json(F.struct(F.col("source").cast("string").alias("source"),
+                                  F.col("target").cast("string").alias("target"), F.col("type").alias("type"),
+                                  F.col("ord").alias("ord")))
     el = edges.join(first_e, G).select(
         *G, F.lit(3).alias("sec"), F.col("ord").cast("bigint").alias("k"),
-        F.concat(F.when(F.col("ord") == F.col("_first"), F.lit("")).otherwise(F.lit(",")),
-                 F.to_json(F.struct(F.lit("edge").alias("kind"), F.col("ord").alias("ord"), F.struct(
-                     F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"),
-                     F.col("type").alias("type")).alias("edge")))).alias("line"))
+        F.concat(F.when(F.col("ord") == F.col("_first"), F.lit("")).otherwise(F.lit(",")), edge_obj).alias("line"))
     tail = versions.select(*G, F.lit(4).alias("sec"), F.lit(0).cast("bigint").alias("k"), F.lit("]}").alias("line"))
     return head.unionByName(nl).unionByName(mid).unionByName(el).unionByName(tail)
 
