@@ -164,20 +164,25 @@ def cycle_changes(edges: DataFrame, transitions: DataFrame, max_len: int = 5) ->
 
 # ---------------------------------------------------------------- SCC
 
+def _colour(c: str) -> Column:
+    """A node as a colour: ordered by hash, so that the order does not follow a call chain."""
+    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+
+
 def _min_label(lab: DataFrame, e: DataFrame, src: str, dst: str) -> DataFrame:
-    """Propagate the minimum label along ``src -> dst`` edges until stable.
+    """Propagate the least colour along ``src -> dst`` edges until stable.
 
-    ``lab(project, version, id, c)``.  Each round takes the minimum over the
-    in-neighbours' labels and also jumps through the label's own label
-    (``c(c(v))``, still a node connected in the same direction), so the number
-    of rounds grows with the logarithm of the path lengths.  One Parquet
-    write per round cuts the lineage.
+    ``lab(project, version, id, c)``.  Each round takes the least over the
+    in-neighbours' colours and also jumps through the colour's own colour
+    (``c(c(v))``, still a node connected in the same direction), so what a
+    node has seen grows by a factor each round.  One Parquet write per round
+    cuts the lineage.
     """
-    while True:  # labels only fall, so this ends
+    while True:  # colours only fall, so this ends
         msg = (e.join(lab.select(*G, F.col("id").alias(src), "c"), [*G, src])
                .groupBy(*G, F.col(dst).alias("id")).agg(F.min("c").alias("m")))
-        jump = lab.select(*G, F.col("id").alias("c"), F.col("c").alias("cc"))
-        nxt = (lab.join(msg, [*G, "id"], "left").join(jump, [*G, "c"], "left")
+        jump = lab.select(*G, F.col("id").alias("root"), F.col("c").alias("cc"))
+        nxt = (lab.withColumn("root", F.col("c.id")).join(msg, [*G, "id"], "left").join(jump, [*G, "root"], "left")
                .select(*G, "id", F.least("c", F.coalesce("m", "c"), F.coalesce("cc", "c")).alias("c2"), "c"))
         nxt = cut_lineage(nxt.select(*G, "id", F.col("c2").alias("c"), (F.col("c2") < F.col("c")).alias("chg")),
                           "scc-label")
@@ -190,11 +195,13 @@ def scc_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """CYC-01: strongly connected component label (smallest member id) per node.
 
     Distributed colouring, all graphs at once: trim nodes without an in- or
-    out-edge (singleton components); forward min-label propagation gives each
-    node the smallest id that reaches it (its colour); backward min-label
-    propagation over same-colour edges gives the smallest id it reaches; a node
-    whose two labels agree lies in the SCC of its colour root.  Found
-    components leave the graph and the rest repeats on same-colour edges.
+    out-edge (singleton components); forward propagation gives each node the
+    least colour that reaches it; backward propagation over same-colour edges
+    gives the least colour it reaches; a node whose two colours agree lies in
+    the component of its colour's node.  Found components leave the graph and
+    the rest repeats on same-colour edges.  Colours are ordered by hash: a
+    chain then falls into parts of about half its length each time, whatever
+    its ids are, and the number of iterations grows with the logarithm.
     ``nodes`` needs ``(project, version, id)``.
     """
     v = cut_lineage(nodes.select(*G, "id").distinct(), "scc-v")
@@ -206,21 +213,21 @@ def scc_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ins = e.select(*G, F.col("t").alias("id")).distinct()
         kept = v.join(outs, [*G, "id"], "left_semi").join(ins, [*G, "id"], "left_semi")
         flagged = cut_lineage(v.join(kept.withColumn("k", F.lit(True)), [*G, "id"], "left"), "scc-trim")
-        done.append(flagged.where(F.col("k").isNull()).select(*G, "id", F.col("id").alias("scc")))
+        done.append(flagged.where(F.col("k").isNull()).select(*G, "id", F.col("id").alias("root")))
         v = flagged.where(F.col("k")).select(*G, "id")
         if v.limit(1).count() == 0:
             break
         e = (e.join(v.select(*G, F.col("id").alias("s")), [*G, "s"], "left_semi")
              .join(v.select(*G, F.col("id").alias("t")), [*G, "t"], "left_semi"))
-        fwd = _min_label(v.withColumn("c", F.col("id")), e, "s", "t")
+        fwd = _min_label(v.withColumn("c", _colour("id")), e, "s", "t")
         ce = cut_lineage(
             e.join(fwd.select(*G, F.col("id").alias("s"), F.col("c").alias("cs")), [*G, "s"])
              .join(fwd.select(*G, F.col("id").alias("t"), F.col("c").alias("ct")), [*G, "t"])
              .where(F.col("cs") == F.col("ct")).select(*G, "s", "t"), "scc-ce")
-        bwd = _min_label(v.withColumn("c", F.col("id")), ce, "t", "s")
+        bwd = _min_label(v.withColumn("c", _colour("id")), ce, "t", "s")
         res = cut_lineage(fwd.join(bwd.withColumnRenamed("c", "b"), [*G, "id"])
                           .withColumn("found", F.col("b") == F.col("c")), "scc-res")
-        done.append(res.where("found").select(*G, "id", F.col("c").alias("scc")))
+        done.append(res.where("found").select(*G, "id", F.col("c.id").alias("root")))
         v = res.where(~F.col("found")).select(*G, "id")
         if v.limit(1).count() == 0:
             break
@@ -231,7 +238,8 @@ def scc_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    least = out.groupBy(*G, "root").agg(F.min("id").alias("scc"))
+    return out.join(least, [*G, "root"]).select(*G, "id", "scc")
 
 
 def has_new_cycle(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,

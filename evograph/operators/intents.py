@@ -347,22 +347,13 @@ def analysis_prompt(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,
                      F.lit("]")).alias("x"))
 
     def lst(df):
-        return (df.groupBy(*T, "k").agg(F.array_sort(F.collect_list(F.struct(F.col("o").cast("string").alias("o"), "x"))).alias("l"))
+        return (df.groupBy(*T, "k").agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("l"))
                 .select(*T, "k", F.concat(F.lit("["), F.array_join(F.transform("l", lambda e: e["x"]), ", "),
                                           F.lit("]")).alias("txt")))
 
-    # order keys are compared as zero-padded strings
-    def padded(df):
-        return df.withColumn("o", F.struct(F.col("o").getField("implicit").cast("string"),
-                                           F.lpad(F.col("o").getField("ord").cast("string"), 24, "0")))
-
-    lists = (lst(padded(added)).unionByName(lst(padded(removed)))
-             .unionByName(lst(edge_list(2, "ae").withColumn("o", F.struct(
-                 F.lpad(F.col("o.ord").cast("string"), 24, "0"), F.lpad(F.col("o.t").cast("string"), 24, "0")))))
-             .unionByName(lst(edge_list(1, "re").withColumn("o", F.struct(
-                 F.lpad(F.col("o.ord").cast("string"), 24, "0"), F.lpad(F.col("o.t").cast("string"), 24, "0")))))
-             .unionByName(lst(cyc_list("new", "nc").withColumn("o", F.col("o.ord"))))
-             .unionByName(lst(cyc_list("broken", "bc").withColumn("o", F.col("o.ord")))))
+    # lists are ordered by their typed keys
+    lists = (lst(added).unionByName(lst(removed)).unionByName(lst(edge_list(2, "ae"))).unionByName(lst(edge_list(1, "re")))
+             .unionByName(lst(cyc_list("new", "nc"))).unionByName(lst(cyc_list("broken", "bc"))))
     piv = lists.groupBy(*T).agg(*[F.max(F.when(F.col("k") == k, F.col("txt"))).alias(k)
                                   for k in ("an", "rn", "ae", "re", "nc", "bc")])
     summary = diff.diff_summary(nodes, edges, transitions, cc)

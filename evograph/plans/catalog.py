@@ -874,7 +874,7 @@ def q_ext_coord(spark, sf):
 from evograph.streaming import jobs as st  # noqa: E402
 
 
-def _stream(spark, records, build, name, mode="complete", n_files=4):
+def _stream(spark, records, build, name, mode="complete", n_files=None):
     """Land ``records`` as files, run ``build(stream)`` to completion, read the sink back."""
     base = scratch_path(spark, name)
     landing = st.land(records, base + "/landing", n_files)
