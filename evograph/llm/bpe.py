@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Entries that each table of a worker may hold.
 TABLE_LIMIT = 400_000
+#: Bytes read since the last emission from which emission is tried; shorter pieces emit at their end.
+HOLD = 16
 _PIECES = 1 << 17
 
 
@@ -42,6 +44,7 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self._reached: dict[int, bool] = {}
         self._beside: dict[tuple[int, int], bool] = {}
+        self._spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -51,7 +54,7 @@ class Transducer:
         self.ends: dict[int, tuple[int, ...]] = {}
 
     def merge(self, octets: bytes) -> list[int]:
-        """The plain rule, for two tokens at a time: the lowest rank merges first."""
+        """The plain rule: the lowest rank merges first."""
         parts = [octets[i:i + 1] for i in range(len(octets))]
         while True:
             best = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))),
@@ -60,13 +63,36 @@ class Transducer:
                 return [self.ranks[p] for p in parts]
             parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
+    def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The tokens that stand at one end (0 left, 1 right) while the token is made, last first, each with the rank of
+        the merge that takes it up."""
+        known = self._spines.get((token, side))
+        if known is None:
+            octets, known = self.octets[token], [(self.octets[token], 1 << 60)]
+            parts, steps = [octets[i:i + 1] for i in range(len(octets))], []
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                if i == (0 if side == 0 else len(parts) - 2):
+                    steps.append((parts[i + side], rank))
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            known += reversed(steps)
+            self._spines[token, side] = known
+        return known
+
     def beside(self, a: int, b: int) -> bool:
-        """Tokens a and b stay as they are when their bytes stand together."""
+        """Tokens a and b stay as they are when their bytes stand together: no merge over the border comes before
+        the merges that take its two sides up (of equal ranks the left one comes first)."""
         known = self._beside.get((a, b))
         if known is None:
-            if len(self._beside) >= 2 * TABLE_LIMIT:
+            if len(self._beside) >= 4 * TABLE_LIMIT:
                 self._beside.clear()
-            known = self._beside[a, b] = self.merge(self.octets[a] + self.octets[b]) == [a, b]
+            known = True
+            for left, until_left in self._spine(a, 1):
+                for right, until_right in self._spine(b, 0):
+                    rank = self.ranks.get(left + right)
+                    if rank is not None and rank < until_left and rank <= until_right:
+                        known = False
+            self._beside[a, b] = known
         return known
 
     def _step(self, state: int, octet: int) -> tuple[int, tuple[int, ...]]:
@@ -83,18 +109,8 @@ class Transducer:
                 break
         else:
             raise ValueError("a byte without a token")
-        # where a later token may start: here, or where the bytes up to here begin a longer token
-        live = [n, *(s for s in range(max(0, n - self.longest + 1), n) if read[s:] in self.starts)]
-        paths = []
-        for s in live:
-            path = {0}
-            while s > 0:
-                path.add(s)
-                s -= len(self.octets[last[s - 1]])
-            paths.append(path)
-        meet = max(set.intersection(*paths))
         out: tuple[int, ...] = ()
-        if meet:
+        if n >= HOLD and (meet := self._meet(read, last)):
             out = self._path(last[:meet])
             before, read, last = out[-1], read[meet:], last[meet:]
         key = (before, read, last)
@@ -105,6 +121,20 @@ class Transducer:
         self.moves[state << 8 | octet] = (to, out)
         return to, out
 
+    def _meet(self, read: bytes, last: tuple[int, ...]) -> int:
+        """The last place that the token paths of all places share where a later token may start: here, or
+        where the bytes up to here begin a longer token."""
+        n = len(read)
+        live = [n, *(s for s in range(max(0, n - self.longest + 1), n) if read[s:] in self.starts)]
+        common: set[int] | None = None
+        for s in live:
+            path = {0}
+            while s > 0:
+                path.add(s)
+                s -= len(self.octets[last[s - 1]])
+            common = path if common is None else common & path
+        return max(common or {0})
+
     def reached(self, token: int) -> bool:
         """The token's own bytes give the token (not so for ranks that no merge reaches)."""
         known = self._reached.get(token)
@@ -121,7 +151,7 @@ class Transducer:
 
     def ids(self, octets: bytes) -> Iterator[int]:
         """Ids of one piece, each emitted as soon as it is certain."""
-        if len(self.states) > TABLE_LIMIT // 4 or len(self.moves) > TABLE_LIMIT:
+        if len(self.states) > TABLE_LIMIT or len(self.moves) > 2 * TABLE_LIMIT:
             self._reset()
         state = 0
         for o in octets:
