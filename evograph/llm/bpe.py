@@ -99,7 +99,8 @@ class Transducer:
         before, read, last = self.states[state]
         read += bytes((octet,))
         n = len(read)
-        for start in range(max(0, n - self.longest), n):  # exactly one fits
+        grown = n - 1 - len(self.octets[last[-1]]) if last else 0  # most often the last token grows, or a byte is added
+        for start in (grown, n - 1, *range(max(0, n - self.longest), n)):  # exactly one fits
             token = self.ranks.get(read[start:])
             if token is None:
                 continue
