@@ -12,7 +12,8 @@ fitted on training documents that gave no counts, turns them into a score from 0
 
 The text only is ever scored. At most ``MAX_LABELLED`` labelled rows (by hash order) are
 used for the class counts and as many for the curve; this bounds what is broadcast. The
-fitted model is a table of at most ``SLOTS`` hashed n-grams. Corpus counts cover all rows.
+fitted model is a table of all n-grams of the labelled documents' words, under exact keys: no
+two n-grams share one. Corpus counts cover all rows.
 
 Defined results: null, empty and word-less texts score like a document without evidence;
 repeated rows count and score each; a document labelled more than once is toxic if any label
@@ -33,7 +34,6 @@ from evograph.session import materialize
 
 ORDER, DISCOUNT = 5, 0.75
 MAX_LABELLED = 200_000
-SLOTS = 1 << 22
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _TABLE_ROWS = 400_000
@@ -144,48 +144,75 @@ def ratios(grams: DataFrame) -> DataFrame:
     return seen.unionByName(contexts)
 
 
-def _slots(codes: list[np.ndarray]) -> np.ndarray:
-    """Slots of n-grams given as one array of code points for each place."""
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(codes[0]), np.uint64)
-        for c in codes:
-            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return (h & np.uint64(SLOTS - 1)).astype(np.int32)
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _slotted(table: DataFrame) -> DataFrame:
-    """slot, llr; all n-grams have ORDER characters."""
+def _packed(codes: list[np.ndarray]) -> np.ndarray:
+    """Up to three code points of 21 bits as one number."""
+    out = np.zeros(len(codes[0]), np.int64)
+    for c in codes:
+        out = out << 21 | c
+    return out
+
+
+def _coded(table: DataFrame) -> DataFrame:
+    """head (the first three characters), tail (the last two), llr; all n-grams have ORDER characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = _codes("".join(b.column(0).to_pylist())).reshape(-1, ORDER)
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(list(codes.T))), b.column(1)], ["slot", "llr"])
-    return table.select("gram", "llr").mapInArrow(run, "slot int, llr double")
+                codes = list(_codes("".join(b.column(0).to_pylist())).reshape(-1, ORDER).T)
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(codes[:3])), pa.array(_packed(codes[3:])), b.column(1)],
+                                                 ["head", "tail", "llr"])
+    return table.select("gram", F.col("llr").cast("float")).mapInArrow(run, "head long, tail long, llr float")
+
+
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and log ratios, in order of the slots. At most SLOTS rows reach the driver."""
+def model(table: DataFrame) -> Model:
+    """Heads, tails, keys and log ratios of a table (gram, llr). The key of an n-gram is made of the places of its head
+    and its tail among the heads and tails, each in order."""
+    got = _coded(table).toArrow()
+    heads, head = np.unique(got["head"].to_numpy(), return_inverse=True)
+    tails, tail = np.unique(got["tail"].to_numpy(), return_inverse=True)
+    keys = head.astype(np.int64) << 32 | tail
+    order = np.argsort(keys)
+    return heads, tails, keys[order], got["llr"].to_numpy()[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The exact model. The n-grams and contexts of the labelled documents' distinct words reach the driver."""
     words = materialize(word_counts(docs, _bounded(labels, 0)), "toxic_words")
-    table = (_slotted(ratios(materialize(gram_counts(words), "toxic_grams")))
-             # of n-grams in one slot the strongest counts
-             .groupBy("slot").agg(F.max_by("llr", F.abs("llr")).cast("float").alias("llr")).toPandas().sort_values("slot"))
-    return table["slot"].to_numpy(np.int32), table["llr"].to_numpy(np.float32)
+    return model(ratios(materialize(gram_counts(words), "toxic_grams")))
+
+
+def _place(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether ``sorted_`` holds each of ``x``, and where."""
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return sorted_[at] == x, at
 
 
 class _Scorer:
     """Log-likelihood differences of words; those of a whole chunk of text are worked out together."""
 
-    def __init__(self, slots: np.ndarray, llr: np.ndarray) -> None:
-        self.slots, self.llr, self.known = slots, llr, {}
-
-    def _find(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
-        return self.slots[at] == slots, self.llr[at]
+    def __init__(self, heads: np.ndarray, tails: np.ndarray, keys: np.ndarray, llr: np.ndarray) -> None:
+        self.heads, self.tails, self.keys, self.llr, self.known = heads, tails, keys, llr, {}
+
+    def _find(self, codes: list[np.ndarray]) -> np.ndarray:
+        """The ratios of n-grams given as one array of code points for each place, else of their contexts, else 0."""
+        value = np.zeros(len(codes[0]))
+        held, head = _place(self.heads, _packed(codes[:3]))
+        todo = np.flatnonzero(held)
+        for last in (codes[4], np.full(len(codes[0]), ord(" "), "<u4")):
+            if not len(todo):
+                break
+            held, tail = _place(self.tails, _packed([codes[3][todo], last[todo]]))
+            seen, at = _place(self.keys, head[todo].astype(np.int64) << 32 | tail)
+            seen &= held
+            value[todo[seen]] = self.llr[at[seen]]
+            todo = todo[~seen]
+        return value
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) >= _TABLE_ROWS:
@@ -193,7 +220,7 @@ class _Scorer:
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        if not len(self.slots):
+        if not len(self.keys):
             self.known.update(dict.fromkeys(new, 0.0))
             return
         pad = "^" * (ORDER - 1)
@@ -204,10 +231,7 @@ class _Scorer:
         for d in range(1, ORDER):
             inside[begin + n - d] = False
         at = np.flatnonzero(inside)
-        places = [codes[at + d] for d in range(ORDER)]
-        seen, llr = self._find(_slots(places))
-        context, backed = self._find(_slots([*places[:-1], np.full(len(at), ord(" "), "<u4")]))
-        value = np.where(seen, llr, np.where(context, backed, 0.0)).astype(float)
+        value = self._find([codes[at + d] for d in range(ORDER)])
         grams = n - ORDER + 1
         self.known.update(zip(new, np.add.reduceat(value, np.cumsum(grams) - grams).tolist()))
 
@@ -222,9 +246,9 @@ def _described(words: list[str], known: dict[str, float]) -> tuple[float, ...]:
     return s.sum() / n.sum(), top[0], top[1] if len(top) > 1 else 0.0, (s / n).max()
 
 
-def features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def features(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and FEATURES of every whole text."""
-    model_ = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS pairs of 8 bytes
+    model_ = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes an n-gram, 8 a head or tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*model_.value)

@@ -32,6 +32,28 @@ def test_kneser_ney_sums_to_one(spark):
     assert "^^ab " in table and "^^^x " in table
 
 
+def test_ngrams_are_never_merged(spark):
+    """More n-grams than the old table had slots: each keeps its ratio, and n-grams that are not held have none."""
+    n = (1 << 22) + 200_000
+    digits = [F.char(F.lit(97) + F.floor(F.col("id") / 26 ** k) % 26) for k in range(5)]
+    grams = spark.range(n).select(F.concat(*digits).alias("gram"), (F.col("id") + 1).cast("double").alias("llr"))
+    scorer = toxicity._Scorer(*toxicity.model(grams))
+
+    def gram(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(5))
+    at = [*range(0, n, 1009), n - 1, *range(n, 26 ** 5, 1009)]
+    got = scorer._find([toxicity._codes("".join(gram(i)[d] for i in at)) for d in range(5)])
+    assert got.tolist() == [i + 1 if i < n else 0 for i in at]
+
+
+def test_context_stands_in_for_its_ngrams(spark):
+    t = spark.createDataFrame([("ab漢de", 2.0), ("ab漢d ", -1.0), ("zzzz$", 4.0)], "gram string, llr double")
+    scorer = toxicity._Scorer(*toxicity.model(t))
+    asked = ["ab漢de", "ab漢dx", "ab漢xe", "zzzze", "qq漢de"]
+    got = scorer._find([toxicity._codes("".join(c)) for c in zip(*asked)])
+    assert got.tolist() == [2.0, -1.0, 0.0, 0.0, 0.0]
+
+
 def test_odd_texts_and_no_labels(spark):
     rows = [(1, None), (2, ""), (3, "12 34"), (4, "w" * 3000), (4, "w" * 3000), (None, "word")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
