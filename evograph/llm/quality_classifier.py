@@ -9,8 +9,9 @@ case), and coarse statistics of the whole text (share of capitals, of symbols, o
 distinct words, of distinct lines; lengths). Each distinct sign counts with
 ``1 + log(count)``, and a text's vector has length one.
 
-The regression is fitted on at most ``MAX_RATED`` rated documents (by hash order), whose
-vectors alone reach the driver; every document is scored. Rows of the held-out fold
+The regression is fitted on all signs of at most ``MAX_RATED`` rated documents (by hash
+order), whose vectors (at most ``DIM`` entries each) alone reach the driver, one partition at a
+time and into an unnamed file; every document is scored. Rows of the held-out fold
 (crc32 of the doc_id as text mod 3 is 1) are never fitted on.
 
 Defined results: null and empty texts have only their statistics; repeated rows score
@@ -22,6 +23,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +36,6 @@ from evograph.session import materialize
 
 DIM = 1 << 16
 MAX_RATED = 8_000
-#: Distinct signs of a document that the fit may hold, on average; longer vectors keep their largest entries in the
-#: fit alone (scores always use all).
-FIT_SIGNS = 2_000
 SELECT_GRADE = 1
 _ROUNDS, _BATCH, _RATE, _RIDGE = 12, 256, 0.3, 1e-6
 _WORDS = re.compile(r"[^ \t-\r]+")
@@ -62,7 +61,7 @@ def signs(text: str | None, slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
     text = text or ""
     words = _WORDS.findall(text)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text)) if len(text) < 1 << 16 else len(text) - len(words)
+    letters = sum(map(str.isalpha, text))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     marks = len(re.findall(r"[#*$%&|<>!?=_~^\\{}\[\]]", text))
     n = max(1, len(words))
@@ -85,29 +84,59 @@ def _rated(ratings: DataFrame) -> DataFrame:
     return one.where("__grade IS NOT NULL AND __id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(MAX_RATED)
 
 
-def fit(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, ordered thresholds, grades."""
+_ENTRY = np.dtype([("at", "<u2"), ("value", "<f4")])
+
+
+class _Vectors:
+    """Entries of the rated rows by their number, in an unnamed file of the driver."""
+
+    def __init__(self) -> None:
+        self.file, self.parts = tempfile.TemporaryFile(), {}
+
+    def add(self, row: int, entries: bytes) -> None:
+        self.parts[row] = self.file.tell(), len(entries)
+        self.file.write(entries)
+
+    def of(self, row: int) -> np.ndarray:
+        start, size = self.parts[row]
+        self.file.seek(start)
+        return np.frombuffer(self.file.read(size), _ENTRY)
+
+
+def _vectors(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, _Vectors]:
+    """Numbers and grades of the rated rows, in order of their hash, and their whole vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
         for b in batches:
-            got = [signs(t.as_py(), slots) for t in b.column(0)]
-            kept = []
-            for at, v in got:
-                order = np.sort(np.argsort(-v, kind="stable")[:FIT_SIGNS])
-                kept.append((at[order].astype("<i4").tobytes(), v[order].astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a for a, _ in kept], pa.binary()),
-                                              pa.array([v for _, v in kept], pa.binary())], ["grade", "at", "value"])
+            for i, text in enumerate(b.column(0)):  # a row at a time: vectors of long texts are large
+                at, v = signs(text.as_py(), slots)
+                every = np.bincount(at, v, DIM)
+                entries = np.empty(np.count_nonzero(every), _ENTRY)
+                entries["at"] = np.flatnonzero(every)
+                entries["value"] = every[entries["at"]]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(2).slice(i, 1),
+                                                  pa.array([entries.tobytes()], pa.binary())], ["grade", "hash", "entries"])
     rated = docs.select("doc_id", "text").join(F.broadcast(_rated(ratings)), F.col("doc_id") == F.col("__id"))
+    rows = materialize(rated.select("text", F.col("__grade").alias("grade"), F.xxhash64("doc_id", "text").alias("hash"))
+                       .mapInArrow(run, "grade int, hash long, entries binary")
+                       .withColumn("row", F.monotonically_increasing_id()), "rated")
     # repeated documents could pass the bound on rated rows
-    rows = (rated.orderBy(F.xxhash64("doc_id", "text")).limit(MAX_RATED).select("text", F.col("__grade").alias("grade"))
-            .mapInArrow(run, "grade int, at binary, value binary").toPandas())
-    grades = np.unique(rows["grade"]) if len(rows) else np.array([0])
+    kept = rows.select("hash", "row", "grade").orderBy("hash", "row").limit(MAX_RATED).toPandas()
+    held = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept[["row"]], "row long")), "row") if len(kept) else rows
+    vectors = _Vectors()
+    for r in held.select("row", "entries").toLocalIterator():
+        vectors.add(r["row"], bytes(r["entries"]))
+    return kept["row"].to_numpy(), kept["grade"].to_numpy(), vectors
+
+
+def fit(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, ordered thresholds, grades."""
+    rows, given, vectors = _vectors(docs, ratings)
+    grades = np.unique(given) if len(given) else np.array([0])
     w, theta = np.zeros(DIM), np.zeros(max(0, len(grades) - 1))
     if len(grades) < 2:
         return w, theta, grades
-    y = np.searchsorted(grades, rows["grade"].to_numpy())
-    at = [np.frombuffer(a, "<i4") for a in rows["at"]]
-    value = [np.frombuffer(v, "<f4").astype(float) for v in rows["value"]]
+    y = np.searchsorted(grades, given)
     theta = np.array([-np.log(max(1e-3, (y > j).mean()) / max(1e-3, (y <= j).mean())) for j in range(len(grades) - 1)])
     weight = (len(y) / len(grades) / np.bincount(y, minlength=len(grades)))[y] ** 0.5  # rare grades weigh more
     squares, theta_squares = np.full(DIM, 1e-8), np.full(len(theta), 1e-8)
@@ -115,8 +144,10 @@ def fit(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, np
     for _ in range(_ROUNDS):
         mixed = order.permutation(len(y))
         for part in np.array_split(mixed, max(1, len(y) // _BATCH)):
-            a, v = np.concatenate([at[i] for i in part]), np.concatenate([value[i] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(at[i]) for i in part])
+            got = [vectors.of(i) for i in rows[part]]
+            every = np.concatenate(got)
+            a, v = every["at"], every["value"].astype(float)
+            row = np.repeat(np.arange(len(part)), [len(x) for x in got])
             z = np.bincount(row, w[a] * v, len(part))[:, None] - theta[None, :]
             # each threshold is a binary question with the shared weights
             miss = (y[part][:, None] > np.arange(len(theta))) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))

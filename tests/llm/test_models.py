@@ -75,6 +75,40 @@ def test_ordinal_grades_held_out(tables):
     assert got.expected_grade.between(0, 2).all()
 
 
+def test_fit_sees_the_end_of_long_texts(spark):
+    """What tells the grades apart stands after more distinct words than the fit once kept."""
+    head = " ".join(f"w{k}" for k in range(3000))
+    rows = [(i, f"{head} {' '.join(f'{chr(97 + i % 2)}{k}' for k in range(300))}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    r = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, grade int")
+    numbers, given, vectors = quality_classifier._vectors(d, r)
+    slots = quality_classifier._Slots()
+    texts = {i % 2: t for i, t in rows}
+    assert len(given) == len(vectors.parts) > 50
+    for row, grade in zip(numbers, given):
+        at, v = quality_classifier.signs(texts[grade], slots)
+        got = vectors.of(row)
+        assert set(got["at"].tolist()) == set(at.tolist()) and abs(got["value"].sum() - v.sum()) < 1e-3
+    held = quality_classifier.score(d, r).where("held_out").toPandas()
+    assert (held.expected_grade[held.doc_id % 2 == 1].min() > held.expected_grade[held.doc_id % 2 == 0].max())
+
+
+def test_letters_count_alike_at_every_length():
+    """Half of the letters are capitals, a third of all signs are digits, below and above 65,536 characters."""
+    slots = quality_classifier._Slots()
+    for n in (60, (1 << 16) - 10, (1 << 16) + 8, 1 << 18):
+        at, _ = quality_classifier.signs("Aa1 Bb2 #5 7  " * (n // 14), slots)
+        assert slots["\x01capitals 10"] in at[-7:].tolist()
+
+
+def test_repeated_rows_keep_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "MAX_RATED", 7)
+    d = spark.createDataFrame([(i % 4, f"t {i % 4}") for i in range(40)], "doc_id long, text string")
+    r = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, grade int")
+    rows, given, vectors = quality_classifier._vectors(d, r)
+    assert len(rows) == len(given) == len(vectors.parts) == 7
+
+
 def test_thresholds_are_ordered(spark):
     rows = [(i, f"{'good' if i % 3 == 2 else 'fair' if i % 3 else 'bad'} text {i}") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
