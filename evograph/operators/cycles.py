@@ -123,7 +123,7 @@ def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
     """CYC-02: every canonical cycle of at most ``max_len`` nodes per graph, with their count.
 
     The listing is complete up to ``max_len``, which the output states in
-    ``length_bound``; verdicts do not read it (:func:`has_new_cycle` is exact
+    ``length_bound``; verdicts on new cycles do not read it (:func:`has_new_cycle` is exact
     for any length).
     """
     cyc = cut_lineage(enumerate_cycles(edges, max_len).withColumn("cycle_str", cycle_string(F.col("cycle"))), "cycles")

@@ -172,12 +172,20 @@ def dashboard_status(summary: DataFrame, limit_rows: DataFrame, intents) -> Data
     return s.withColumn("conformance", F.when(bad, "NON-CONFORMANT").otherwise("CONFORMANT")).drop("n_over")
 
 
+def _new_cycle(df: DataFrame) -> Column:
+    """The exact verdict where ``df`` has it, else that of the listed cycles."""
+    return F.coalesce("has_new_cycle", F.col("new_cycles") > 0) if "has_new_cycle" in df.columns else F.col("new_cycles") > 0
+
+
 def benchmark_status(df: DataFrame, rule: str = "a") -> DataFrame:
-    """INT-06: rule a = more cycles or class growth > 100; rule b = new cycles or added nodes > 100."""
+    """INT-06: rule a = more cycles or class growth > 100; rule b = new cycles or added nodes > 100.
+
+    Rule b reads the exact ``has_new_cycle`` where ``df`` has it. Rule a compares the counts of listed cycles, which
+    hold up to the ``length_bound`` of the rows."""
     if rule == "a":
         bad = (F.col("cycles_v2") > F.col("cycles_v1")) | (F.col("classes_v2") - F.col("classes_v1") > 100)
     else:
-        bad = (F.col("new_cycles") > 0) | (F.col("added_nodes") > 100)
+        bad = _new_cycle(df) | (F.col("added_nodes") > 100)
     return df.withColumn("status", F.when(bad, "Violation").otherwise("Satisfied"))
 
 
@@ -228,7 +236,7 @@ def report_lines(judged: DataFrame, hubs: DataFrame, anomalies: DataFrame) -> Da
         row(4, 0, L(SEC4)),
         row(6, 0, L("")),
         row(6, 1, L(SEC6)),
-        row(6, 2, F.when(F.col("new_cycles") > 0, L(REC_CYCLES)).otherwise(L(REC_CLEAN))),
+        row(6, 2, F.when(_new_cycle(judged), L(REC_CYCLES)).otherwise(L(REC_CLEAN))),
     )
     viol = F.when(F.size("violations") > 0,
                   F.transform("violations", lambda v, i: row(4, 1, F.concat(L("   * "), v), k2=i)))\
@@ -276,13 +284,14 @@ def language_terms(df: DataFrame, lang_col: str = "language") -> DataFrame:
 
 PAYLOAD_SCHEMA = (
     "diff struct<version_old:string, version_new:string, addedNodes:bigint, removedNodes:bigint, "
-    "addedEdges:bigint, removedEdges:bigint, newCycles:bigint, brokenCycles:bigint>, "
+    "addedEdges:bigint, removedEdges:bigint, newCycles:bigint, brokenCycles:bigint, hasNewCycle:boolean>, "
     "metrics struct<topHubs:array<string>>, intents array<string>")
 DEFAULT_PAYLOAD_INTENTS = ["avoid cyclic dependencies"]
 
 
 def payload_summary(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
-    """INT-08: parse an externally computed diff/metrics JSON with the documented defaults."""
+    """INT-08: parse an externally computed diff/metrics JSON with the documented defaults. Without ``hasNewCycle``
+    the number of new cycles decides."""
     p = payloads.withColumn("_p", F.from_json(F.col(json_col), PAYLOAD_SCHEMA))
     d = lambda f, dflt: F.coalesce(F.col(f"_p.diff.{f}"), F.lit(dflt))
     return p.select(
@@ -291,6 +300,7 @@ def payload_summary(payloads: DataFrame, json_col: str = "payload") -> DataFrame
         d("addedNodes", 0).alias("added_nodes"), d("removedNodes", 0).alias("removed_nodes"),
         d("addedEdges", 0).alias("added_edges"), d("removedEdges", 0).alias("removed_edges"),
         d("newCycles", 0).alias("new_cycles"), d("brokenCycles", 0).alias("broken_cycles"),
+        F.coalesce(F.col("_p.diff.hasNewCycle"), F.coalesce(F.col("_p.diff.newCycles"), F.lit(0)) > 0).alias("has_new_cycle"),
         F.coalesce(F.col("_p.metrics.topHubs"), F.array().cast("array<string>")).alias("top_hubs"),
         F.coalesce(F.col("_p.intents"), F.array(*[F.lit(x) for x in DEFAULT_PAYLOAD_INTENTS])).alias("intents"))
 

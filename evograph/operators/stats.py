@@ -50,21 +50,22 @@ def evolution_comparison(nodes: DataFrame, edges: DataFrame, transitions: DataFr
     """STA-02: sizes and cycle counts of both versions, diff counts, status rule (a).
 
     Cycle counts are complete up to ``max_len`` (the unbounded listing of the
-    original script is replaced by an explicit bound)."""
+    original script is replaced by an explicit bound), which the rows state in
+    ``length_bound``; ``has_new_cycle`` sees cycles of any length."""
     from evograph.operators.intents import benchmark_status
     per = _per_version(nodes, edges, transitions, max_len)
     ds = diff.diff_summary(nodes, edges, transitions, cycles.cycle_changes(edges, transitions, max_len))
-    out = per.join(ds, T)
+    out = per.join(cycles.with_exact_verdict(ds, nodes, edges), T).withColumn("length_bound", F.lit(max_len))
     return benchmark_status(out, "a")
 
 
 def evolution_comparison_fast(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,
                               max_len: int = 5) -> DataFrame:
-    """STA-03: the same with new/broken cycles and status rule (b)."""
+    """STA-03: the same with new/broken cycles and status rule (b), which sees cycles of any length."""
     from evograph.operators.intents import benchmark_status
     per = _per_version(nodes, edges, transitions, max_len).drop("cycles_v1", "cycles_v2")
     ds = diff.diff_summary(nodes, edges, transitions, cycles.cycle_changes(edges, transitions, max_len))
-    return benchmark_status(per.join(ds, T), "b")
+    return benchmark_status(per.join(cycles.with_exact_verdict(ds, nodes, edges), T), "b")
 
 
 def display_repo(folder: Column) -> Column:

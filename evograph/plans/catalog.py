@@ -311,11 +311,13 @@ def q_analysis_prompt(spark, sf):
 def q_report_from_payload(spark, sf):
     nodes, edges, tr = _g(spark, sf)
     s = diff.diff_summary(nodes, edges, tr, cycles.cycle_changes(edges, tr))
+    s = cycles.with_exact_verdict(s, nodes, edges)
     payload = s.select("project", F.to_json(F.struct(F.struct(
         F.col("v_old").alias("version_old"), F.col("v_new").alias("version_new"),
         F.col("added_nodes").alias("addedNodes"), F.col("removed_nodes").alias("removedNodes"),
         F.col("added_edges").alias("addedEdges"), F.col("removed_edges").alias("removedEdges"),
-        F.col("new_cycles").alias("newCycles"), F.col("broken_cycles").alias("brokenCycles"))
+        F.col("new_cycles").alias("newCycles"), F.col("broken_cycles").alias("brokenCycles"),
+        F.col("has_new_cycle").alias("hasNewCycle"))
         .alias("diff"))).alias("payload"))
     ps = it.payload_summary(payload)
     j = it.intent_status(it.intent_violations(ps, intents_col="intents"))

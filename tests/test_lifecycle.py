@@ -67,6 +67,28 @@ def test_verdict_sees_cycles_of_any_length(spark):
     assert got["has_new_cycle"] and got["intent_status"] == "VIOLATION"
 
 
+def test_statuses_and_reports_see_a_new_cycle_of_six_nodes(spark):
+    from evograph.operators import stats
+    from evograph.plans import evolution
+    nodes = [(f"n{i}", "class", 1, 1, 1, 0) for i in range(6)]
+    n1, e1 = graph(spark, nodes, ring(6)[:-1], version="v1")
+    n2, e2 = graph(spark, nodes, ring(6), version="v2")
+    n, e = n1.unionByName(n2), e1.unionByName(e2)
+    tr = spark.createDataFrame([("P", "v1", "v2")], "project string, v_old string, v_new string")
+    fast = stats.evolution_comparison_fast(n, e, tr).first()
+    assert fast["new_cycles"] == 0 and fast["status"] == "Violation"
+    full = stats.evolution_comparison(n, e, tr)
+    assert full.first()["has_new_cycle"] and full.first()["length_bound"] == 5
+    assert intents.benchmark_status(full, "b").first()["status"] == "Violation"
+    p = evolution.evolution_parts(n, e, tr, ["avoid cyclic dependencies"])
+    lines = [r["line"] for r in intents.report_lines(p["judged"], p["hubs"], p["anomalies"]).collect()]
+    assert intents.REC_CYCLES in lines and intents.REC_CLEAN not in lines
+    payload = spark.createDataFrame([('{"diff": {"newCycles": 0, "hasNewCycle": true}}',), ('{"diff": {"newCycles": 0}}',),
+                                     ('{"diff": {"newCycles": 2}}',)], "payload string")
+    judged = intents.intent_status(intents.intent_violations(intents.payload_summary(payload), intents_col="intents"))
+    assert [r["intent_status"] for r in judged.collect()] == ["VIOLATION", "CONFORMING", "VIOLATION"]
+
+
 def test_findings_stay_with_their_graph(spark):
     n1, _ = graph(spark, [("a", "class", 1, 1, 1, 0)], [("a", "a", "calls")], project="P")
     n2, _ = graph(spark, [("a", "class", 1, 1, 1, 0)], [("a", "a", "calls")], project="Q")
