@@ -9,8 +9,9 @@ in rounds: a pattern's confidence for a kind is the share of its distinct instan
 that are of this kind (found ones count by their score), and an instance's score is
 ``1 - prod(1 - confidence)`` over the trusted patterns that it stands in. Patterns need
 ``MIN_SEEDS`` distinct seeds and ``MIN_CONFIDENCE``; instances that reach
-``MIN_CONFIDENCE`` join the seeds of the next round. Copies of a text add nothing,
-because instances count once.
+``MIN_CONFIDENCE`` join the seeds of the next round and keep their kind, so that scores only
+rise. Rounds go on until neither the found instances nor their scores (in millionths) change.
+Copies of a text add nothing, because instances count once.
 
 Defined results: null and empty texts have no spans; repeated rows get one row each;
 empty tables give no patterns; a match that fails its check is dropped without a
@@ -41,7 +42,9 @@ MAY_HOLD = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12}",
     "phone": r"\+[0-9][\x20().0-9-]",
 }
-MIN_SEEDS, MIN_CONFIDENCE, MAX_ROUNDS = 5, 0.9, 5
+MIN_SEEDS, MIN_CONFIDENCE = 5, 0.9
+#: Whole scores are millionths, so that sums do not depend on the order of rows.
+_ONE = 1_000_000
 _BLOCK = 512
 _AT = "array<struct<start:int,stop:int,value:string>>"
 
@@ -148,28 +151,34 @@ def discover(seen: DataFrame) -> DataFrame:
         .select(F.explode("m.patterns").alias("pattern"), F.col("m.value").alias("value"), F.col("m.kind").alias("kind"))
         .where("pattern IS NOT NULL").distinct(), "pii_edges")
     total = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    known = materialize(edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct(), "pii_seeds")
-    seeds, found, before = known, None, -1
-    for _ in range(MAX_ROUNDS):
+    seeds = materialize(edges.where("kind IS NOT NULL").select("value", "kind", F.lit(_ONE).cast("long").alias("score")).distinct(),
+                        "pii_seeds")
+    known, before = seeds, (0, None)
+    found = seeds.limit(0)
+    while True:  # scores are whole, bounded and never fall
         trusted = (edges.select("pattern", "value").distinct().join(known, "value")
-                   .groupBy("pattern", F.col("kind").alias("as")).agg(
-                       F.sum("score").alias("s"), F.count(F.when(F.col("score") == 1.0, 1)).alias("seeds"))
-                   .join(total, "pattern").withColumn("confidence", F.col("s") / F.col("n"))
+                   .groupBy("pattern", F.col("kind").alias("as")).agg(F.sum("score").alias("s"), F.count("*").alias("seeds"))
+                   .join(total, "pattern").withColumn("confidence", F.col("s") / (F.col("n") * _ONE))
                    .where((F.col("seeds") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE)))
         scored = (edges.where("kind IS NULL").join(trusted, "pattern")
                   .groupBy("value", F.col("as").alias("kind"))
                   # a confidence of one would make the product zero for good
-                  .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-                  .where(F.col("score") >= MIN_CONFIDENCE))
-        best = scored.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"),
-                                           F.max("score").alias("score"))
-        found = materialize(best, "pii_found")
-        n = found.count()
-        if n == before or not n:
-            break
-        before = n
-        known = seeds.unionByName(found.select("value", "kind", "score"))
-    return found.select("value", "kind")
+                  .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("p"))
+                  .select("value", "kind", F.round(F.col("p") * _ONE).cast("long").alias("score"))
+                  .where(F.col("score") >= round(MIN_CONFIDENCE * _ONE)))
+        # a found instance keeps its kind, and its best score
+        old = found.toDF("__value", "__kind", "__score")
+        kept = (scored.join(old, F.col("value") == F.col("__value"), "full")
+                .select(F.coalesce("__value", "value").alias("value"), F.coalesce("__kind", "kind").alias("kind"),
+                        F.when(F.col("kind").eqNullSafe(F.col("__kind")) | F.col("__kind").isNull(),
+                               F.greatest("score", "__score")).otherwise(F.col("__score")).alias("score")))
+        found = materialize(kept.groupBy("value").agg(
+            F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "pii_found")
+        now = tuple(found.agg(F.count("*"), F.sum("score")).first())
+        if now == before:
+            return found.select("value", "kind")
+        before = now
+        known = seeds.unionByName(found).groupBy("value", "kind").agg(F.max("score").alias("score"))
 
 
 def _extra(seen: DataFrame) -> DataFrame:

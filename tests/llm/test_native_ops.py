@@ -115,3 +115,14 @@ def test_bootstrapped_patterns_find_unseen_identifiers(spark):
     start = rows[20][1].index("555")
     assert out[100]["spans"] == f"phone:{start}:{start + 12}" and out[100]["base"] == "" and out[100]["n_phone"] == 0
     assert out[101]["spans"] == "" and out[0]["spans"] == out[0]["base"] and out[0]["n_phone"] == 1
+
+
+def test_bootstrap_goes_on_to_the_second_generation(spark):
+    """A pattern without any base seed is trusted through found instances, once their scores have settled."""
+    rows = [(i, f"word {i} dial hotline +1 (555) 123-{4000 + i} today") for i in range(500)]
+    first, second = [f"555-200-{3000 + i}" for i in range(50)], [f"555-300-{3000 + i}" for i in range(5)]
+    rows += [(1000 + i, f"x dial hotline {v} today") for i, v in enumerate(first)]
+    rows += [(2000 + i, f"y ring alder {v} tomorrow") for i, v in enumerate(first + second)]
+    out = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(first + second):
+        assert out[2000 + i] == f"phone:13:{13 + len(v)}"
