@@ -84,5 +84,54 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+
+
+def _nearest(book: str) -> str:
+    """Of every part of every vector: the nearest entry of a codebook table and the squared distance."""
+    return f"""SELECT vec_id, p, min(struct_pack(e := e, j := j)) AS m FROM (
+  SELECT x.vec_id, x.p, b.j, CAST(sum((x.x - b.x) * (x.x - b.x)) AS BIGINT) AS e
+  FROM x JOIN {book} b USING (p, i) GROUP BY x.vec_id, x.p, b.j) GROUP BY vec_id, p"""
+
+
+def _next_book(near: str, book: str) -> str:
+    return f"""SELECT b.p, b.i, b.j, coalesce(s.x, b.x) AS x FROM {book} b LEFT JOIN (
+  SELECT x.p, x.i, a.m.j AS j, CAST(floor(sum(x.x) / count(*)) AS BIGINT) AS x
+  FROM x JOIN {near} a USING (vec_id, p) GROUP BY x.p, x.i, a.m.j) s USING (p, i, j)"""
+
+
+OP11 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0
+             AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+x AS (SELECT vec_id, d // w AS p, d % w AS i, v[d + 1] AS x FROM (
+        SELECT vec_id, v, len(v) // 16 AS w, unnest(range(len(v))) AS d FROM v)),
+b0 AS MATERIALIZED (SELECT p, i, dense_rank() OVER (ORDER BY vec_id) - 1 AS j, x FROM x
+       WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+a0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_next_book("a0", "b0")}),
+a1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_next_book("a1", "b1")}),
+a2 AS MATERIALIZED ({_nearest("b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', m.j), '' ORDER BY p) AS code, CAST(sum(m.e) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN v USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, j, i)) FROM b2) AS codebooks_sha256
+FROM c JOIN v USING (vec_id) JOIN l ON v.label IS NOT DISTINCT FROM l.label"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(h1, h2) AS a, greatest(h1, h2) - least(h1, h2) AS m,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                  WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+o AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, m) AS middle, substr(t, a + m + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM o"""
+
 ORACLE: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "op6_exact_top_k": OP6,
-                          "op10_warc_round_trip": OP10}
+                          "op10_warc_round_trip": OP10, "op11_vector_codes": OP11, "op13_fill_in_middle": OP13}
