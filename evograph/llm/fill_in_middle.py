@@ -106,29 +106,56 @@ def backward(form: str, output: bytes) -> bytearray:
     return buffer
 
 
+#: Bytes of texts that are gathered before they leave a task.
+BATCH_BYTES = 1 << 20
 _FORWARD = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary"
+_TYPES = [("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()),
+          ("middle_chars", pa.int64()), ("output", pa.binary()), ("restored", pa.binary())]
+
+
+def _batches(rows: Iterator[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows, the last of whose values are byte buffers, in batches of bounded size (or of one row)."""
+    schema = pa.schema(_TYPES[:width])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[5:]))
+        if size >= BATCH_BYTES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def _made(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[tuple]:
+    for b in batches:
+        for doc, text in zip(b.column(0), b.column(1)):
+            row = (doc.as_py(), *forward(doc.as_py(), text.as_py()))
+            yield (*row[:5], bytes(row[5]), *((bytes(backward(row[2], row[5])),) if keep else ()))
 
 
 def transform(docs: DataFrame) -> DataFrame:
     """doc_id, n (code points), form, prefix_chars, middle_chars (null if plain), output (UTF-8) of every whole text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(b.num_rows):  # a batch a text: outputs of long texts do not add up
-                doc = b.column(0)[at].as_py()
-                n, form, prefix, middle, output = forward(doc, b.column(1)[at].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc], pa.int64()), pa.array([n], pa.int64()), pa.array([form]), pa.array([prefix], pa.int64()),
-                     pa.array([middle], pa.int64()), pa.array([memoryview(output)], pa.binary())],
-                    ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
-    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, _FORWARD)
+    return _texts(docs).mapInArrow(lambda batches: _batches(_made(batches, False), 6), _FORWARD)
 
 
 def restore(made: DataFrame) -> DataFrame:
-    """The rows of :func:`transform` (its columns are passed through) with restored (binary): the text before it."""
+    """The columns of :func:`transform` and restored (binary): the text before it, from form and output alone."""
+    names = [name for name, _ in _TYPES[:6]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            form, output = b.column("form").to_pylist(), b.column("output")
-            restored = pa.array([memoryview(backward(f, output[i].as_py())) for i, f in enumerate(form)], pa.binary())
-            yield b.append_column("restored", restored)
-    return made.mapInArrow(run, f"{_FORWARD}, restored binary")
+        rows = (tuple(x.as_py() for x in row) for b in batches for row in zip(*(b.column(c) for c in names)))
+        return _batches(((*row, bytes(backward(row[2], row[5]))) for row in rows), 7)
+    return made.select(*names).mapInArrow(run, f"{_FORWARD}, restored binary")
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """:func:`transform` and :func:`restore` in one pass over the texts."""
+    return _texts(docs).mapInArrow(lambda batches: _batches(_made(batches, True), 7), f"{_FORWARD}, restored binary")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evograph.llm import (bpe, fill_in_middle, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup,
+from evograph.llm import (bpe, fill_in_middle, nn_descent, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup,
                           topk, toxicity, vector_codes, warc)
 
 
@@ -76,8 +76,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fill_in_middle.restore(fill_in_middle.transform(_read(spark, sf_dir, "documents")))
+    out = fill_in_middle.round_trip(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2("restored", 256).alias("restored_sha256"))
 
@@ -94,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_vector_codes": op11_vector_codes,
+    "op12_nn_descent": op12_nn_descent,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -118,6 +118,18 @@ SELECT vec_id, code, error, label_error,
        (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, j, i)) FROM b2) AS codebooks_sha256
 FROM c JOIN v USING (vec_id) JOIN l ON v.label IS NOT DISTINCT FROM l.label"""
 
+OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+             AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -134,4 +146,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
        sha256(t) AS restored_sha256 FROM o"""
 
 ORACLE: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_quality_rules": OP4, "op6_exact_top_k": OP6,
-                          "op10_warc_round_trip": OP10, "op11_vector_codes": OP11, "op13_fill_in_middle": OP13}
+                          "op10_warc_round_trip": OP10, "op11_vector_codes": OP11, "op12_nn_descent": OP12, "op13_fill_in_middle": OP13}
