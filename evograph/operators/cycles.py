@@ -1,19 +1,17 @@
-"""CYC-*: strongly connected components and bounded elementary cycles.
-
-Cycles are enumerated for all graphs at once with equi-joins keyed by
-``(project, version, node)``.  A cycle is rooted at its smallest node ``r``
-and every other node must be greater than ``r``, so each cycle is produced
-exactly once and already in canonical rotation.  Enumeration meets in the
-middle: forward paths of ``ceil(L/2)`` edges from ``r`` are joined with
-backward paths of ``floor(L/2)`` edges into ``r`` on ``(graph, r, x)``, so the
-largest intermediate table holds paths of about half the cycle length instead
-of full-length paths.
+"""CYC-*: strongly connected components, bounded elementary cycles and exact counts.
+
+Cycles are enumerated for all graphs at once with equi-joins keyed by ``(project, version, node)``.  Enumeration meets
+in the middle: forward paths of ``ceil(L/2)`` edges from a root are joined with backward paths of ``floor(L/2)`` edges
+into it on ``(graph, root, node)``, so the largest intermediate table holds paths of about half the cycle length.
+The root is the cycle's node of highest degree; changes of cycles start from changed edges instead.  Either way each
+cycle is produced exactly once.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -55,68 +53,84 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(*G, F.col("source").alias("s"), F.col("target").alias("t")).distinct()
 
 
-def enumerate_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
+def _ranked(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Edges between nodes that have both an in- and an out-edge, with the rank (degree, id) of both ends.
+
+    A node without one of the two is on no cycle; such nodes leave in rounds, as long as a round takes
+    a tenth of the edges with it.
+    """
+    e, before = pairs, None
+    while True:
+        ends = e.select(*key, F.col("s").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+            e.select(*key, F.col("t").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        deg = (ends.groupBy(*key, "id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+               .where((F.col("o") > 0) & (F.col("i") > 0)).select(*key, "id", (F.col("o") + F.col("i")).alias("d")))
+        e = cut_lineage(e.join(deg.select(*key, F.col("id").alias("s"), F.col("d").alias("ds")), [*key, "s"])
+                        .join(deg.select(*key, F.col("id").alias("t"), F.col("d").alias("dt")), [*key, "t"]), "cycle-core")
+        now = e.count()
+        if now == 0 or (before is not None and before - now <= before / 10):
+            return e.select(*key, "s", "t", F.struct(F.col("ds").alias("d"), F.col("s").alias("id")).alias("rs"),
+                            F.struct(F.col("dt").alias("d"), F.col("t").alias("id")).alias("rt"))
+        before, e = now, e.select(*key, "s", "t")
+
+
+def enumerate_cycles(edges: DataFrame, max_len: int = 5, labels: DataFrame | None = None) -> DataFrame:
     """All elementary cycles of length <= ``max_len``: ``(project, version, cycle, length)``.
 
-    Self-loops are cycles of length 1.  Complete up to ``max_len``; the
-    bound is the only limit (no cap on partners or paths).
+    Self-loops are cycles of length 1.  Complete up to ``max_len``; the bound is the only limit (no cap on
+    partners or paths).  ``labels`` (:func:`scc_labels`), where they are at hand, take out the edges between components.
+
+    A cycle is rooted at its node of highest degree, and paths only run through nodes of lower rank: a hub is a root
+    or is expanded after all others, and in-edges of a hub never meet its out-edges in a path table.
     """
     # the pair table feeds every step below: computed once, written once
     e = cut_lineage(_pairs(edges), "cycle-pairs")
-    loops = e.where(F.col("s") == F.col("t")).select(*G, F.array("s").alias("cycle"))
-    out = [loops]
+    out = e.where(F.col("s") == F.col("t")).select(*G, F.array("s").alias("cycle"))
     if max_len >= 2:
         e2 = e.where(F.col("s") != F.col("t"))
-        succ = e2.select(*G, F.col("s").alias("x"), F.col("t").alias("y"))
+        if labels is not None:
+            lab = labels.select(*G, "id", "scc")
+            e2 = (e2.join(lab.select(*G, F.col("id").alias("s"), F.col("scc").alias("cs")), [*G, "s"])
+                  .join(lab.select(*G, F.col("id").alias("t"), F.col("scc").alias("ct")), [*G, "t"])
+                  .where(F.col("cs") == F.col("ct")).select(*G, "s", "t"))
+        e2 = _ranked(e2, G)
         mid_type = ArrayType(e2.schema["s"].dataType)
-        # forward paths r -> ... -> x (all nodes after r greater than r); backward paths
-        # x -> m.. -> r (``mid`` = nodes strictly between x and r, all greater than r)
-        fwd = {1: e2.where(F.col("t") > F.col("s"))
-               .select(*G, F.col("s").alias("r"), F.col("t").alias("x"), F.array("s", "t").alias("path"))}
-        bwd = {1: e2.where(F.col("s") > F.col("t"))
-               .select(*G, F.col("t").alias("r"), F.col("s").alias("x"), F.array().cast(mid_type).alias("mid"))}
-        if max_len >= 3:
-            # one 2-edge path table a -> b -> c serves both directions
-            p2 = cut_lineage(
-                e2.select(*G, F.col("s").alias("a"), F.col("t").alias("b"))
-                  .join(e2.select(*G, F.col("s").alias("b"), F.col("t").alias("c")), [*G, "b"])
-                  .where(F.col("a") != F.col("c")), "cycle-p2")
-            fwd[2] = (p2.where((F.col("b") > F.col("a")) & (F.col("c") > F.col("a")))
-                      .select(*G, F.col("a").alias("r"), F.col("c").alias("x"), F.array("a", "b", "c").alias("path")))
-            if max_len >= 4:
-                bwd[2] = (p2.where((F.col("a") > F.col("c")) & (F.col("b") > F.col("c")))
-                          .select(*G, F.col("c").alias("r"), F.col("a").alias("x"), F.array("b").alias("mid")))
-        for k in range(3, math.ceil(max_len / 2) + 1):
-            fwd[k] = (fwd[k - 1].join(succ, [*G, "x"])
-                      .where((F.col("y") > F.col("r")) & ~F.array_contains("path", F.col("y")))
-                      .select(*G, "r", F.col("y").alias("x"), F.concat("path", F.array("y")).alias("path")))
-        for k in range(3, max_len // 2 + 1):
-            prev = bwd[k - 1].withColumnRenamed("x", "y")
-            bwd[k] = (succ.join(prev, [*G, "y"])
-                      .where((F.col("x") > F.col("r")) & ~F.array_contains("mid", F.col("x"))
-                             & (F.col("x") != F.col("y")))
-                      .select(*G, "r", "x", F.concat(F.array("y"), "mid").alias("mid")))
+        succ = e2.select(*G, F.col("s").alias("x"), F.col("t").alias("y"), F.col("rt").alias("ry"))
+        pred = e2.select(*G, F.col("t").alias("x"), F.col("s").alias("y"), F.col("rs").alias("ry"))
+        # forward paths r -> ... -> x and backward paths x -> mid... -> r; all nodes but r below its rank
+        fwd = {1: e2.where(F.col("rt") < F.col("rs")).select(
+            *G, F.col("s").alias("r"), F.col("rs").alias("rr"), F.col("t").alias("x"), F.array("s", "t").alias("path"))}
+        bwd = {1: e2.where(F.col("rs") < F.col("rt")).select(
+            *G, F.col("t").alias("r"), F.col("rt").alias("rr"), F.col("s").alias("x"), F.array().cast(mid_type).alias("mid"))}
+        for k in range(2, math.ceil(max_len / 2) + 1):
+            f = (fwd[k - 1].join(succ, [*G, "x"])
+                 .where((F.col("ry") < F.col("rr")) & ~F.array_contains("path", F.col("y")))
+                 .select(*G, "r", "rr", F.col("y").alias("x"), F.concat("path", F.array("y")).alias("path")))
+            fwd[k] = cut_lineage(f, "cycle-fwd") if k < math.ceil(max_len / 2) else f
+        for k in range(2, max_len // 2 + 1):
+            bwd[k] = (bwd[k - 1].join(pred, [*G, "x"])
+                      .where((F.col("ry") < F.col("rr")) & ~F.array_contains("mid", F.col("y")))
+                      .select(*G, "r", "rr", F.col("y").alias("x"), F.concat(F.array("x"), "mid").alias("mid")))
         # one closing join for all lengths: a cycle of length L pairs a forward
         # path of a = ceil(L/2) edges with a backward path of b = L - a edges,
         # so only (a == b) or (a == b + 1) combinations are kept
-        fa = None
-        for a, df in fwd.items():
-            d = df.withColumn("a", F.lit(a))
-            fa = d if fa is None else fa.unionByName(d)
-        bb = None
-        for b, df in bwd.items():
-            d = df.withColumn("b", F.lit(b))
-            bb = d if bb is None else bb.unionByName(d)
+        fa = _tagged({a: d.drop("rr") for a, d in fwd.items()}, "a")
+        bb = _tagged({b: d.drop("rr") for b, d in bwd.items()}, "b")
         closed = (fa.join(bb, [*G, "r", "x"])
                   .where(((F.col("a") == F.col("b")) | (F.col("a") == F.col("b") + 1))
                          & (F.col("a") + F.col("b") <= max_len)
                          & ~F.arrays_overlap("path", "mid"))
-                  .select(*G, F.concat("path", "mid").alias("cycle")))
-        out.append(closed)
-    res = out[0]
-    for d in out[1:]:
-        res = res.unionByName(d)
-    return res.withColumn("length", F.size("cycle"))
+                  .select(*G, canonical_cycle(F.concat("path", "mid")).alias("cycle")))
+        out = out.unionByName(closed)
+    return out.withColumn("length", F.size("cycle"))
+
+
+def _tagged(parts: dict[int, DataFrame], name: str) -> DataFrame:
+    out = None
+    for k, df in parts.items():
+        d = df.withColumn(name, F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
@@ -132,7 +146,7 @@ def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
 
 
 def cycle_counts(edges: DataFrame, graphs: DataFrame, max_len: int = 5) -> DataFrame:
-    """CYC-07: number of cycles up to ``max_len`` per graph (0 for acyclic graphs)."""
+    """CYC-07: number of cycles up to ``max_len`` per graph (0 for acyclic graphs); see :func:`exact_cycle_counts`."""
     cyc = enumerate_cycles(edges, max_len)
     agg = cyc.groupBy(*G).agg(
         F.count(F.lit(1)).alias("n_cycles"),
@@ -144,22 +158,146 @@ def cycle_counts(edges: DataFrame, graphs: DataFrame, max_len: int = 5) -> DataF
                     F.coalesce("longest", F.lit(0)).alias("longest")))
 
 
+#: Limits of one count of any length: edges shipped for a component (its nodes as roots times its edges), and
+#: steps of the search of one root. The number of cycles grows exponentially, so some bound is needed.
+SHIPPED_EDGES, SEARCH_STEPS = 4_000_000, 2_000_000
+
+
+def _count_from(root, successors: dict, steps: int) -> tuple[int | None, int | None]:
+    """(number, longest) of the elementary cycles through ``root`` in the graph given, or nulls after ``steps`` steps.
+
+    Depth-first search with blocked nodes: a node that led to no cycle stays blocked until a node it waits for is
+    on a cycle again, so dead ends are not walked twice.
+    """
+    found, longest, blocked, waiting = 0, 0, {root}, {}
+    path, todo, hit = [root], [iter(successors.get(root, ()))], [False]
+    while todo:
+        nxt = next(todo[-1], None)
+        if nxt is not None:
+            steps -= 1
+            if steps < 0:
+                return None, None
+            if nxt == root:
+                found, longest, hit[-1] = found + 1, max(longest, len(path)), True
+            elif nxt not in blocked:
+                path.append(nxt)
+                blocked.add(nxt)
+                todo.append(iter(successors.get(nxt, ())))
+                hit.append(False)
+            continue
+        todo.pop()
+        node, closed = path.pop(), hit.pop()
+        if closed:
+            free = [node]
+            while free:
+                n = free.pop()
+                if n in blocked:
+                    blocked.discard(n)
+                    free.extend(waiting.pop(n, ()))
+            if hit:
+                hit[-1] = True
+        else:
+            for n in successors.get(node, ()):
+                waiting.setdefault(n, set()).add(node)
+    return found, longest
+
+
+def exact_cycle_counts(edges: DataFrame, graphs: DataFrame, labels: DataFrame | None = None,
+                       shipped_edges: int = SHIPPED_EDGES, search_steps: int = SEARCH_STEPS) -> DataFrame:
+    """CYC-07: number and longest length of the elementary cycles of any length, per graph.
+
+    A cycle lies in one strongly connected component and is counted at its smallest node: every (component, root) is a
+    group of its own that searches the component's edges among nodes from the root on. A graph with a component beyond
+    ``shipped_edges``, or a root beyond ``search_steps``, has null counts and says so in ``status``; nothing else is
+    limited, and ``length_bound`` is null.
+    """
+    e = cut_lineage(_pairs(edges), "count-pairs")
+    loops = e.where("s = t").groupBy(*G).agg(F.count(F.lit(1)).alias("loops"))
+    e = e.where("s <> t")
+    ends = e.select(*G, F.explode(F.array("s", "t")).alias("id")).distinct()
+    lab = labels if labels is not None else scc_labels(ends, edges)
+    lab = lab.select(*G, "id", "scc")
+    inner = cut_lineage(
+        e.join(lab.select(*G, F.col("id").alias("s"), "scc"), [*G, "s"])
+         .join(lab.select(*G, F.col("id").alias("t"), F.col("scc").alias("other")), [*G, "t"])
+         .where("scc = other").select(*G, "scc", "s", "t"), "count-inner")
+    size = inner.groupBy(*G, "scc").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("s").alias("n_nodes"))
+    size = cut_lineage(size.withColumn("fits", F.col("n_edges") * F.col("n_nodes") <= shipped_edges), "count-size")
+    fits = size.where("fits").select(*G, "scc")
+    roots = inner.select(*G, "scc", F.col("s").alias("root")).distinct().join(fits, [*G, "scc"], "left_semi")
+    groups = roots.join(inner, [*G, "scc"]).where("s >= root and t >= root").select(*G, "root", "s", "t")
+    id_type = e.schema["s"].dataType.simpleString()
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        successors: dict = {}
+        for s, t in zip(pdf["s"].tolist(), pdf["t"].tolist()):
+            successors.setdefault(s, []).append(t)
+        first = pdf.iloc[0]
+        found, longest = _count_from(first["root"], successors, search_steps)
+        return pd.DataFrame({"project": [first["project"]], "version": [first["version"]], "root": [first["root"]],
+                             "found": pd.array([found], "Int64"), "longest": pd.array([longest], "Int64")})
+    counted = groups.groupBy(*G, "root").applyInPandas(
+        search, f"project string, version string, root {id_type}, found long, longest long")
+    per = counted.groupBy(*G).agg(F.sum("found").alias("found"), F.max("longest").alias("longest"),
+                                  F.count_if(F.col("found").isNull()).alias("open"))
+    large = size.where("not fits").groupBy(*G).agg(F.count(F.lit(1)).alias("large"))
+    status = (F.when(F.col("large") > 0, "not counted: component too large")
+              .when(F.col("open") > 0, "not counted: search too long").otherwise("counted"))
+    counts = (graphs.select(*G).distinct().join(per, G, "left").join(large, G, "left").join(loops, G, "left")
+              .withColumn("status", status))
+    done = F.col("status") == "counted"
+    n_loops = F.coalesce("loops", F.lit(0))
+    return counts.select(
+        *G, F.when(done, F.coalesce("found", F.lit(0)) + n_loops).alias("n_cycles"), n_loops.alias("n_self_loops"),
+        F.when(done, F.greatest(F.coalesce("longest", F.lit(0)), F.least(n_loops, F.lit(1)))).alias("longest"),
+        F.lit(None).cast("int").alias("length_bound"), "status")
+
+
 def cycle_changes(edges: DataFrame, transitions: DataFrame, max_len: int = 5) -> DataFrame:
     """CYC-03: ``new`` (in v_new only) and ``broken`` (in v_old only) cycles, exact up to ``max_len``.
 
-    Cycles are compared in canonical rotation, so a rotated listing is the
-    same cycle.  Only versions that take part in a transition are enumerated.
+    A cycle is new exactly if it has an added edge (all its edges are in the new version, one is not in the old), and broken
+    if it has a removed one. So the search starts from the changed edges: each is the anchor of the cycles
+    on which it is the least changed edge. Paths lead on from its target and back from its source, through unchanged
+    edges and changed ones above it, and meet in the middle. What no changed edge reaches is never expanded.
+    Cycles are compared in canonical rotation.
     """
-    used = (transitions.select("project", F.col("v_old").alias("version"))
-            .unionByName(transitions.select("project", F.col("v_new").alias("version"))).distinct())
-    e = edges.join(used, G, "left_semi")
-    cyc = enumerate_cycles(e, max_len).withColumn("cycle_str", cycle_string(F.col("cycle")))
-    agg = (tag_sides(cyc.select(*G, "cycle_str", "length", "cycle"), transitions)
-           .groupBy(*T, "cycle_str").agg(F.bit_or("side").alias("m"), F.first("length").alias("length"),
-                                         F.first("cycle").alias("cycle")))
-    return (agg.where(F.col("m") != 3)
-            .select(*T, F.when(F.col("m") == 2, "new").otherwise("broken").alias("change"),
-                    "cycle_str", "length", "cycle"))
+    sides = tag_sides(_pairs(edges), transitions.select(*T).distinct())
+    mem = sides.groupBy(*T, "s", "t").agg(F.bit_or("side").alias("m"))
+    # one short key per transition and side (1 the old version, 2 the new one)
+    keys = cut_lineage(transitions.select(*T).distinct().withColumn("k", F.monotonically_increasing_id() * 2), "change-keys")
+    sides = F.when(F.col("m") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("m") - 1))
+    e = cut_lineage(mem.join(keys, T).select("k", "s", "t", (F.col("m") != 3).alias("changed"), F.explode(sides).alias("c"))
+                    .select((F.col("k") + F.col("c")).alias("k"), "s", "t", "changed"), "change-edges")
+    loops = e.where("changed and s = t").select("k", F.array("s").alias("cycle"))
+    e = e.where("s <> t")
+    start = cut_lineage(e.where("changed").withColumn("a", F.monotonically_increasing_id()).select(
+        "k", "a", F.col("s").alias("u"), F.col("t").alias("v")), "change-anchors")
+    mid_type = ArrayType(e.schema["s"].dataType)
+    allowed = ~F.col("changed") | (F.struct("s", "t") > F.struct(F.col("u").alias("s"), F.col("v").alias("t")))
+    fwd = {0: start.select("k", "a", "u", "v", F.col("v").alias("x"), F.array("u", "v").alias("path"))}
+    bwd = {1: start.join(e.select("k", F.col("t").alias("u"), F.col("s"), F.col("t"), "changed"), ["k", "u"]).where(allowed)
+           .select("k", "a", "u", "v", F.col("s").alias("x"), F.array().cast(mid_type).alias("mid"))}
+    for n in range(1, (max_len - 1) // 2 + 1):
+        fwd[n] = (fwd[n - 1].join(e.withColumn("x", F.col("s")), ["k", "x"])
+                  .where(allowed & ~F.array_contains("path", F.col("t")))
+                  .select("k", "a", "u", "v", F.col("t").alias("x"), F.concat("path", F.array("t")).alias("path")))
+    for n in range(2, max_len // 2 + 1):
+        bwd[n] = (bwd[n - 1].where("x <> v").join(e.withColumn("x", F.col("t")), ["k", "x"])
+                  .where(allowed & (F.col("s") != F.col("u")) & ~F.array_contains("mid", F.col("s")))
+                  .select("k", "a", "u", "v", F.col("s").alias("x"), F.concat(F.array("x"), "mid").alias("mid")))
+    found = loops
+    if max_len >= 2:
+        f = _tagged({n: d.select("k", "a", "x", "path") for n, d in fwd.items()}, "f")
+        b = _tagged({n: d.select("a", "x", "mid") for n, d in bwd.items()}, "b")
+        # 1 + f + b edges; f = b - 1 or f = b tells each cycle once
+        found = loops.unionByName(
+            f.join(b, ["a", "x"]).where(((F.col("f") == F.col("b")) | (F.col("f") == F.col("b") - 1))
+                                        & (F.col("f") + F.col("b") < max_len) & ~F.arrays_overlap("path", "mid"))
+            .select("k", canonical_cycle(F.concat("path", "mid")).alias("cycle")))
+    return (found.withColumn("new", F.col("k") % 2 == 1).withColumn("k", F.col("k") - F.col("k") % 2).join(keys, "k")
+            .select(*T, F.when(F.col("new"), "new").otherwise("broken").alias("change"),
+                    cycle_string(F.col("cycle")).alias("cycle_str"), F.size("cycle").alias("length"), "cycle"))
 
 
 # ---------------------------------------------------------------- SCC
@@ -242,6 +380,41 @@ def scc_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(least, [*G, "root"]).select(*G, "id", "scc")
 
 
+def update_labels(labels: DataFrame, nodes: DataFrame, edges: DataFrame, transitions: DataFrame) -> DataFrame:
+    """CYC-01 kept: component labels of every ``v_new`` from those of its ``v_old`` and the difference of the two.
+
+    A component of the old version that lost no inner edge is still strongly connected and stays one node; of the
+    others the nodes stand alone again. The labels of this smaller graph, whose edges
+    outside such components are those of the new version, are found afresh: components that added edges tie into
+    a cycle merge, and only components that lost an edge are split again. Equal to :func:`scc_labels` of the new version.
+    ``labels`` holds the old versions ``(project, version, id, scc)``; a version follows one other at most.
+    """
+    t = transitions.select(*T).distinct()
+    old = labels.join(t.withColumnRenamed("v_old", "version"), G).select(*T[:1], "v_new", "id", "scc")
+    mem = (tag_sides(_pairs(edges).where(F.col("s") != F.col("t")), t).groupBy(*T, "s", "t")
+           .agg(F.bit_or("side").alias("m")))
+    mem = cut_lineage(mem.select("project", "v_new", "s", "t", "m"), "kept-edges")
+    k = ["project", "v_new"]
+
+    def of(side: str, name: str) -> DataFrame:
+        return old.select(*k, F.col("id").alias(side), F.col("scc").alias(name))
+    lost = (mem.where("m = 1").join(of("s", "cs"), [*k, "s"]).join(of("t", "ct"), [*k, "t"]).where("cs = ct")
+            .select(*k, F.col("cs").alias("scc")).distinct())
+    kept = old.join(lost, [*k, "scc"], "left_anti")
+    here = nodes.select("project", F.col("version").alias("v_new"), "id").distinct().join(t.select(*k).distinct(), k, "left_semi")
+    place = cut_lineage(here.join(kept, [*k, "id"], "left").select(
+        "project", F.col("v_new").alias("version"), "id", F.coalesce("scc", "id").alias("place")), "kept-places")
+
+    def at(side: str, name: str) -> DataFrame:
+        return place.select("project", F.col("version").alias("v_new"), F.col("id").alias(side), F.col("place").alias(name))
+    small = (mem.where("m >= 2").join(at("s", "source"), [*k, "s"]).join(at("t", "target"), [*k, "t"])
+             .where("source <> target").select("project", F.col("v_new").alias("version"), "source", "target").distinct())
+    found = scc_labels(place.select(*G, F.col("place").alias("id")).distinct(), small)
+    joined = place.join(found.select(*G, F.col("id").alias("place"), F.col("scc").alias("root")), [*G, "place"])
+    least = joined.groupBy(*G, "root").agg(F.min("id").alias("scc"))
+    return joined.join(least, [*G, "root"]).select(*G, "id", "scc")
+
+
 def has_new_cycle(nodes: DataFrame, edges: DataFrame, transitions: DataFrame,
                   labels: DataFrame | None = None) -> DataFrame:
     """CYC-04: a transition introduces a cycle (of any length) iff an added edge

@@ -4,7 +4,7 @@ Input: ``files(project, version, path, content[, language, n_bytes])``.
 Per-file measures are regex column expressions; declarations, imports and
 word tokens are exploded into long tables; the name-resolution cascade is a
 set of equi-joins keyed by ``(project, version, class, token)``; the
-inheritance depth is an iterative join with a reliable checkpoint per round.
+inheritance depth doubles ancestor pointers, with a written table per round.
 The first pass (declarations) and the second (resolution) meet at the
 shuffle on the declared-name index, as the two passes of the original
 extractor do.
@@ -211,34 +211,74 @@ def resolve_parent(decls: DataFrame, imports: DataFrame, index: DataFrame) -> Da
     return resolve(refs, imports, decls, index).select(*G, "fqcn", F.col("target").alias("parent"))
 
 
+def _ancestors(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """(id, to, d, end): the stop that each node's chain of ``links`` (id, to) ends in and its distance.
+
+    Pointer doubling: a round joins the table of pointers with itself, so pointers that are not at a
+    stop yet reach twice as far, and a chain of n nodes takes log2(n) rounds. A round in which no pointer reaches a stop is the
+    last: what is left then (``end`` false) runs into a loop, as the members of an open chain closest to its
+    stop would have arrived.
+    """
+    t = cut_lineage(links.select(*G, "id", "to", F.lit(1).cast("bigint").alias("d"), F.lit(False).alias("end")).unionByName(
+        stops.select(*G, "id", F.col("id").alias("to"), F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("end"))))
+    before = None
+    while True:
+        left = t.where(~F.col("end")).count()
+        if left == 0 or left == before:
+            return t
+        before = left
+        far = t.select(*G, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("end").alias("end2"))
+        moved = (t.where(~F.col("end")).join(far, [*G, "to"])
+                 .select(*G, "id", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.col("end2").alias("end")))
+        t = cut_lineage(t.where("end").unionByName(moved))
+
+
+def _loop_lengths(links: DataFrame) -> DataFrame:
+    """(id, length) of the nodes on a loop; ``links`` (id, to) are those of nodes that run into one.
+
+    Pointers are doubled until their targets no longer become fewer: these are the nodes on loops, a revisited ancestor of
+    each other. There the least node of each loop is found by doubling windows, and its members are counted.
+    """
+    cur = cut_lineage(links.select(*G, "id", "to"))
+    before = None
+    while True:
+        n = cur.select(*G, "to").distinct().count()
+        if n == before:
+            break
+        before = n
+        cur = cut_lineage(cur.join(cur.select(*G, F.col("id").alias("to"), F.col("to").alias("to2")), [*G, "to"])
+                          .select(*G, "id", F.col("to2").alias("to")))
+    on = cur.select(*G, F.col("to").alias("id")).distinct()
+    win = cut_lineage(links.join(on, [*G, "id"], "left_semi").select(*G, "id", "to", F.least("id", "to").alias("m")))
+    while True:
+        nxt = win.select(*G, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("m").alias("m2"))
+        win = cut_lineage(win.join(nxt, [*G, "to"]).select(
+            *G, "id", F.col("to2").alias("to"), F.least("m", "m2").alias("m"), (F.col("m2") < F.col("m")).alias("fell")))
+        if win.where("fell").isEmpty():
+            break
+        win = win.drop("fell")
+    count = win.groupBy(*G, "m").agg(F.count(F.lit(1)).alias("length"))
+    return win.join(count, [*G, "m"]).select(*G, "id", "length")
+
+
 def inheritance_depth(decls: DataFrame, parents: DataFrame) -> DataFrame:
     """EXT-13: 0 without ``extends``; 1 for a parent outside the project; else 1 + the
     parent's depth.  In an inheritance loop a class counts the steps until the
-    first class repeats.  One join per level; lineage cut each round."""
-    base = decls.select(*G, "fqcn", F.col("extends").isNotNull().alias("has_ext"))
-    par = parents.select(*G, F.col("fqcn").alias("cur"), "parent")
-    walk = cut_lineage(base.select(*G, "fqcn", F.col("fqcn").alias("cur"), F.array("fqcn").alias("seen"),
-                                   F.lit(0).cast("bigint").alias("steps"), "has_ext"))
-    done = []
-    while True:
-        step = walk.join(par, [*G, "cur"], "left")
-        # finished: no extends (steps), extends unresolved (steps + 1), or loop (steps + 1)
-        fin = step.where(F.col("parent").isNull() | F.array_contains("seen", F.col("parent")))
-        done.append(cut_lineage(fin.select(
-            *G, "fqcn", F.when(F.col("parent").isNotNull(), F.col("steps") + 1)
-            .when(F.col("has_ext"), F.col("steps") + 1).otherwise(F.col("steps")).alias("depth"))))
-        nxt = step.where(F.col("parent").isNotNull() & ~F.array_contains("seen", F.col("parent")))
-        walk = cut_lineage(nxt.join(decls.select(*G, F.col("fqcn").alias("parent"),
-                                                 F.col("extends").isNotNull().alias("p_ext")), [*G, "parent"])
-                           .select(*G, "fqcn", F.col("parent").alias("cur"),
-                                   F.concat("seen", F.array("parent")).alias("seen"),
-                                   (F.col("steps") + 1).alias("steps"), F.col("p_ext").alias("has_ext")))
-        if walk.limit(1).count() == 0:  # every step adds a class to ``seen``, so the walk ends
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    first class repeats: its way to the loop and once round.  Logarithmic rounds, lineage cut in each."""
+    base = cut_lineage(decls.select(*G, F.col("fqcn").alias("id"), F.col("extends").isNotNull().alias("has_ext"))
+                       .join(parents.select(*G, F.col("fqcn").alias("id"), F.col("parent").alias("to")), [*G, "id"], "left"))
+    links, tops = base.where(F.col("to").isNotNull()).select(*G, "id", "to"), base.where(F.col("to").isNull())
+    t = _ancestors(links, tops)
+    top = tops.select(*G, F.col("id").alias("to"), F.col("has_ext").cast("bigint").alias("more"))
+    out = t.where("end").join(top, [*G, "to"]).select(*G, F.col("id").alias("fqcn"), (F.col("d") + F.col("more")).alias("depth"))
+    bound = t.where(~F.col("end")).select(*G, "id")
+    if bound.isEmpty():
+        return out
+    links = cut_lineage(links.join(bound, [*G, "id"], "left_semi"))
+    loops = cut_lineage(_loop_lengths(links))
+    way = _ancestors(links.join(loops, [*G, "id"], "left_anti"), loops.select(*G, "id"))
+    return out.unionByName(way.join(loops.select(*G, F.col("id").alias("to"), "length"), [*G, "to"]).select(
+        *G, F.col("id").alias("fqcn"), (F.col("d") + F.col("length")).alias("depth")))
 
 
 def import_edges(imports: DataFrame, decls: DataFrame, edges: DataFrame) -> DataFrame:
