@@ -66,6 +66,53 @@ def dep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("source") * 1000000 + F.col("target")).alias("ord"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, o_orderpriority, d, source, target): consecutive lines of one order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return (li.join(od, li.l_orderkey == od.o_orderkey)
+            .select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("d"), F.col("l_partkey").alias("source"),
+                    F.lead("l_partkey").over(w).alias("target")).where(F.col("target").isNotNull()))
+
+
+#: Length of a season in months: the graphs are so sparse that cycles are few, but some are long.
+SEASON_MONTHS = 6
+
+
+def season_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse graphs: project = ``o_orderpriority``, version = season of SEASON_MONTHS months."""
+    months = F.year("d") * 12 + F.month("d")
+    return _lines(spark, sf_dir).select(
+        F.col("o_orderpriority").alias("project"),
+        F.concat(F.lit("s"), F.floor(months / SEASON_MONTHS).cast("string")).alias("version"), "source", "target")
+
+
+def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph documents, one per customer and year (a handful of orders each); ``key`` is the customer."""
+    g = ["o_custkey", "version"]
+    e = _lines(spark, sf_dir).select("o_custkey", F.concat(F.lit("y"), F.year("d").cast("string")).alias("version"),
+                                     "source", "target").distinct()
+    kind = F.when(F.col("source") % 3 == 0, "inheritance").when(F.col("source") % 3 == 1, "imports").otherwise("calls")
+    edges = e.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("source", "target", kind.alias("type")))).alias("es"))
+    n = e.select(*g, F.explode(F.array("source", "target")).alias("id")).distinct()
+    nodes = n.groupBy(*g).agg(F.array_sort(F.collect_list("id")).alias("ns"))
+    text = lambda x: x.cast("string")
+    as_node = F.transform("ns", lambda i: F.struct(
+        text(i).alias("id"), F.concat(F.lit("P"), text(i)).alias("name"), F.when(i % 2 == 0, "class").otherwise("file").alias("type"),
+        F.concat(F.lit("src/"), text(i)).alias("filePath"),
+        F.struct((i % 100).alias("loc"), (i % 7).alias("complexity"), (i % 10).alias("coupling"),
+                 (i % 5).alias("inheritanceDepth")).alias("metrics")))
+    as_edge = F.transform("es", lambda x: F.struct(text(x["source"]).alias("source"), text(x["target"]).alias("target"), x["type"].alias("type")))
+    total = F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, i: a + i % 100)
+    return edges.join(nodes, g).select(
+        F.col("o_custkey").alias("key"), F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("projectName"), "version",
+        F.lit("Java").alias("language"), F.concat(F.substring("version", 2, 4), F.lit("-12-31T00:00:00")).alias("extractedAt"),
+        F.struct(total.alias("totalLinesOfCode"), F.size("ns").cast("bigint").alias("totalClasses"),
+                 F.lit(None).cast("double").alias("averageCoupling")).alias("systemMetrics"),
+        as_node.alias("nodes"), as_edge.alias("edges"))
+
+
 def dep_nodes(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
     """Declared nodes: distinct endpoints joined to ``part``; ``id % 50 = 7`` left implicit."""
     edges = edges if edges is not None else dep_edges(spark, sf_dir)
@@ -292,6 +339,22 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("n_bytes", F.octet_length("content").cast("bigint"))
 
 
+def java_scope_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`java_files` with one more type per file, ``U{k}``: it holds two levels of nested types and refers to nested types of
+    its own, of part ``k+1`` and of part ``k+4`` (imported by even parts), and names others in a comment and a literal only."""
+    f = java_files(spark, sf_dir)
+    k = F.regexp_extract("path", r"_(\d+)\.java$", 1).cast("bigint")
+    s = lambda x: x.cast("string")
+    fourth = F.concat(F.lit("U"), s(k + 4), F.lit(".Deep"), s((k + 4) % 3))
+    more = F.concat(
+        F.lit("\nclass U"), s(k), F.lit(" {\n    N"), s(F.floor((k + 1) / 7).cast("bigint")), F.lit(".Inner"), s((k + 1) % 3),
+        F.lit(" part; // N"), s(F.floor(k / 7).cast("bigint")), F.lit(".Inner0 {\n    static class Deep"), s(k % 3),
+        F.lit(" { class Deeper { } }\n    Deep"), s(k % 3), F.lit(" own; "), fourth,
+        F.lit(" other;\n    String s = \"class Fake { U7.Deep1 }\";\n}\n"),
+        F.when(k % 2 == 0, F.concat(F.lit("import com.p"), s((k + 4) % 7), F.lit(".U"), s(k + 4), F.lit(";\n"))).otherwise(F.lit("")))
+    return f.withColumn("content", F.concat("content", more)).withColumn("n_bytes", F.octet_length("content").cast("bigint"))
+
+
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python corpus generated from ``part``: module ``pkg{k mod 7}/m{k div 7}.py`` of
     project ``p_brand`` imports the modules of parts ``k+1`` (``import``) and

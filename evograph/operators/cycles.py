@@ -213,10 +213,11 @@ def exact_cycle_counts(edges: DataFrame, graphs: DataFrame, labels: DataFrame |
     """
     e = cut_lineage(_pairs(edges), "count-pairs")
     loops = e.where("s = t").groupBy(*G).agg(F.count(F.lit(1)).alias("loops"))
-    e = e.where("s <> t")
-    ends = e.select(*G, F.explode(F.array("s", "t")).alias("id")).distinct()
-    lab = labels if labels is not None else scc_labels(ends, edges)
-    lab = lab.select(*G, "id", "scc")
+    e = _ranked(e.where("s <> t"), G).select(*G, "s", "t")
+    if labels is None:
+        ends = e.select(*G, F.explode(F.array("s", "t")).alias("id")).distinct()
+        labels = scc_labels(ends, e.select(*G, F.col("s").alias("source"), F.col("t").alias("target")))
+    lab = cut_lineage(labels.select(*G, "id", "scc"), "count-labels")
     inner = cut_lineage(
         e.join(lab.select(*G, F.col("id").alias("s"), "scc"), [*G, "s"])
          .join(lab.select(*G, F.col("id").alias("t"), F.col("scc").alias("other")), [*G, "t"])

@@ -12,7 +12,8 @@ extractor do.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ JAVA_RECORD = r"(?U)\brecord\s+(\w+)\s*\((.*?)\)"
 JAVA_TYPE = (r"(?U)\b(?:sealed\s+|non-sealed\s+)?(?:class|interface|enum)\s+(\w+)"
              r"(?:\s+extends\s+([\w\.]+))?(?:\s+implements\s+([\w\.,\s]+))?(?:\s+permits\s+([\w\.,\s]+))?")
 WORD = r"(?U)\b\w+\b"
+TOKEN = r"(?U)\w+|\W+"
 GENERIC_COMPLEXITY = r"(?U)\b(if|for|while|case|cond|fn|def|match)\b|&&|\|\|"
 GENERIC_IMPORTS = {
     "python": (".py", r"(?U)\bimport\s+([\w\.]+)\b|\bfrom\s+([\w\.]+)\s+import\b"),
@@ -103,12 +105,12 @@ def java_types(files: DataFrame) -> DataFrame:
                     F.when(F.col("t.permits") != "", permits).otherwise(F.array().cast("array<string>")).alias("refs")))
 
 
-def declarations(files: DataFrame) -> DataFrame:
+def declarations(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Declared types with their file measures; one row per FQCN.
 
     Duplicate FQCNs: a record replaces earlier records (last by path and
     position) and always beats a class declaration; among class
-    declarations the first by path and position is kept.
+    declarations the first by path and position is kept.  ``keep`` may leave rows out before that.
     """
     f = files.select(*G, "path", "content", java_package(F.col("content")).alias("package"),
                      java_loc(F.col("content")).alias("loc"), java_complexity(F.col("content")).alias("complexity"))
@@ -116,7 +118,7 @@ def declarations(files: DataFrame) -> DataFrame:
     rec = java_records(files).select(*G, "path", "pos", "name", F.lit(None).cast("string").alias("extends"),
                                      "refs", F.lit(0).alias("kind"))
     typ = java_types(files).select(*G, "path", "pos", "name", "extends", "refs", F.lit(1).alias("kind"))
-    d = rec.unionByName(typ).join(meta, [*G, "path"])
+    d = keep(rec.unionByName(typ)).join(meta, [*G, "path"])
     d = d.withColumn("fqcn", F.when(F.col("package") != "", F.concat_ws(".", "package", "name"))
                      .otherwise(F.col("name")))
     x = F.struct("path", "pos", "name", "extends", "refs", "package", "loc", "complexity")
@@ -291,18 +293,156 @@ def import_edges(imports: DataFrame, decls: DataFrame, edges: DataFrame) -> Data
         *G, F.col("fqcn").alias("source"), "target", F.lit("imports").alias("type"))
 
 
-def build_graph(files: DataFrame) -> dict[str, DataFrame]:
+# string, character and text-block literals and comments; possessive loops do not recurse on long ones
+_JAVA_BLANKS = (r'"""(?s:.*?)"""|"(?:\\.|[^"\\\n])*+"|' + r"'(?:\\.|[^'\\\n])*+'" + r"|//[^\n]*|/\*(?s:.*?)\*/")
+_NESTING = r"\b(?:class|interface|enum)\s+[\p{L}\p{Nd}_]+|[{}]"
+_DOTTED = r"(?U)\b\w+(?:\.\w+)+"
+
+
+def java_code(content: Column) -> Column:
+    """A Java text whose literals and comments are blank."""
+    return F.regexp_replace(F.coalesce(content, F.lit("")), _JAVA_BLANKS, " ")
+
+
+def scope_table(files: DataFrame) -> DataFrame:
+    """EXT-07: every type that stands directly in a file or in another type, with the types around it.
+
+    The braces and declarations of a file are folded in column expressions: the open types are a stack, and a type counts where
+    each open brace belongs to one of them (so not inside a method).  Literals and comments do not count. Output
+    ``(project, version, path, package, pos, outer, name, depth, fqcn)``: ``outer`` is the dotted name of the
+    types around it in the file (null at depth 0).
+    """
+    tokens = F.regexp_extract_all(java_code(F.col("content")), F.lit(_NESTING), F.lit(0))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("open"), none.alias("pending"),
+                     F.array().cast("array<struct<outer:string,name:string,depth:int>>").alias("found"))
+
+    def step(a, t):
+        opens, closes, n = t == "{", t == "}", F.size(a["open"])
+        told = opens & a["pending"].isNotNull() & (n == a["depth"])
+        depth = F.when(opens, a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"])
+        row = F.struct(F.when(n > 0, F.array_join(a["open"], ".")).alias("outer"), a["pending"].alias("name"), n.alias("depth"))
+        return F.struct(
+            depth.alias("depth"),
+            F.when(told, F.concat(a["open"], F.array(a["pending"])))
+            .when(closes & (n > 0) & (n > a["depth"] - 1), F.slice(a["open"], F.lit(1), n - 1)).otherwise(a["open"]).alias("open"),
+            F.when(opens, none).when(closes, a["pending"])
+            .otherwise(F.regexp_extract(t, r"([\p{L}\p{Nd}_]+)$", 1)).alias("pending"),
+            F.when(told, F.concat(a["found"], F.array(row))).otherwise(a["found"]).alias("found"))
+    found = files.select(*G, "path", java_package(F.coalesce("content", F.lit(""))).alias("package"),
+                         F.posexplode(F.aggregate(tokens, start, step, lambda a: a["found"])).alias("pos", "n"))
+    return found.select(*G, "path", "package", "pos", "n.outer", "n.name", "n.depth", F.concat_ws(
+        ".", F.when(F.col("package") != "", F.col("package")), "n.outer", "n.name").alias("fqcn"))
+
+
+def nested_types(files: DataFrame) -> DataFrame:
+    """EXT-07: one level of nested types (``Outer.Inner``) per top-level type:
+    ``(project, version, path, outer, inner, fqcn)``."""
+    return scope_table(files).where(F.col("depth") == 1).select(*G, "path", "outer", F.col("name").alias("inner"), "fqcn")
+
+
+def scoped_declarations(files: DataFrame, scopes: DataFrame, max_depth: int | None = 1) -> DataFrame:
+    """Declared types with nested ones under their outer type, as :func:`declarations` gives them plus ``qualified``.
+
+    What the flat extraction finds in literals, comments and method bodies does not count, but in files whose braces do not match
+    it is all there is.  A nested type has the file, package and imports of its outer type, no lines of its own, complexity 1 and no references.
+    ``max_depth`` limits the levels (None: all). ``qualified`` is the name within the package (``Outer.Inner``).
+    Of several declarations of one name the first by path and position counts.
+    """
+    code = files.withColumn("content", java_code(F.col("content")))
+    told = scopes.where(F.col("depth") == 0).select(*G, "path", "name").unionByName(java_records(code).select(*G, "path", "name")).distinct()
+    # files whose braces match
+    sane = code.where(F.regexp_count("content", F.lit(r"\{")) == F.regexp_count("content", F.lit(r"\}"))).select(*G, "path").distinct()
+    told = told.join(sane, [*G, "path"], "left_semi")
+    flat = declarations(files, lambda d: d.join(told, [*G, "path", "name"], "left_semi").unionByName(
+        d.join(sane, [*G, "path"], "left_anti"))).withColumn("qualified", F.col("name"))
+    s = scopes.where(F.col("depth") > 0).join(sane, [*G, "path"], "left_semi")
+    if max_depth is not None:
+        s = s.where(F.col("depth") <= max_depth)
+    first = s.groupBy(*G, "fqcn").agg(F.min_by(F.struct("path", "pos", "package", "outer", "name"), F.struct("path", "pos")).alias("x"))
+    none = F.lit(None).cast("string")
+    nested = (first.join(flat.select(*G, "fqcn"), [*G, "fqcn"], "left_anti")
+              .select(*G, "fqcn", "x.name", "x.package", "x.path", none.alias("extends"), F.array().cast("array<string>").alias("refs"),
+                      F.lit(0).cast("bigint").alias("loc"), F.lit(1).cast("bigint").alias("complexity"), "x.pos",
+                      F.concat_ws(".", "x.outer", "x.name").alias("qualified")))
+    return flat.unionByName(nested)
+
+
+def scoped_refs(files: DataFrame, decls: DataFrame) -> DataFrame:
+    """References of the top-level types: words and dotted pairs of their file's code that name a declared type,
+    ``(project, version, fqcn, package, token)``. Of a chain ``a.b.c`` the pairs ``a.b`` and ``b.c`` are looked at, and longer
+    runs as far as declared names are long."""
+    names = decls.select(*G, F.col("name").alias("token")).unionByName(decls.select(*G, F.col("qualified").alias("token"))).distinct()
+    longest = decls.agg(F.max(F.size(F.split("qualified", r"\.")))).first()[0] or 1
+    code = files.select(*G, "path", java_code(F.col("content")).alias("code"))
+    words = F.regexp_extract_all("code", F.lit(WORD), 0)
+    chains = F.transform(F.regexp_extract_all("code", F.lit(_DOTTED), 0), lambda c: F.split(c, r"\."))
+
+    def runs(c: Column) -> Column:
+        """All runs of 2 to ``longest`` successive parts."""
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.transform(
+            F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.size(c) - i + 1)), lambda n: F.array_join(F.slice(c, i, n), "."))))
+    tokens = code.select(*G, "path", F.explode(F.array_distinct(F.concat(words, F.flatten(F.transform(chains, runs))))).alias("token"))
+    tokens = tokens.join(names, [*G, "token"], "left_semi")
+    own = decls.where(F.col("qualified") == F.col("name")).select(*G, "fqcn", "name", "package", "path")
+    return own.join(tokens, [*G, "path"]).where(F.col("token") != F.col("name")).drop("name", "path")
+
+
+def scoped_index(decls: DataFrame) -> DataFrame:
+    """EXT-08 with the qualified names of nested types beside the simple ones."""
+    nested = decls.where(F.col("qualified") != F.col("name"))
+    return declared_index(decls).unionByName(declared_index(nested.withColumn("name", F.col("qualified"))))
+
+
+def resolve_scoped(refs: DataFrame, imports: DataFrame, decls: DataFrame) -> DataFrame:
+    """EXT-11 in a graph: references, dotted ones too, resolved by the cascade over all declared types, then outwards.
+
+    Simple and qualified names go through :func:`resolve` (imports, package, wildcards, the unique name) and qualified
+    ones that leave open through :func:`resolve_qualified`. What several types share is looked up from the inside: in the
+    referring type's own scopes, where the one nearest to the outermost type wins.
+    """
+    index = scoped_index(decls)
+    k = [*G, "fqcn", "ref"]
+    refs = cut_lineage(refs.select(*G, "fqcn", "package", "token").distinct(), "scoped-refs")
+    found = cut_lineage(resolve(refs, imports, decls, index), "scoped-found")
+    open_ = refs.join(found.withColumnRenamed("ref", "token"), [*G, "fqcn", "token"], "left_anti")
+    dotted = resolve_qualified(open_, imports, decls, index)
+    # a nested type below the referring one whose dotted name ends with the reference; the shortest is the closest
+    below = decls.select(*G, "path", F.col("fqcn").alias("target"), "qualified")
+    inner = below.select(*G, "target", F.col("qualified"), F.substring_index("qualified", ".", -1).alias("last"),
+                         F.substring_index("qualified", ".", 1).alias("head"), "path")
+    own = decls.where(F.col("qualified") == F.col("name")).select(*G, "fqcn", "path", F.col("name").alias("head"))
+    near = (open_.withColumn("last", F.substring_index("token", ".", -1)).join(own, [*G, "fqcn"])
+            .join(inner, [*G, "path", "head", "last"])
+            .where(F.endswith(F.col("qualified"), F.concat(F.lit("."), F.col("token"))))
+            .groupBy(*G, "fqcn", F.col("token").alias("ref"))
+            .agg(F.min_by("target", F.struct(F.size(F.split("qualified", r"\.")).alias("n"), F.col("qualified"))).alias("target")))
+    both = found.unionByName(dotted)
+    return both.unionByName(near.join(dotted.select(*k), k, "left_anti"))
+
+
+def build_graph(files: DataFrame, scopes: bool = False, max_depth: int | None = 1) -> dict[str, DataFrame]:
     """EXT-15: ``nodes``, ``edges`` and ``versions`` of every (project, version) source tree.
 
+    With ``scopes`` nested types are nodes under their outer type (EXT-07, down to ``max_depth`` levels), and
+    references are taken from the code alone, dotted names included (EXT-11); without, names are flat and comments count, as
+    in files that the original cannot parse.
+
     ``ord`` of extracted elements is a hash of the declaration, so ties in
     hub rankings break deterministically (the original order depends on the
     file system walk).
     """
-    decls = cut_lineage(declarations(files))
-    index = declared_index(decls)
-    imports = _imports_of(files, decls)
-    calls = (resolve(token_refs(files, decls, index), imports, decls, index)
-             .select(*G, F.col("fqcn").alias("source"), "target", F.lit("calls").alias("type")).distinct())
+    if scopes:
+        table = cut_lineage(scope_table(files), "scopes")
+        decls = cut_lineage(scoped_declarations(files, table, max_depth))
+        imports = _imports_of(files, decls)
+        resolved = resolve_scoped(scoped_refs(files, decls), imports, decls)
+    else:
+        decls = cut_lineage(declarations(files))
+        imports = _imports_of(files, decls)
+        resolved = resolve(token_refs(files, decls, declared_index(decls)), imports, decls, declared_index(decls))
+    index = scoped_index(decls) if scopes else declared_index(decls)
+    calls = resolved.select(*G, F.col("fqcn").alias("source"), "target", F.lit("calls").alias("type")).distinct()
     parents = cut_lineage(resolve_parent(decls, imports, index))
     inh = parents.select(*G, F.col("fqcn").alias("source"), F.col("parent").alias("target"),
                          F.lit("inheritance").alias("type"))
@@ -323,43 +463,6 @@ def build_graph(files: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges, "versions": versions, "decls": decls}
 
 
-# string, character and text-block literals and comments; possessive loops do not recurse on long ones
-_JAVA_BLANKS = (r'"""(?s:.*?)"""|"(?:\\.|[^"\\\n])*+"|' + r"'(?:\\.|[^'\\\n])*+'" + r"|//[^\n]*|/\*(?s:.*?)\*/")
-_NESTING = r"\b(?:class|interface|enum)\s+[\p{L}\p{Nd}_]+|[{}]"
-
-
-def nested_types(files: DataFrame) -> DataFrame:
-    """EXT-07: one level of nested types (``Outer.Inner``) per top-level type.
-
-    Literals and comments are blanked, then the brace depth is folded over the
-    array of braces and declarations of a file, all in column expressions.
-    Output ``(project, version, path, outer, inner, fqcn)``.
-    """
-    text = F.coalesce("content", F.lit(""))
-    tokens = F.regexp_extract_all(F.regexp_replace(text, _JAVA_BLANKS, " "), F.lit(_NESTING), F.lit(0))
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit(0).alias("depth"), none.alias("outer"), none.alias("pending"),
-                     F.array().cast("array<struct<outer:string,inner:string>>").alias("found"))
-
-    def step(a, t):
-        opens, closes = t == "{", t == "}"
-        named = opens & a["pending"].isNotNull()
-        nested = named & (a["depth"] == 1) & a["outer"].isNotNull()
-        return F.struct(
-            F.when(opens, a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
-            F.when(named & (a["depth"] == 0), a["pending"]).when(closes & (a["depth"] == 1), none)
-            .otherwise(a["outer"]).alias("outer"),
-            F.when(opens, none).when(closes, a["pending"])
-            .otherwise(F.regexp_extract(t, r"([\p{L}\p{Nd}_]+)$", 1)).alias("pending"),
-            F.when(nested, F.concat(a["found"], F.array(F.struct(a["outer"].alias("outer"), a["pending"].alias("inner")))))
-            .otherwise(a["found"]).alias("found"))
-    package = F.regexp_extract(text, r"package\s+([\p{L}\p{Nd}_.]+);", 1)
-    found = files.select(*G, "path", package.alias("package"),
-                         F.explode(F.aggregate(tokens, start, step, lambda a: a["found"])).alias("n"))
-    return found.select(*G, "path", "n.outer", "n.inner", F.concat_ws(
-        ".", F.when(F.col("package") != "", F.col("package")), "n.outer", "n.inner").alias("fqcn"))
-
-
 # ------------------------------------------------------------------ generic path
 
 def generic_loc(content: Column) -> Column:
@@ -403,29 +506,50 @@ def generic_imports(files: DataFrame, language: str) -> DataFrame:
     return imp.join(cand, [*G, "key"]).select(*G, "source", "target").distinct()
 
 
+def token_index(files: DataFrame) -> DataFrame:
+    """``(project, version, path, pos, token, n)``: a text as words and what stands between them, in order; ``n`` tokens in all."""
+    tokens = F.regexp_extract_all("content", F.lit(TOKEN), 0)
+    return files.select(*G, "path", F.size(tokens).alias("n"), F.posexplode(tokens).alias("pos", "token"))
+
+
 def generic_mentions(files: DataFrame, language: str) -> DataFrame:
     """EXT-18: a file mentions another file's base name as a whole word.
 
-    Names made of word characters are matched by an equi-join of the file's
-    distinct word tokens with the names (no all-pairs scan).  Names with
-    other characters are matched by a join on their first word token followed
-    by the exact whole-word regex test on that candidate pair only.
+    Texts and names are cut into the same tokens (words, and what stands between two words). A whole-word mention is a run of
+    the name's tokens in a text; where the name begins or ends between words, a word has to stand beside it.
+    A name's rarest word token finds the places where it may stand, by an equi-join with the positional index, and
+    every other token has to stand at its distance from there, by another. No text is searched for a name.
     """
     ext = GENERIC_IMPORTS.get(language.lower(), (f".{language.lower()}" if language else ".src", None))[0]
     src = files.where(F.col("path").endswith(ext))
-    names = src.select(*G, F.col("path").alias("target"),
-                       F.element_at(F.split(_base(F.col("path")), "/"), -1).alias("name"))
-    toks = src.select(*G, F.col("path").alias("source"), "content",
-                      F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(WORD), 0))).alias("tok"))
-    simple = names.where(F.col("name").rlike(r"(?U)^\w+$"))
-    hit1 = (toks.join(simple.withColumnRenamed("name", "tok"), [*G, "tok"])
-            .select(*G, "source", "target"))
-    other = (names.where(~F.col("name").rlike(r"(?U)^\w+$") & (F.col("name") != ""))
-             .withColumn("tok", F.regexp_extract("name", r"(?U)(\w+)", 1)))
-    hit2 = (toks.join(other.where(F.col("tok") != ""), [*G, "tok"])
-            .where(F.expr("regexp_count(content, concat('(?U)\\\\b', '\\\\Q', name, '\\\\E', '\\\\b')) > 0"))
-            .select(*G, "source", "target"))
-    return hit1.unionByName(hit2).where(F.col("source") != F.col("target")).distinct()
+    name = F.element_at(F.split(_base(F.col("path")), "/"), -1)
+    parts = F.regexp_extract_all("name", F.lit(TOKEN), 0)
+    names = cut_lineage(src.select(*G, F.col("path").alias("target"), name.alias("name")).where(F.col("name") != "")
+                        .withColumn("parts", parts), "mention-names")
+    part = names.select(*G, "target", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "token"))
+    # only tokens of names are of interest
+    index = cut_lineage(token_index(src).join(part.select(*G, "token").distinct(), [*G, "token"], "left_semi"), "mention-tokens")
+    count = index.groupBy(*G, "token").agg(F.count(F.lit(1)).alias("seen"))
+    # the rarest word of a name, or its only token (a name without a word)
+    word = F.col("token").rlike(r"(?U)^\w")
+    key = (part.join(count, [*G, "token"]).groupBy(*G, "target", "k")
+           .agg(F.min_by(F.struct("i", "token"), F.struct((~word).alias("no_word"), "seen", "i")).alias("r"))
+           .select(*G, "target", "k", "r.i", "r.token"))
+    one = (index.select(*G, F.col("path").alias("source"), "token", "pos", "n").join(key, [*G, "token"])
+           .select(*G, "target", "source", "k", "n", F.col("i").alias("at"), (F.col("pos") - F.col("i")).alias("start"))
+           .where((F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.col("n"))))
+    single = one.where("k = 1").select(*G, "target", "source", "start", "n", "k")
+    rest = part.select(*G, "target", "i", "token")
+    need = (one.where("k > 1").join(rest, [*G, "target"]).where(F.col("i") != F.col("at"))
+            .select(*G, "target", "source", "start", "n", "k", "token", (F.col("start") + F.col("i")).alias("pos")))
+    runs = (need.join(index.select(*G, F.col("path").alias("source"), "pos", "token"), [*G, "source", "pos", "token"])
+            .groupBy(*G, "target", "source", "start", "n", "k").agg(F.count(F.lit(1)).alias("hit"))
+            .where(F.col("hit") == F.col("k") - 1).drop("hit"))
+    ends = names.select(*G, "target", F.element_at("parts", 1).rlike(r"(?U)^\w").alias("word_first"),
+                        F.element_at("parts", -1).rlike(r"(?U)^\w").alias("word_last"))
+    found = single.unionByName(runs).join(ends, [*G, "target"]).where(
+        (F.col("word_first") | (F.col("start") > 0)) & (F.col("word_last") | (F.col("start") + F.col("k") < F.col("n"))))
+    return found.where(F.col("source") != F.col("target")).select(*G, "source", "target").distinct()
 
 
 def build_file_graph(files: DataFrame, language: str) -> dict[str, DataFrame]:

@@ -144,6 +144,22 @@ def q_has_new_cycle(spark, sf):
     return cycles.has_new_cycle(*_g(spark, sf))
 
 
+@register("cyc_updated_labels")
+def q_updated_labels(spark, sf):
+    nodes, edges, tr = _g(spark, sf)
+    nodes = materialize(graph.all_nodes(nodes, edges).select("project", "version", "id"), "all-nodes")
+    old = tr.select("project", F.col("v_old").alias("version")).distinct()
+    g = ["project", "version"]
+    labels = cycles.scc_labels(nodes.join(old, g, "left_semi"), edges.join(old, g, "left_semi"))
+    return cycles.update_labels(labels, nodes, edges, tr)
+
+
+@register("cyc_exact_counts")
+def q_exact_counts(spark, sf):
+    edges = materialize(fx.season_edges(spark, sf), "season-edges")
+    return cycles.exact_cycle_counts(edges, edges)
+
+
 @register("cyc_canonical_cycle")
 def q_canonical_cycle(spark, sf):
     cyc = cycles.enumerate_cycles(fx.dep_edges(spark, sf), 5)
@@ -336,6 +352,18 @@ def q_evolution(spark, sf):
     return evolution.evolution_analysis(nodes, edges, tr, INTENTS)
 
 
+@register("int_evolution_reuse")
+def q_evolution_reuse(spark, sf):
+    """A first run analyses two projects and stores the result; the second takes it from there by content."""
+    nodes, edges, tr = _g(spark, sf)
+    tr = materialize(tr, "reuse-all")
+    prints = materialize(evolution.graph_fingerprints(nodes, edges), "fingerprints")
+    early = tr.where(F.col("project").isin("1-URGENT", "5-LOW"))
+    _, stored = evolution.analyse_changed(nodes, edges, early, prints)
+    out, _ = evolution.analyse_changed(nodes, edges, tr, prints, materialize(stored, "stored"))
+    return out
+
+
 @register("int_evolution_analysis_for")
 def q_evolution_for(spark, sf):
     nodes, edges, tr = _g(spark, sf)
@@ -765,6 +793,17 @@ def q_ext_nested(spark, sf):
     return ex.nested_types(_jf(spark, sf))
 
 
+@register("ext_scope_table")
+def q_ext_scopes(spark, sf):
+    return ex.scope_table(fx.java_scope_files(spark, sf)).select("project", "version", "path", "outer", "name", "depth", "fqcn")
+
+
+@register("ext_resolve_qualified")
+def q_ext_qualified(spark, sf):
+    g = ex.build_graph(fx.java_scope_files(spark, sf), scopes=True)
+    return g["edges"].where(F.col("type") == "calls").select("project", "version", "source", "target")
+
+
 @register("ext_declared_index")
 def q_ext_index(spark, sf):
     d = ex.declarations(_jf(spark, sf))
@@ -876,61 +915,98 @@ def q_ext_coord(spark, sf):
 from evograph.streaming import jobs as st  # noqa: E402
 
 
-def _stream(spark, records, build, name, mode="complete", n_files=None):
+def _stream(spark, records, build, name, n_files=None):
     """Land ``records`` as files, run ``build(stream)`` to completion, read the sink back."""
     base = scratch_path(spark, name)
     landing = st.land(records, base + "/landing", n_files)
     schema = spark.read.parquet(landing).schema
     src = st.read_stream(spark, landing, schema)
-    st.run(build(src), base + "/sink", base + "/checkpoint", mode=mode)
+    st.run(build(src), base + "/sink", base + "/checkpoint")
     return st.read_result(spark, base + "/sink"), base
 
 
+def _merged(spark, records, table, base, max_files):
+    """Land ``records``, merge them into ``table`` in several batches, then again from the first with another checkpoint."""
+    landing = st.land(records, base + "/landing")
+    schema = spark.read.parquet(landing).schema
+    for checkpoint in ("/checkpoint", "/again"):  # the second run repeats batch ids: they change nothing
+        st.run(st.read_stream(spark, landing, schema, max_files), None, base + checkpoint, batches=table)
+    return st.naive_times(table.read())
+
+
 @register("str_graph_ingest")
 def q_str_ingest(spark, sf):
-    res, base = _stream(spark, fx.dep_edges(spark, sf), st.graph_ingest, "ingest", mode="append")
+    res, base = _stream(spark, fx.dep_edges(spark, sf), st.graph_ingest, "ingest")
     # a second run over the same checkpoint finds nothing new: exactly-once ingestion
     schema = spark.read.parquet(base + "/landing").schema
-    st.run(st.graph_ingest(st.read_stream(spark, base + "/landing", schema)), base + "/sink",
-           base + "/checkpoint", mode="append")
+    st.run(st.graph_ingest(st.read_stream(spark, base + "/landing", schema)), base + "/sink", base + "/checkpoint")
     return st.read_result(spark, base + "/sink").select("project", "version", "source", "target", "type", "ord")
 
 
+@register("str_graph_documents")
+def q_str_documents(spark, sf):
+    base = scratch_path(spark, "documents")
+    docs = fx.graph_documents(spark, sf)
+    tables = st.document_ingest(spark, base + "/tables")
+    # the second drop brings a third of the documents again
+    for drop in (docs, docs.where(F.col("key") % 3 == 0)):
+        drop.drop("key").write.mode("append").json(base + "/landing")
+        st.run(st.read_documents(spark, base + "/landing", max_files=2), None, base + "/checkpoint", batches=tables)
+    none = {"t": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
+    v, n, e = (tables.read(name) for name in ("versions", "nodes", "edges"))
+    return (v.select(F.lit("versions").alias("kind"), "project", "version", none["n"].alias("ord"), F.col("language").alias("a"),
+                     none["t"].alias("b"), none["t"].alias("type"), F.col("total_loc").alias("n1"), F.col("total_classes").alias("n2"))
+            .unionByName(n.select(F.lit("nodes").alias("kind"), "project", "version", "ord", F.col("id").alias("a"),
+                                  F.col("name").alias("b"), "type", F.col("loc").alias("n1"), F.col("complexity").alias("n2")))
+            .unionByName(e.select(F.lit("edges").alias("kind"), "project", "version", "ord", F.col("source").alias("a"),
+                                  F.col("target").alias("b"), "type", none["n"].alias("n1"), none["n"].alias("n2"))))
+
+
 @register("str_dedupe_discovered")
 def q_str_discovered(spark, sf):
-    latest, _ = _stream(spark, fx.discovered(spark, sf), st.latest_discovery, "discovered")
-    return inv.upsert_discovered(fx.inventory(spark, sf), latest).select(
-        "owner", "repo", "stars", "language", "status")
+    base = scratch_path(spark, "discovered")
+    table = st.upsert_discoveries(spark, base + "/table", fx.inventory(spark, sf), buckets=8)
+    # a batch holds whatever discoveries its files hold: the merge follows ``seq``, not their order
+    records = fx.discovered(spark, sf).repartition(6, "seq")
+    return _merged(spark, records, table, base, 2).select("owner", "repo", "stars", "language", "status")
 
 
 def _events(spark, sf):
     return fx.status_events(spark, sf)
 
 
+def _closed(spark, sf):
+    """The events and one that lets the watermark close all their windows."""
+    ev = _events(spark, sf)
+    return ev.unionByName(st.closing_event(ev))
+
+
 @register("str_stale_claims")
 def q_str_stale(spark, sf):
-    res, _ = _stream(spark, _events(spark, sf), lambda s: st.stale_claims(s), "stale")
+    res, _ = _stream(spark, _closed(spark, sf), lambda s: st.stale_claims(s), "stale")
     return res
 
 
 @register("str_status_counts")
 def q_str_counts(spark, sf):
-    tumbling, _ = _stream(spark, _events(spark, sf), lambda s: st.status_counts(s, "1 hour"), "counts-1h")
-    sliding, _ = _stream(spark, _events(spark, sf), lambda s: st.status_counts(s, "1 hour", "15 minutes"),
+    tumbling, _ = _stream(spark, _closed(spark, sf), lambda s: st.status_counts(s, "1 hour"), "counts-1h")
+    sliding, _ = _stream(spark, _closed(spark, sf), lambda s: st.status_counts(s, "1 hour", "15 minutes"),
                          "counts-sliding")
     return tumbling.withColumn("kind", F.lit("tumbling")).unionByName(sliding.withColumn("kind", F.lit("sliding")))
 
 
 @register("str_worker_sessions")
 def q_str_workers(spark, sf):
-    res, _ = _stream(spark, _events(spark, sf), lambda s: st.worker_sessions(s), "workers")
+    res, _ = _stream(spark, _closed(spark, sf), lambda s: st.worker_sessions(s), "workers")
     return res
 
 
 @register("str_current_status")
 def q_str_current(spark, sf):
-    res, _ = _stream(spark, _events(spark, sf), st.current_status, "current")
-    return res
+    base = scratch_path(spark, "current")
+    table = st.status_table(spark, base + "/table", buckets=8)
+    records = _events(spark, sf).repartition(6, "event_id")
+    return _merged(spark, records, table, base, 2).select("owner", "repo", "status", "since")
 
 
 # ------------------------------------------------------------------ UDF

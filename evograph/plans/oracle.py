@@ -228,6 +228,76 @@ SELECT project, version, cycle_str, length, count(*) OVER (PARTITION BY project,
 
 Q["cyc_cycle_changes"] = w(FIX, CYC, CYC_CHANGES) + "SELECT * FROM cyc_changes"
 
+# Components: the one of each graph's node of highest degree is what that node reaches and is reached from; no other component
+# touches it, so among the other nodes all pairs of reachability are few.
+SCC = """
+scc_piv AS (SELECT project, version, arg_max(id, struct_pack(d := degree, i := -id)) AS p FROM deg GROUP BY ALL),
+scc_fwd AS (
+  SELECT * FROM (WITH RECURSIVE f(project, version, id) AS (
+    SELECT project, version, p FROM scc_piv
+    UNION SELECT e.project, e.version, e.target FROM f JOIN pairs e ON e.project = f.project AND e.version = f.version AND e.source = f.id)
+  SELECT * FROM f)),
+scc_bwd AS (
+  SELECT * FROM (WITH RECURSIVE f(project, version, id) AS (
+    SELECT project, version, p FROM scc_piv
+    UNION SELECT e.project, e.version, e.source FROM f JOIN pairs e ON e.project = f.project AND e.version = f.version AND e.target = f.id)
+  SELECT * FROM f)),
+scc_big AS (SELECT * FROM scc_fwd INTERSECT SELECT * FROM scc_bwd),
+scc_rest AS (
+  SELECT e.* FROM pairs e ANTI JOIN scc_big a ON a.project = e.project AND a.version = e.version AND a.id = e.source
+  ANTI JOIN scc_big b ON b.project = e.project AND b.version = e.version AND b.id = e.target),
+scc_reach AS (
+  SELECT * FROM (WITH RECURSIVE f(project, version, s, t) AS (
+    SELECT project, version, source, target FROM scc_rest
+    UNION SELECT f.project, f.version, f.s, e.target FROM f JOIN scc_rest e
+      ON e.project = f.project AND e.version = f.version AND e.source = f.t)
+  SELECT * FROM f)),
+scc_small AS (
+  SELECT a.project, a.version, a.s AS id, min(a.t) AS least FROM scc_reach a JOIN scc_reach b
+    ON b.project = a.project AND b.version = a.version AND b.s = a.t AND b.t = a.s GROUP BY ALL),
+scc AS (
+  SELECT n.project, n.version, n.id, CASE WHEN g.id IS NOT NULL THEN m.least ELSE coalesce(x.least, n.id) END AS scc
+  FROM all_nodes n LEFT JOIN scc_big g USING (project, version, id)
+  LEFT JOIN (SELECT project, version, min(id) AS least FROM scc_big GROUP BY ALL) m USING (project, version)
+  LEFT JOIN scc_small x USING (project, version, id))
+"""
+Q["cyc_scc_labels"] = w(FIX, SCC) + "SELECT project, version, id, scc FROM scc"
+Q["cyc_updated_labels"] = w(FIX, SCC) + """
+SELECT s.project, s.version, s.id, s.scc FROM scc s JOIN transitions t ON t.project = s.project AND t.v_new = s.version"""
+Q["cyc_has_new_cycle"] = w(FIX, SCC) + """
+, hit AS (
+  SELECT m.project, m.v_old, m.v_new, count(*) AS n FROM edge_mem m
+  JOIN scc a ON a.project = m.project AND a.version = m.v_new AND a.id = m.source
+  JOIN scc b ON b.project = m.project AND b.version = m.v_new AND b.id = m.target
+  WHERE m.m = 2 AND a.scc = b.scc GROUP BY ALL)
+SELECT t.project, t.v_old, t.v_new, hit.n IS NOT NULL AS has_new_cycle FROM transitions t LEFT JOIN hit USING (project, v_old, v_new)"""
+
+Q["cyc_exact_counts"] = """
+WITH l AS (
+  SELECT o_orderpriority AS project, 's' || ((year(o_orderdate) * 12 + month(o_orderdate)) // 6) AS version, l_partkey AS s,
+         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS t
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT DISTINCT project, version, s, t FROM l WHERE t IS NOT NULL),
+rch AS (  -- nodes on a cycle: those that reach themselves
+  SELECT * FROM (WITH RECURSIVE f(project, version, s, t) AS (
+    SELECT project, version, s, t FROM e
+    UNION SELECT f.project, f.version, f.s, e.t FROM f JOIN e ON e.project = f.project AND e.version = f.version AND e.s = f.t)
+  SELECT * FROM f WHERE s = t)),
+ce AS (SELECT e.* FROM e SEMI JOIN rch a ON a.project = e.project AND a.version = e.version AND a.s = e.s
+       SEMI JOIN rch b ON b.project = e.project AND b.version = e.version AND b.s = e.t),
+p AS (  -- simple paths from the least node of the cycle
+  SELECT * FROM (WITH RECURSIVE f(project, version, r, x, seen) AS (
+    SELECT project, version, s, t, [s, t] FROM ce WHERE t > s
+    UNION ALL SELECT f.project, f.version, f.r, ce.t, list_append(f.seen, ce.t) FROM f JOIN ce
+      ON ce.project = f.project AND ce.version = f.version AND ce.s = f.x AND ce.t > f.r AND NOT list_contains(f.seen, ce.t))
+  SELECT * FROM f)),
+c AS (SELECT p.project, p.version, len(p.seen) AS length FROM p JOIN ce ON ce.project = p.project AND ce.version = p.version
+        AND ce.s = p.x AND ce.t = p.r
+      UNION ALL SELECT project, version, 1 FROM ce WHERE s = t)
+SELECT g.project, g.version, count(c.length) AS n_cycles, coalesce(count_if(c.length = 1), 0) AS n_self_loops,
+       CAST(coalesce(max(c.length), 0) AS BIGINT) AS longest, CAST(NULL AS INTEGER) AS length_bound, 'counted' AS status
+FROM (SELECT DISTINCT project, version FROM e) g LEFT JOIN c USING (project, version) GROUP BY ALL"""
+
 Q["cyc_canonical_cycle"] = w(FIX, CYC) + """
 , arr AS (SELECT project, version, cycle_str, string_split(cycle_str, '>') AS c,
                  length // 2 AS k FROM cyc),
@@ -434,6 +504,9 @@ SELECT project, v_old, v_new, added_nodes, removed_nodes, added_edges, removed_e
        broken_cycles, hubs AS top_hubs, CAST(n_anom AS BIGINT) AS n_anomalies,
        CAST(len(violations) AS BIGINT) AS n_violations, intent_status FROM jj"""
 
+Q["int_evolution_reuse"] = Q["int_evolution_analysis"].replace(
+    "intent_status FROM jj", "intent_status, project IN ('1-URGENT', '5-LOW') AS reused FROM jj")
+
 Q["int_evolution_analysis_for"] = Q["int_evolution_analysis"].replace(
     "intent_status FROM jj", "intent_status, false AS reused FROM jj WHERE project = '3-MEDIUM'")
 
@@ -1053,6 +1126,94 @@ jdepth AS (
   JOIN jdecl d ON d.project = w.project AND d.version = w.version AND d.fqcn = w.cur)
 """
 
+# Nested types: tokens with the depth before them; an open brace belongs to the last open brace one level up.
+JSCOPE = r"""
+jcode AS (
+  SELECT project, version, path, regexp_replace(content,
+    '"(?:\\.|[^"\\\n])*"|//[^\n]*|/\*(?s:.*?)\*/', ' ', 'g') AS code FROM jf),
+jtk0 AS (
+  SELECT project, version, path, unnest(range(len(l))) AS i, unnest(l) AS tok
+  FROM (SELECT *, regexp_extract_all(code, '\b(?:class|interface|enum)\s+\w+|[{}]') AS l FROM jcode)),
+jtk AS (
+  SELECT *, coalesce(sum(CASE tok WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (
+              PARTITION BY project, version, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
+         lag(tok) OVER (PARTITION BY project, version, path ORDER BY i) AS prev FROM jtk0),
+jopen AS (
+  SELECT *, CASE WHEN length(prev) > 1 THEN regexp_extract(prev, '(\w+)$', 1) END AS name,
+         max(CASE WHEN d = 0 THEN i END) OVER w AS i0, max(CASE WHEN d = 1 THEN i END) OVER w AS i1
+  FROM jtk WHERE tok = '{' WINDOW w AS (PARTITION BY project, version, path ORDER BY i ROWS UNBOUNDED PRECEDING)),
+jsc0 AS (SELECT project, version, path, i, name FROM jopen WHERE d = 0 AND name IS NOT NULL),
+jsc1 AS (SELECT o.project, o.version, o.path, o.i, t.name AS outer_name, o.name FROM jopen o
+         JOIN jsc0 t ON t.project = o.project AND t.version = o.version AND t.path = o.path AND t.i = o.i0
+         WHERE o.d = 1 AND o.name IS NOT NULL),
+jsc2 AS (SELECT o.project, o.version, o.path, t.outer_name || '.' || t.name AS outer_name, o.name FROM jopen o
+         JOIN jsc1 t ON t.project = o.project AND t.version = o.version AND t.path = o.path AND t.i = o.i1
+         WHERE o.d = 2 AND o.name IS NOT NULL),
+jscopes AS (
+  SELECT s.*, CASE WHEN m.package <> '' THEN m.package || '.' ELSE '' END || coalesce(s.outer_name || '.', '') || s.name AS fqcn
+  FROM (SELECT project, version, path, CAST(NULL AS VARCHAR) AS outer_name, name, 0 AS depth FROM jsc0
+        UNION ALL SELECT project, version, path, outer_name, name, 1 FROM jsc1
+        UNION ALL SELECT project, version, path, outer_name, name, 2 FROM jsc2) s JOIN jmeta m USING (project, version, path))
+"""
+JAVA_SCOPE_FIX = JAVA_FIX.replace("jf AS (", "jfplain AS (").replace("END AS content", "END AS content, k") + r""",
+jf AS (
+  SELECT project, version, path, language, content || chr(10) || 'class U' || k || ' {' || chr(10) || '    N' || ((k + 1) // 7) || '.Inner'
+    || ((k + 1) % 3) || ' part; // N' || (k // 7) || '.Inner0 {' || chr(10) || '    static class Deep' || (k % 3)
+    || ' { class Deeper { } }' || chr(10) || '    Deep' || (k % 3) || ' own; U' || (k + 4) || '.Deep' || ((k + 4) % 3)
+    || ' other;' || chr(10) || '    String s = "class Fake { U7.Deep1 }";' || chr(10) || '}' || chr(10)
+    || CASE WHEN k % 2 = 0 THEN 'import com.p' || ((k + 4) % 7) || '.U' || (k + 4) || ';' || chr(10) ELSE '' END AS content FROM jfplain)
+"""
+_HEAD, _ = JDECL.split("jidx AS (", 1)
+JSDECL = _HEAD.replace("jdecl AS (", "jflat AS (") + JSCOPE + r""",
+jdecl AS (
+  SELECT project, version, path, name, ext, package, fqcn, name AS qualified, CAST(NULL AS VARCHAR) AS outer_name FROM jflat f
+  WHERE f.kind = 0 OR EXISTS (SELECT 1 FROM jscopes s WHERE s.project = f.project AND s.version = f.version AND s.path = f.path
+                              AND s.name = f.name AND s.depth = 0)
+  UNION ALL
+  SELECT s.project, s.version, s.path, s.name, NULL, m.package, s.fqcn, s.outer_name || '.' || s.name, s.outer_name
+  FROM jscopes s JOIN jmeta m USING (project, version, path) WHERE s.depth = 1),
+jidx AS (
+  SELECT project, version, name, count(DISTINCT fqcn) AS n_cand, min(fqcn) AS fqcn FROM (
+    SELECT project, version, name, fqcn FROM jdecl
+    UNION ALL SELECT project, version, qualified, fqcn FROM jdecl WHERE qualified <> name) GROUP BY ALL),
+jtok AS (
+  SELECT DISTINCT project, version, path, unnest(regexp_extract_all(code, '\b\w+\b')) AS token FROM jcode
+  UNION
+  SELECT DISTINCT project, version, path, p[i] || '.' || p[i + 1] FROM (
+    SELECT *, unnest(range(1, len(p))) AS i FROM (
+      SELECT project, version, path, string_split(unnest(regexp_extract_all(code, '\b\w+(?:\.\w+)+')), '.') AS p FROM jcode))),
+jrefs AS (
+  SELECT d.project, d.version, d.fqcn, d.package, t.token AS ref
+  FROM jdecl d JOIN jtok t ON t.project = d.project AND t.version = d.version AND t.path = d.path
+  JOIN (SELECT DISTINCT project, version, name FROM jidx) k ON k.project = t.project AND k.version = t.version AND k.name = t.token
+  WHERE t.token <> d.name AND d.qualified = d.name),
+jcimp AS (SELECT d.project, d.version, d.fqcn, i.pos, i.import FROM jdecl d JOIN jimp i USING (project, version, path))
+"""
+Q["ext_scope_table"] = w(JAVA_SCOPE_FIX, _HEAD.rstrip().rstrip(","), JSCOPE) + \
+    "SELECT project, version, path, outer_name AS outer, name, depth, fqcn FROM jscopes"
+Q["ext_java_nested_types"] = w(JAVA_FIX, _HEAD.rstrip().rstrip(","), JSCOPE) + \
+    "SELECT project, version, path, outer_name AS outer, name AS inner, fqcn FROM jscopes WHERE depth = 1"
+Q["ext_resolve_qualified"] = w(JAVA_SCOPE_FIX, JSDECL, _resolve_sql("jrefs", "jfound")) + r""",
+jleft AS (SELECT r.* FROM jrefs r ANTI JOIN jfound f ON f.project = r.project AND f.version = r.version AND f.fqcn = r.fqcn AND f.ref = r.ref),
+jout AS (SELECT DISTINCT project, version, fqcn, package, string_split(ref, '.')[1] AS ref FROM jleft WHERE contains(ref, '.')),
+""" + _resolve_sql("jout", "jo") + r""",
+jtwo AS (
+  SELECT l.project, l.version, l.fqcn, l.ref, c.fqcn AS target FROM jleft l
+  LEFT JOIN jo_a a ON a.project = l.project AND a.version = l.version AND a.fqcn = l.fqcn AND a.ref = string_split(l.ref, '.')[1]
+  LEFT JOIN jo_b b ON b.project = l.project AND b.version = l.version AND b.fqcn = l.fqcn AND b.ref = string_split(l.ref, '.')[1]
+  LEFT JOIN jo_c x ON x.project = l.project AND x.version = l.version AND x.fqcn = l.fqcn AND x.ref = string_split(l.ref, '.')[1]
+  JOIN jdecl c ON c.project = l.project AND c.version = l.version
+   AND c.fqcn = coalesce(a.t, b.t, x.t) || '.' || string_split(l.ref, '.')[2]
+  WHERE contains(l.ref, '.')),
+jnear AS (
+  SELECT l.project, l.version, l.fqcn, l.ref, n.fqcn AS target FROM jleft l
+  JOIN jdecl o ON o.project = l.project AND o.version = l.version AND o.fqcn = l.fqcn AND o.qualified = o.name
+  JOIN jdecl n ON n.project = o.project AND n.version = o.version AND n.path = o.path AND n.outer_name = o.name AND n.name = l.ref
+  ANTI JOIN jtwo t ON t.project = l.project AND t.version = l.version AND t.fqcn = l.fqcn AND t.ref = l.ref)
+SELECT DISTINCT project, version, fqcn AS source, target FROM (
+  SELECT project, version, fqcn, target FROM jfound UNION ALL SELECT project, version, fqcn, target FROM jtwo
+  UNION ALL SELECT project, version, fqcn, target FROM jnear)"""
+
 Q["ext_java_loc"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, loc FROM jmeta"
 Q["ext_java_complexity"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, complexity FROM jmeta"
 Q["ext_java_package"] = w(JAVA_FIX, JDECL) + "SELECT project, version, path, package FROM jmeta"
@@ -1178,6 +1339,21 @@ FROM r"""
 
 # ------------------------------------------------------------------ STR
 Q["str_graph_ingest"] = w(FIX) + "SELECT project, version, source, target, type, ord FROM dep_edges"
+Q["str_graph_documents"] = """
+WITH l AS (
+  SELECT o_custkey AS k, 'y' || year(o_orderdate) AS version, l_partkey AS s,
+         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS t
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT DISTINCT 'c' || k AS project, version, s, t FROM l WHERE t IS NOT NULL),
+n AS (SELECT project, version, s AS id FROM e UNION SELECT project, version, t FROM e)
+SELECT 'versions' AS kind, project, version, CAST(NULL AS BIGINT) AS ord, 'Java' AS a, CAST(NULL AS VARCHAR) AS b,
+       CAST(NULL AS VARCHAR) AS type, CAST(sum(id % 100) AS BIGINT) AS n1, count(*) AS n2 FROM n GROUP BY ALL
+UNION ALL
+SELECT 'nodes', project, version, row_number() OVER (PARTITION BY project, version ORDER BY id) - 1, CAST(id AS VARCHAR), 'P' || id,
+       CASE WHEN id % 2 = 0 THEN 'class' ELSE 'file' END, id % 100, id % 7 FROM n
+UNION ALL
+SELECT 'edges', project, version, row_number() OVER (PARTITION BY project, version ORDER BY s, t) - 1, CAST(s AS VARCHAR),
+       CAST(t AS VARCHAR), CASE s % 3 WHEN 0 THEN 'inheritance' WHEN 1 THEN 'imports' ELSE 'calls' END, NULL, NULL FROM e"""
 Q["str_dedupe_discovered"] = Q["inv_upsert_discovered"]
 
 
