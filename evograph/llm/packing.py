@@ -40,26 +40,28 @@ RANGE_ROWS = 32_768
 
 @lru_cache(maxsize=2)
 def _encoder(tokenizer: str):
-    """Text -> unsigned 32-bit ids, as ``tokenizers`` gives for a byte-level BPE file with special tokens read as text.
+    """Text -> unsigned 32-bit ids, as ``tokenizers`` gives for a byte-level BPE file without adding special tokens; the file's
+    added tokens that a text holds are found in it, as there.
 
     When the file's ids follow its merges, the same ids come several times faster from ``tiktoken``."""
     import public_tokenizers
     with open(tokenizer, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], whole.get("added_tokens") or []
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     octet = {chr(b): b for b in printable} | {
         chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     vocab = {bytes(octet[c] for c in t): i for t, i in model["vocab"].items() if all(c in octet for c in t)}
     merged = ["".join(m) if not isinstance(m, str) else m.replace(" ", "") for m in model["merges"]]
     plain = [t for t, i in sorted(model["vocab"].items(), key=lambda x: x[1])][256:256 + len(merged)]
-    if plain == merged:
+    if plain == merged and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
         import tiktoken
         ranks = {t: i for t, i in vocab.items() if i < 256 + len(merged)}
-        enc = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+        enc = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                special_tokens={t["content"]: t["id"] for t in added})
+        return lambda text: enc.encode_to_numpy(text, allowed_special="all")
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer)
-    tok.encode_special_tokens = True
     return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -262,14 +264,14 @@ def assign(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_R
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         keep_ids: bool = False) -> DataFrame:
+         keep_ids: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``; offsets of a sequence leave no hole."""
     from pyspark.sql import Window
     cut = pieces(docs, tokenizer, capacity, end_id, keep_ids)
     narrow = cut.select("item", F.col("length").alias("size"))
     full = cut.where(F.col("length") == capacity).select(
         "*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    seqs = materialize(assign(narrow.where(F.col("size") < capacity), capacity), "pack_assigned")
+    seqs = materialize(assign(narrow.where(F.col("size") < capacity), capacity, range_rows), "pack_assigned")
     # a sequence has at most ``capacity`` pieces
     before = Window.partitionBy("seq").orderBy(F.desc("size"), "item").rowsBetween(Window.unboundedPreceding, -1)
     place = (narrow.where(F.col("size") < capacity).join(seqs, "item")

@@ -2,7 +2,8 @@
 
 ``base_spans`` finds the four fixed kinds with their code-point offsets: the pieces
 between the matches and the matches themselves give running lengths. These are the
-seeds. Around seeds and around other identifier-like tokens (five digits or more, or
+seeds, with those of a fifth kind: secrets, long runs of letters and digits after a word for a credential, which are
+told (and redacted) beside the base kinds. Around seeds and around other identifier-like tokens (five digits or more, or
 an ``@``) lexical patterns are induced: the last two words before, the last word
 before, and the words on both sides. Pattern and instance form a bipartite graph, scored
 in rounds: a pattern's confidence for a kind is the share of its distinct instances
@@ -29,6 +30,13 @@ from evograph.session import materialize
 #: ``[0-9]([\x20-]?[0-9])+`` and ``\+[0-9][\x20().0-9-]+[0-9]`` match, but take linear time on
 #: long runs (possessive loops do not recurse; look-behinds skip starts inside a run).
 KINDS = ["email", "ip", "card", "phone"]
+#: Seeds of a fifth kind, which is no base kind: a long run after a word for a credential and ``=`` or ``:``.
+SECRET = "secret"
+SECRET_PATTERN = (r"(?<=\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']{0,1}\s{0,3}[:=]\s{0,3}[\"']{0,1})"
+                  r"[A-Za-z0-9+/_-]{20,}+")
+MAY_HOLD_SECRET = r"(?i:token|secret|passw|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{20}"
+#: A secret has letters, digits and at least so many different signs.
+SECRET_SIGNS = 8
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -114,6 +122,10 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.withColumn("__base", F.concat(*parts)).drop(*[f"__{k}" for k in KINDS])
 
 
+def _secret(v: Column) -> Column:
+    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= SECRET_SIGNS)
+
+
 def _context(m: Column) -> list[Column]:
     """Lexical patterns of an instance; words are lower-cased and stripped of punctuation and digits."""
     def words(x: Column) -> Column:
@@ -131,14 +143,19 @@ def _context(m: Column) -> list[Column]:
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base spans and, in ``seen``, all instances (kind or null, span, value, patterns) of every row."""
     d = base_spans(docs.select("doc_id", "text"))
+    d = _matches(d, "__keys", SECRET_PATTERN, F.col("__text").rlike(MAY_HOLD_SECRET))
+    keys = F.transform(F.filter("__keys", lambda m: _secret(m["value"])), lambda m: F.struct(
+        F.lit(SECRET).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value")))
+    d = d.withColumn("__secrets", keys)
     d = _matches(d, "__tokens", r"\S++", F.col("__text").rlike(r"(?:[0-9][^\s0-9]*+){5}|@"))
     other = F.filter("__tokens", lambda m: (
         ((F.length(_digits(m["value"])) >= 5) | m["value"].contains("@"))
-        & ~F.exists("__base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))))
+        & ~F.exists("__base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+        & ~F.exists("__secrets", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))))
     d = d.withColumn("__other", F.transform(other, lambda m: F.struct(
         F.lit(None).cast("string").alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"),
         m["value"].alias("value"))))
-    seen = F.transform(F.concat("__base", "__other"), lambda m: F.struct(
+    seen = F.transform(F.concat("__base", "__secrets", "__other"), lambda m: F.struct(
         m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"),
         F.array(*_context(m)).alias("patterns")))
     return d.select("doc_id", F.xxhash64("__text").alias("text_hash"), F.col("__base").alias("base"), seen.alias("seen"))
@@ -183,9 +200,10 @@ def discover(seen: DataFrame) -> DataFrame:
 
 def _extra(seen: DataFrame) -> DataFrame:
     """doc_id, text_hash and the discovered spans of the rows that have some."""
-    hits = (seen.select("doc_id", "text_hash", F.explode("seen").alias("m")).where("m.kind IS NULL")
-            .select("doc_id", "text_hash", "m.start", "m.stop", "m.value").distinct()
-            .join(discover(seen), "value"))
+    each = seen.select("doc_id", "text_hash", F.explode("seen").alias("m"))
+    at = ["doc_id", "text_hash", "m.start", "m.stop", "m.value"]
+    hits = (each.where("m.kind IS NULL").select(*at).distinct().join(discover(seen), "value")
+            .unionByName(each.where(F.col("m.kind") == SECRET).select(*at, F.lit(SECRET).alias("kind")).distinct()))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("extra"))
 
 
@@ -196,7 +214,7 @@ def _told(spans: Column) -> Column:
 
 def _ordered(spans: Column) -> Column:
     """By kind as listed, then start."""
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    rank = F.create_map(*[x for i, k in enumerate([*KINDS, SECRET]) for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(spans, lambda m: F.struct(rank[m["kind"]].alias("r"), m["start"].alias("start"), m["stop"].alias("stop"),
                                                   m["kind"].alias("kind"), m["value"].alias("value")))
     return F.transform(F.array_sort(keyed), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"),

@@ -1,6 +1,7 @@
 """Quality rules and PII against brute force on odd texts."""
 import collections
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -126,3 +127,21 @@ def test_bootstrap_goes_on_to_the_second_generation(spark):
     out = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, v in enumerate(first + second):
         assert out[2000 + i] == f"phone:13:{13 + len(v)}"
+
+
+def test_secrets_are_seeds_of_their_own(spark):
+    """Long keys after a credential word are told and redacted; hashes and words elsewhere stay."""
+    rng = random.Random(3)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    one, two, three = key(), key(), key(32)
+    rows = [(1, f'x token = "{one}" and a@b.cd end'), (2, f"API_KEY: {two}"), (3, f"commit {three} is fine"), (4, "token = " + "a" * 40),
+            (5, "the token = short1"), (6, None), (7, f"password='{three}',é token={one}"), (8, f"tokens = {two}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.spans(d).collect()}
+    assert out[1]["spans"] == "email:57:63,secret:11:51" and out[1]["base"] == "email:57:63"
+    assert out[2]["spans"] == "secret:9:49" and out[2]["base"] == ""
+    assert out[7]["spans"] == "secret:10:42,secret:52:92"
+    assert all(out[i]["spans"] == "" for i in (4, 5, 6, 8))
+    red = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert red[1] == 'x token = "<SECRET>" and <EMAIL> end' and red[7] == "password='<SECRET>',é token=<SECRET>"
+    assert red[5] == "the token = short1" and red[6] is None

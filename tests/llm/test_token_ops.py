@@ -83,16 +83,36 @@ def test_rounds_pack_well(spark, range_rows):
     assert packing.assign(items.limit(0), 2048).count() == 0
 
 
-def test_pack(spark, reference):
+@pytest.fixture(scope="module")
+def contract():
+    """The plain call: added tokens in a text are themselves."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_a_text(contract):
+    encode = packing._encoder(JSON)
+    assert encode("one <|endoftext|> two").tolist() == [505, 220, 50256, 734]
+    for text in [*ODD, "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "<|endoftext|", " <|endoftext|>\n<|endoftext|> x "]:
+        assert encode(text).tolist() == contract(text)
+
+
+@pytest.mark.parametrize("range_rows", [packing.RANGE_ROWS, 300])
+def test_pack(spark, contract, range_rows):
+    """With ranges of 300 rows the rounds run, not the last sweep alone."""
+    rng = random.Random(range_rows)
     texts = [*ODD, None, "word " * 9000, "same text", "same text"]
+    if range_rows == 300:
+        texts += ["w " * rng.randrange(1, 1500) for _ in range(900)]
     d = spark.createDataFrame([(i if i != 3 else None, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, item int")
-    rows = packing.pack(d, JSON, keep_ids=True).collect()
+    rows = packing.pack(d, JSON, keep_ids=True, range_rows=range_rows).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for i, t in enumerate(texts):
-        ids = [*reference(t or ""), 0]
+        ids = [*contract(t or ""), 0]
         ps = sorted(by_doc[i if i != 3 else None], key=lambda r: r["piece"])
         assert [x for p in ps for x in p["ids"]] == ids and [p["piece"] for p in ps] == list(range(len(ps)))
         assert all(p["length"] == 2048 for p in ps[1:])
