@@ -664,6 +664,25 @@ def q_src_graph_json(spark, sf):
     return g["edges"].select("project", "version", "ord", "source", "target", "type")
 
 
+def _document_rows(v, n, e):
+    """Versions, nodes and edges of graph documents as one table."""
+    none = {"t": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
+    return (v.select(F.lit("versions").alias("kind"), "project", "version", none["n"].alias("ord"), F.col("language").alias("a"),
+                     none["t"].alias("b"), none["t"].alias("type"), F.col("total_loc").alias("n1"), F.col("total_classes").alias("n2"))
+            .unionByName(n.select(F.lit("nodes").alias("kind"), "project", "version", "ord", F.col("id").alias("a"),
+                                  F.col("name").alias("b"), "type", F.col("loc").alias("n1"), F.col("complexity").alias("n2")))
+            .unionByName(e.select(F.lit("edges").alias("kind"), "project", "version", "ord", F.col("source").alias("a"),
+                                  F.col("target").alias("b"), "type", none["n"].alias("n1"), none["n"].alias("n2"))))
+
+
+@register("src_graph_documents")
+def q_src_documents(spark, sf):
+    path = scratch_path(spark, "graph-documents")
+    fx.graph_documents(spark, sf).drop("key").write.json(path)
+    t = readers.read_graphs(spark, path, multi_line=False)
+    return _document_rows(t["versions"], t["nodes"], t["edges"])
+
+
 @register("src_search_pages")
 def q_src_search(spark, sf):
     d = fx.discovered(spark, sf)
@@ -736,6 +755,18 @@ def q_snk_reports(spark, sf):
     return files.select(F.regexp_extract("folder", r"project=([^/]*)", 1).alias("project_dir"), "length")
 
 
+@register("snk_report_files")
+def q_snk_report_files(spark, sf):
+    """The written reports, read back: lines and bytes of each transition."""
+    nodes, edges, tr = _g(spark, sf)
+    p = evolution.evolution_parts(nodes, edges, tr, INTENTS)
+    path = scratch_path(spark, "report-files")
+    writers.write_reports(it.report_lines(p["judged"], p["hubs"], p["anomalies"]), path)
+    back = spark.read.schema("value string, project string, v_old string, v_new string").text(path)
+    return back.groupBy("project", "v_old", "v_new").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("value")).cast("bigint").alias("n_bytes"))
+
+
 @register("src_list_artifacts")
 def q_src_artifacts(spark, sf):
     nodes, edges = _graph(spark, sf)
@@ -952,14 +983,7 @@ def q_str_documents(spark, sf):
     for drop in (docs, docs.where(F.col("key") % 3 == 0)):
         drop.drop("key").write.mode("append").json(base + "/landing")
         st.run(st.read_documents(spark, base + "/landing", max_files=2), None, base + "/checkpoint", batches=tables)
-    none = {"t": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
-    v, n, e = (tables.read(name) for name in ("versions", "nodes", "edges"))
-    return (v.select(F.lit("versions").alias("kind"), "project", "version", none["n"].alias("ord"), F.col("language").alias("a"),
-                     none["t"].alias("b"), none["t"].alias("type"), F.col("total_loc").alias("n1"), F.col("total_classes").alias("n2"))
-            .unionByName(n.select(F.lit("nodes").alias("kind"), "project", "version", "ord", F.col("id").alias("a"),
-                                  F.col("name").alias("b"), "type", F.col("loc").alias("n1"), F.col("complexity").alias("n2")))
-            .unionByName(e.select(F.lit("edges").alias("kind"), "project", "version", "ord", F.col("source").alias("a"),
-                                  F.col("target").alias("b"), "type", none["n"].alias("n1"), none["n"].alias("n2"))))
+    return _document_rows(*(tables.read(name) for name in ("versions", "nodes", "edges")))
 
 
 @register("str_dedupe_discovered")

@@ -964,6 +964,14 @@ LEFT JOIN pt p ON p.project = i.graph_project AND p.v_old = i.tag1 AND p.v_new =
 LEFT JOIN (SELECT DISTINCT project, version FROM dep_edges) g ON g.project = i.graph_project AND g.version = i.tag2
 LEFT JOIN cv ON cv.project = i.graph_project AND cv.version = i.tag2"""
 
+Q["snk_export_graphs"] = w(FIX, INV_FIX) + """
+, want AS (SELECT DISTINCT graph_project AS project, unnest([tag1, tag2]) AS version FROM inventory WHERE status = 'crawled')
+SELECT project, version FROM want SEMI JOIN sysm USING (project, version)"""
+
+Q["snk_report_files"] = w(FIX, CYC, CYC_CHANGES, DIFF_SUMMARY, _judged(True), HUBS, ANOM, _REPORT) + """
+SELECT project, v_old, v_new, count(*) AS n_lines, CAST(sum(octet_length(encode(line))) AS BIGINT) AS n_bytes
+FROM report_lines GROUP BY ALL"""
+
 Q["snk_class_diff_table"] = w(FIX) + """
 SELECT t.project, t.v_old, t.v_new, n.id,
        CASE WHEN o.id IS NULL THEN 'ADDED' ELSE 'UNCHANGED' END AS status, n.loc, n.complexity, n.coupling, n.type
@@ -1354,6 +1362,7 @@ SELECT 'nodes', project, version, row_number() OVER (PARTITION BY project, versi
 UNION ALL
 SELECT 'edges', project, version, row_number() OVER (PARTITION BY project, version ORDER BY s, t) - 1, CAST(s AS VARCHAR),
        CAST(t AS VARCHAR), CASE s % 3 WHEN 0 THEN 'inheritance' WHEN 1 THEN 'imports' ELSE 'calls' END, NULL, NULL FROM e"""
+Q["src_graph_documents"] = Q["str_graph_documents"]
 Q["str_dedupe_discovered"] = Q["inv_upsert_discovered"]
 
 

@@ -69,22 +69,46 @@ def write_graph_text(nodes: DataFrame, edges: DataFrame, versions: DataFrame, pa
     _write_lines(graph_text_lines(nodes, edges, versions), G, path, **kw)
 
 
-# The context of a graph document.
-ONTOLOGY = "https://w3id.org/impact/ontology#"
-DOCUMENT_CONTEXT = {
-    "@vocab": ONTOLOGY, "projectName": "projectName", "version": "versionString", "language": "language",
-    "extractedAt": "extractedAt", "extractionStart": "extractionStart", "extractionEnd": "extractionEnd",
-    "systemMetrics": "systemMetrics", "nodes": "hasEntity", "edges": "hasDependency", "id": "@id", "type": "@type",
-    "source": {"@id": ONTOLOGY + "source", "@type": "@id"}, "target": {"@id": ONTOLOGY + "target", "@type": "@id"},
-    **dict.fromkeys(["class"], ONTOLOGY + "ClassEntity"), **dict.fromkeys(["interface"], ONTOLOGY + "InterfaceEntity"),
-    **dict.fromkeys(["module", "package", "file"], ONTOLOGY + "ModuleEntity"),
-    **dict.fromkeys(["function"], ONTOLOGY + "FunctionEntity"),
-    **dict.fromkeys(["calls", "inherits", "inheritance", "imports", "implements", "aggregates", "depends_on"],
-                    ONTOLOGY + "Dependency"),
+#: Namespace of the terms below; a parameter of the writers.
+NAMESPACE = "https://example.org/architecture#"
+# The terms of a graph document's context that are not in the namespace by their own name.
+DOCUMENT_TERMS = {
+    "projectName": "projectName",
+    "version": "versionString",
+    "language": "language",
+    "extractedAt": "extractedAt",
+    "extractionStart": "extractionStart",
+    "extractionEnd": "extractionEnd",
+    "systemMetrics": "systemMetrics",
+    "nodes": "hasEntity",
+    "edges": "hasDependency",
+    "id": "@id",
+    "type": "@type",
 }
+ENTITY_TERMS = {
+    "class": "ClassEntity",
+    "interface": "InterfaceEntity",
+    "module": "ModuleEntity",
+    "package": "ModuleEntity",
+    "file": "ModuleEntity",
+    "function": "FunctionEntity",
+    "calls": "Dependency",
+    "inherits": "Dependency",
+    "inheritance": "Dependency",
+    "imports": "Dependency",
+    "implements": "Dependency",
+    "aggregates": "Dependency",
+    "depends_on": "Dependency",
+}
+
+
+def document_context(namespace: str = NAMESPACE) -> dict:
+    """The context of a graph document with its terms in ``namespace``."""
+    ends = {end: {"@id": namespace + end, "@type": "@id"} for end in ("source", "target")}
+    return {"@vocab": namespace, **DOCUMENT_TERMS, **ends, **{t: namespace + e for t, e in ENTITY_TERMS.items()}}
 
 
-def graph_json_lines(nodes: DataFrame, edges: DataFrame, versions: DataFrame) -> DataFrame:
+def graph_json_lines(nodes: DataFrame, edges: DataFrame, versions: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """SNK-02 layout: a JSON document per graph, one node / edge object per line.
 
     The document is the one that :func:`evograph.sources.readers.read_graphs` takes: context,
@@ -100,7 +124,7 @@ def graph_json_lines(nodes: DataFrame, edges: DataFrame, versions: DataFrame) ->
     fields = F.to_json(F.struct(F.col("project").alias("projectName"), F.col("version").alias("version"),
                                 *[F.col(c).alias(n) for c, n in optional], sys_metrics.alias("systemMetrics")))
     head = versions.select(*G, F.lit(0).alias("sec"), F.lit(0).cast("bigint").alias("k"), F.concat(
-        F.lit('{"@context": ' + json.dumps(DOCUMENT_CONTEXT) + ", "), F.substring(fields, F.lit(2), F.length(fields) - 2),
+        F.lit('{"@context": ' + json.dumps(document_context(namespace)) + ", "), F.substring(fields, F.lit(2), F.length(fields) - 2),
         F.lit(', "nodes": [')).alias("line"))
     metric_cols = [(c, n) for c, n in [("loc", "loc"), ("complexity", "complexity"), ("fan_in", "fanIn"),
                                        ("fan_out", "fanOut"), ("coupling", "coupling"),
@@ -126,12 +150,12 @@ def graph_json_lines(nodes: DataFrame, edges: DataFrame, versions: DataFrame) ->
     return head.unionByName(nl).unionByName(mid).unionByName(el).unionByName(tail)
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, versions: DataFrame, path: str, **kw) -> None:
+def write_graph_json(nodes: DataFrame, edges: DataFrame, versions: DataFrame, path: str, namespace: str = NAMESPACE, **kw) -> None:
     """SNK-02: graph documents (systemMetrics, nodes, edges), one folder per graph.
 
     Element ``ord`` values must be unique within a graph (positions).
     """
-    _write_lines(graph_json_lines(nodes, edges, versions), G, path, **kw)
+    _write_lines(graph_json_lines(nodes, edges, versions, namespace), G, path, **kw)
 
 
 # The 33 exported queue columns, in export order.
