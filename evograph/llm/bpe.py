@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,12 +35,17 @@ TABLE_LIMIT = 400_000
 #: Bytes read since the last emission from which emission is tried; shorter pieces emit at their end.
 HOLD = 16
 _PIECES = 1 << 17
+_TOLD, _IDS = itemgetter(0), itemgetter(1)
+
+
+_OCTETS = [bytes((i,)) for i in range(256)]
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.octets = {i: t for t, i in ranks.items()}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.starts = {t[:n] for t in ranks for n in range(1, len(t))}
         self.longest = max(map(len, ranks))
         self._reached: dict[int, bool] = {}
@@ -95,30 +101,48 @@ class Transducer:
             self._beside[a, b] = known
         return known
 
+    def _last(self, octets: bytes, end: int, last: Sequence[int], before: int) -> int:
+        """The last token of octets[:end], given those of all shorter prefixes in ``last``."""
+        ranks, reached, beside = self.ranks, self._reached, self._beside
+        # exactly one place fits; most often the last token grows, else the new one is short
+        grown = end - 1 - self.sizes[last[-1]] if last else -1
+        start = grown if last else end - 1
+        while True:
+            token = ranks.get(octets[start:end], -1)
+            if token >= 0:
+                known = reached.get(token)
+                if known if known is not None else self.reached(token):
+                    prior = last[start - 1] if start else before
+                    if prior < 0:
+                        return token
+                    known = beside.get((prior, token))
+                    if known if known is not None else self.beside(prior, token):
+                        return token
+            if start == grown:
+                start, grown = end, -1
+            start -= 1
+            if start < 0 or end - start > self.longest:
+                raise ValueError("a byte without a token")
+
     def _step(self, state: int, octet: int) -> tuple[int, tuple[int, ...]]:
         before, read, last = self.states[state]
-        read += bytes((octet,))
         n = len(read)
-        grown = n - 1 - len(self.octets[last[-1]]) if last else 0  # most often the last token grows, or a byte is added
-        for start in (grown, n - 1, *range(max(0, n - self.longest), n)):  # exactly one fits
-            token = self.ranks.get(read[start:])
-            if token is None:
-                continue
-            prior = last[start - 1] if start else before
-            if self.reached(token) and (prior < 0 or self.beside(prior, token)):
-                last += (token,)
-                break
-        else:
-            raise ValueError("a byte without a token")
+        read += _OCTETS[octet]
+        token = self._last(read, n + 1, last, before)
+        last += (token,)
         out: tuple[int, ...] = ()
-        if n >= HOLD and (meet := self._meet(read, last)):
+        if n + 1 >= HOLD and (meet := self._meet(read, last)):
             out = self._path(last[:meet])
             before, read, last = out[-1], read[meet:], last[meet:]
         key = (before, read, last)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
+        if before < 0:  # nothing has left yet: a state has one way to it
+            to = len(self.states)
             self.states.append(key)
+        else:
+            to = self.number.get(key, -1)
+            if to < 0:
+                to = self.number[key] = len(self.states)
+                self.states.append(key)
         self.moves[state << 8 | octet] = (to, out)
         return to, out
 
@@ -143,11 +167,12 @@ class Transducer:
             known = self._reached[token] = self.merge(self.octets[token]) == [token]
         return known
 
-    def _path(self, last: tuple[int, ...]) -> tuple[int, ...]:
-        out, at = [], len(last)
+    def _path(self, last: Sequence[int]) -> tuple[int, ...]:
+        out, at, sizes = [], len(last), self.sizes
         while at:
-            out.append(last[at - 1])
-            at -= len(self.octets[last[at - 1]])
+            token = last[at - 1]
+            out.append(token)
+            at -= sizes[token]
         return tuple(reversed(out))
 
     def ids(self, octets: bytes) -> Iterator[int]:
@@ -164,6 +189,28 @@ class Transducer:
         yield from tail
 
 
+    def whole(self, octets: bytes) -> tuple[int, ...]:
+        """Ids of one piece at once."""
+        if len(octets) >= HOLD:
+            return tuple(self.ids(octets))
+        if len(self.states) > TABLE_LIMIT or len(self.moves) > 2 * TABLE_LIMIT:
+            self._reset()
+        state, moves = 0, self.moves
+        for n, o in enumerate(octets):  # nothing leaves before the end
+            move = moves.get(state << 8 | o)
+            if move is None:
+                break
+            state = move[0]
+        else:
+            return self._path(self.states[state][2])
+        # one more state is made; what follows of a piece met for the first time is read without making states
+        state, _ = self._step(state, o)
+        last = list(self.states[state][2])
+        for end in range(n + 2, len(octets) + 1):
+            last.append(self._last(octets, end, last, -1))
+        return self._path(last)
+
+
 class Encoder(dict):
     """Piece -> its ids, told in decimal, and how many they are."""
 
@@ -176,7 +223,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
         if len(self) >= TABLE_LIMIT:
             self.clear()
-        ids = tuple(self.transducer.ids(piece.encode()))
+        ids = self.transducer.whole(piece.encode())
         got = " ".join(map(str, ids)), ids
         if len(piece) < 64:
             self[piece] = got
@@ -229,6 +276,19 @@ class Decoder:
             yield state
 
 
+    def decode_runs(self, runs: Iterable[list[int]]) -> Iterator[bytes]:
+        """The same for runs of ids: one move of the machine takes a whole run."""
+        state = b""
+        for run in runs:
+            read = state + b"".join(map(self.octets.__getitem__, run))
+            cut = len(read) - self._open(read)
+            state = read[cut:]
+            if cut:
+                yield read[:cut]
+        if state:
+            yield state
+
+
 @lru_cache(maxsize=2)
 def codec(ranks_file: str, pattern: str) -> tuple[Encoder, Decoder]:
     with open(ranks_file, "rb") as f:
@@ -252,7 +312,7 @@ def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = codec(ranks_file, pattern)
         for b in batches:
-            out = [b"".join(decoder.decode(i.as_py() or [])) for i in b.column(1)]
+            out = [b"".join(decoder.decode_runs([i.as_py() or []])) for i in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
@@ -268,16 +328,16 @@ def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 told, back, n = hashlib.sha256(), hashlib.sha256(), 0
 
-                def ids() -> Iterator[int]:
+                def runs() -> Iterator[list[int]]:
                     nonlocal n
                     for part in encoder.pieces(text.as_py() or ""):
                         got = list(map(encoder.__getitem__, part))
                         if got:
-                            told.update(((" " if n else "") + " ".join([s for s, _ in got])).encode())
-                        each = list(chain.from_iterable([i for _, i in got]))
+                            told.update(((" " if n else "") + " ".join(map(_TOLD, got))).encode())
+                        each = list(chain.from_iterable(map(_IDS, got)))
                         n += len(each)
-                        yield from each
-                for part in decoder.decode(ids()):
+                        yield each
+                for part in decoder.decode_runs(runs()):
                     back.update(part)
                 rows.append((doc, n, told.hexdigest(), back.hexdigest()))
             cols = list(zip(*rows)) if rows else [()] * 4
