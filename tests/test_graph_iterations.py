@@ -162,3 +162,32 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
     got = extract.inheritance_depth(d, p)
     assert got.agg(F.sum("depth"), F.max("depth")).first() == (n * (n - 1) // 2, n - 1)
     assert len(rounds) - 2 <= 16  # beside the rounds: the classes and the first pointers
+
+
+def written(monkeypatch):
+    """The tables written by the operators of cycles.py, by name."""
+    tables, cut = {}, cycles.cut_lineage
+
+    def told(df, name="round"):
+        out = cut(df, name)
+        tables.setdefault(name, []).append(out)
+        return out
+    monkeypatch.setattr(cycles, "cut_lineage", told)
+    return tables
+
+
+def sparse_graph(seed, n_nodes=1500, n_edges=4500):
+    rnd = random.Random(seed)
+    return sorted({(rnd.randrange(n_nodes), rnd.randrange(n_nodes)) for _ in range(n_edges)})
+
+
+def test_component_is_not_coloured_by_what_leads_to_it(spark, monkeypatch):
+    """A large component with nodes before and behind it: one forward and one backward propagation, over numbers alone."""
+    tables = written(monkeypatch)
+    es = sparse_graph(3)
+    nodes = spark.createDataFrame([("p", "v1", i) for i in range(1500)], "project string, version string, id long")
+    got = {r.id: r.scc for r in cycles.scc_labels(nodes, edge_frame(spark, {("p", "v1"): es})).collect()}
+    want = tarjan(range(1500), es)
+    assert got == want
+    assert len(tables["scc-ce"]) == 1
+    assert all(d.dtypes == [("n", "bigint"), ("c", "bigint"), ("chg", "boolean")] for d in tables["scc-label"])
