@@ -191,3 +191,16 @@ def test_component_is_not_coloured_by_what_leads_to_it(spark, monkeypatch):
     assert got == want
     assert len(tables["scc-ce"]) == 1
     assert all(d.dtypes == [("n", "bigint"), ("c", "bigint"), ("chg", "boolean")] for d in tables["scc-label"])
+
+
+def test_few_open_paths_reach_the_closing_join(spark, monkeypatch):
+    tables = written(monkeypatch)
+    graphs = {("p", "v1"): sparse_graph(4), ("p", "v2"): sparse_graph(5)}
+    edges = edge_frame(spark, graphs)
+    assert {tuple(r.cycle) for r in cycles.enumerate_cycles(edges.where("version = 'v1'")).collect()} == brute_cycles(graphs["p", "v1"], 5)
+    got = {(r.change, tuple(r.cycle)) for r in cycles.cycle_changes(edges, pairs_of(spark, graphs)).collect()}
+    old, new = (brute_cycles(graphs["p", v], 5) for v in ("v1", "v2"))
+    assert got == {("new", c) for c in new - old} | {("broken", c) for c in old - new}
+    # about 13 paths of up to 2 edges lead on from an edge, and about 12 nodes lead back to it
+    assert tables["cycle-ends"][0].count() < 4500
+    assert tables["change-ends"][0].count() < 2 * 4500 * 3
