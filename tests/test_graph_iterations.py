@@ -204,3 +204,20 @@ def test_few_open_paths_reach_the_closing_join(spark, monkeypatch):
     # about 13 paths of up to 2 edges lead on from an edge, and about 12 nodes lead back to it
     assert tables["cycle-ends"][0].count() < 4500
     assert tables["change-ends"][0].count() < 2 * 4500 * 3
+
+
+def test_short_new_cycle_is_a_proof(spark, monkeypatch):
+    """Only transitions without a short new cycle go through components, which see the long one."""
+    asked, real = [], cycles.scc_labels
+
+    def told(nodes, edges):
+        asked.append(sorted(r.project for r in edges.select("project").distinct().collect()))
+        return real(nodes, edges)
+    monkeypatch.setattr(cycles, "scc_labels", told)
+    chain = [(i, i + 1) for i in range(1, 9)]
+    graphs = {("a", "v1"): [(1, 2)], ("a", "v2"): [(1, 2), (2, 1)], ("b", "v1"): chain, ("b", "v2"): [*chain, (9, 1)],
+              ("c", "v1"): chain, ("c", "v2"): [*chain, (1, 9)]}
+    nodes = spark.createDataFrame([(p, v, i) for p, v in graphs for i in range(1, 10)], "project string, version string, id long")
+    got = {r.project: r.has_new_cycle for r in cycles.has_new_cycle(nodes, edge_frame(spark, graphs), pairs_of(spark, graphs)).collect()}
+    assert got == {"a": True, "b": True, "c": False}
+    assert asked == [["b", "c"]]
