@@ -221,3 +221,20 @@ def test_short_new_cycle_is_a_proof(spark, monkeypatch):
     got = {r.project: r.has_new_cycle for r in cycles.has_new_cycle(nodes, edge_frame(spark, graphs), pairs_of(spark, graphs)).collect()}
     assert got == {"a": True, "b": True, "c": False}
     assert asked == [["b", "c"]]
+
+
+def test_prompt_searches_cycles_once(spark, monkeypatch):
+    """The cycle changes are read by three branches of the prompt and written once, or taken from the caller."""
+    from evograph.operators import intents
+    tables, real = {}, intents.materialize
+    monkeypatch.setattr(intents, "materialize", lambda df, name: tables.setdefault(name, real(df, name)))
+    graphs = two_versions(1, n_graphs=1)
+    edges, tr = edge_frame(spark, graphs), pairs_of(spark, graphs)
+    nodes = spark.createDataFrame([("g0", v, i, i, 1) for v in ("v1", "v2") for i in range(14)],
+                                  "project string, version string, id long, ord long, coupling long")
+    asked = [{"text": "avoid cyclic dependencies"}]
+    first = intents.analysis_prompt(nodes, edges, tr, asked).collect()
+    assert list(tables) == ["cycle-changes"]
+    again = intents.analysis_prompt(nodes, edges, tr, asked, cycle_changes=tables["cycle-changes"]).collect()
+    assert again == first and len(first) == 1
+    assert len(tables) == 1
