@@ -160,32 +160,33 @@ def resolve(refs: DataFrame, imports: DataFrame, decls: DataFrame, index: DataFr
     A explicit import ending in ``.ref`` that is a project class (first by
     position) -> B same package -> C first wildcard import whose package holds
     the class -> D the simple name is unique in the project.  Unresolved refs
-    are dropped.  Returns ``(project, version, fqcn, ref, target)``.
+    are dropped.  Returns ``(project, version, fqcn, ref, target)``.  All sides grow with the sources, so no step broadcasts
+    one: many at once, each under the broadcast threshold as it lies in a shuffle, would meet in the driver's memory.
     """
     r = refs.select(*G, "fqcn", "package", F.col(ref_col).alias("ref")).distinct()
     classes = decls.select(*G, F.col("fqcn").alias("cand"))
     last_seg = F.substring_index(F.col("import"), ".", -1)
     explicit = (imports.where(F.col("import").contains(".") & ~F.col("import").endswith(".*"))
                 .select(*G, "fqcn", "pos", F.col("import").alias("cand"), last_seg.alias("seg"))
-                .join(classes, [*G, "cand"], "left_semi"))
+                .join(classes.hint("merge"), [*G, "cand"], "left_semi"))
     a = (r.withColumn("seg", F.substring_index("ref", ".", -1))
-         .join(explicit, [*G, "fqcn", "seg"])
+         .join(explicit.hint("merge"), [*G, "fqcn", "seg"])
          .where(F.col("cand").endswith(F.concat(F.lit("."), F.col("ref"))))
          .groupBy(*G, "fqcn", "ref").agg(F.min_by("cand", "pos").alias("t_a")))
     same = F.when(F.col("package") != "", F.concat_ws(".", "package", "ref")).otherwise(F.col("ref"))
-    b = (r.select(*G, "fqcn", "ref", same.alias("cand")).join(classes, [*G, "cand"], "left_semi")
+    b = (r.select(*G, "fqcn", "ref", same.alias("cand")).join(classes.hint("merge"), [*G, "cand"], "left_semi")
          .select(*G, "fqcn", "ref", F.col("cand").alias("t_b")))
     wild = (imports.where(F.col("import").endswith(".*"))
             .select(*G, "fqcn", "pos", F.expr("substring(import, 1, length(import) - 2)").alias("wpkg")))
-    c = (r.join(wild, [*G, "fqcn"]).select(*G, "fqcn", "ref", "pos",
+    c = (r.join(wild.hint("merge"), [*G, "fqcn"]).select(*G, "fqcn", "ref", "pos",
                                           F.concat_ws(".", "wpkg", "ref").alias("cand"))
-         .join(classes, [*G, "cand"], "left_semi")
+         .join(classes.hint("merge"), [*G, "cand"], "left_semi")
          .groupBy(*G, "fqcn", "ref").agg(F.min_by("cand", "pos").alias("t_c")))
     uniq = index.where(F.col("n_cand") == 1) if use_global else index.where(F.lit(False))
-    d = (r.join(uniq.select(*G, F.col("name").alias("ref"), F.col("fqcn").alias("t_d")),
+    d = (r.join(uniq.select(*G, F.col("name").alias("ref"), F.col("fqcn").alias("t_d")).hint("merge"),
                 [*G, "ref"]).select(*G, "fqcn", "ref", "t_d"))
     k = [*G, "fqcn", "ref"]
-    out = (r.select(*k).join(a, k, "left").join(b, k, "left").join(c, k, "left").join(d, k, "left")
+    out = (r.select(*k).join(a.hint("merge"), k, "left").join(b.hint("merge"), k, "left").join(c.hint("merge"), k, "left").join(d.hint("merge"), k, "left")
            .select(*k, F.coalesce("t_a", "t_b", "t_c", "t_d").alias("target")))
     return out.where(F.col("target").isNotNull())
 
@@ -194,17 +195,17 @@ def resolve_qualified(refs: DataFrame, imports: DataFrame, decls: DataFrame, ind
     """EXT-11: ``Outer.Inner`` refs: direct ``Outer.Inner`` name lookup, else resolve
     ``Outer`` (import -> package -> wildcard) and append ``.Inner`` when declared."""
     q = refs.where(F.col("token").contains("."))
-    direct = (q.join(index.where(F.col("n_cand") == 1).select(*G, F.col("name").alias("token"), F.col("fqcn").alias("t")),
+    direct = (q.join(index.where(F.col("n_cand") == 1).select(*G, F.col("name").alias("token"), F.col("fqcn").alias("t")).hint("merge"),
                      [*G, "token"]).select(*G, "fqcn", F.col("token").alias("ref"), F.col("t").alias("target")))
     outer = q.select(*G, "fqcn", "package", F.substring_index("token", ".", 1).alias("outer"),
                      F.expr("substring(token, length(substring_index(token, '.', 1)) + 2)").alias("inner"), "token")
     res = resolve(outer.withColumnRenamed("outer", "o"), imports, decls, index, ref_col="o", use_global=False) \
         .select(*G, "fqcn", F.col("ref").alias("o"), F.col("target").alias("outer_fqcn"))
-    nested = (outer.withColumnRenamed("outer", "o").join(res, [*G, "fqcn", "o"])
+    nested = (outer.withColumnRenamed("outer", "o").join(res.hint("merge"), [*G, "fqcn", "o"])
               .select(*G, "fqcn", F.col("token").alias("ref"),
                       F.concat_ws(".", "outer_fqcn", "inner").alias("target"))
-              .join(decls.select(*G, F.col("fqcn").alias("target")), [*G, "target"], "left_semi"))
-    return direct.unionByName(nested.join(direct.select(*G, "fqcn", "ref"), [*G, "fqcn", "ref"], "left_anti"))
+              .join(decls.select(*G, F.col("fqcn").alias("target")).hint("merge"), [*G, "target"], "left_semi"))
+    return direct.unionByName(nested.join(direct.select(*G, "fqcn", "ref").hint("merge"), [*G, "fqcn", "ref"], "left_anti"))
 
 
 def resolve_parent(decls: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
@@ -287,9 +288,9 @@ def import_edges(imports: DataFrame, decls: DataFrame, edges: DataFrame) -> Data
     """EXT-14: an import of another project class not already linked from the class."""
     classes = decls.select(*G, F.col("fqcn").alias("target"))
     e = (imports.select(*G, "fqcn", F.col("import").alias("target"))
-         .join(classes, [*G, "target"], "left_semi").where(F.col("fqcn") != F.col("target")).distinct())
+         .join(classes.hint("merge"), [*G, "target"], "left_semi").where(F.col("fqcn") != F.col("target")).distinct())
     linked = edges.select(*G, F.col("source").alias("fqcn"), "target")
-    return e.join(linked, [*G, "fqcn", "target"], "left_anti").select(
+    return e.join(linked.hint("merge"), [*G, "fqcn", "target"], "left_anti").select(
         *G, F.col("fqcn").alias("source"), "target", F.lit("imports").alias("type"))
 
 
@@ -383,9 +384,9 @@ def scoped_refs(files: DataFrame, decls: DataFrame) -> DataFrame:
         return F.flatten(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.transform(
             F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.size(c) - i + 1)), lambda n: F.array_join(F.slice(c, i, n), "."))))
     tokens = code.select(*G, "path", F.explode(F.array_distinct(F.concat(words, F.flatten(F.transform(chains, runs))))).alias("token"))
-    tokens = tokens.join(names, [*G, "token"], "left_semi")
+    tokens = tokens.join(names.hint("merge"), [*G, "token"], "left_semi")
     own = decls.where(F.col("qualified") == F.col("name")).select(*G, "fqcn", "name", "package", "path")
-    return own.join(tokens, [*G, "path"]).where(F.col("token") != F.col("name")).drop("name", "path")
+    return own.join(tokens.hint("merge"), [*G, "path"]).where(F.col("token") != F.col("name")).drop("name", "path")
 
 
 def scoped_index(decls: DataFrame) -> DataFrame:
@@ -401,24 +402,24 @@ def resolve_scoped(refs: DataFrame, imports: DataFrame, decls: DataFrame) -> Dat
     ones that leave open through :func:`resolve_qualified`. What several types share is looked up from the inside: in the
     referring type's own scopes, where the one nearest to the outermost type wins.
     """
-    index = scoped_index(decls)
+    index = cut_lineage(scoped_index(decls), "scoped-index")
     k = [*G, "fqcn", "ref"]
     refs = cut_lineage(refs.select(*G, "fqcn", "package", "token").distinct(), "scoped-refs")
     found = cut_lineage(resolve(refs, imports, decls, index), "scoped-found")
-    open_ = refs.join(found.withColumnRenamed("ref", "token"), [*G, "fqcn", "token"], "left_anti")
+    open_ = refs.join(found.withColumnRenamed("ref", "token").hint("merge"), [*G, "fqcn", "token"], "left_anti")
     dotted = resolve_qualified(open_, imports, decls, index)
     # a nested type below the referring one whose dotted name ends with the reference; the shortest is the closest
     below = decls.select(*G, "path", F.col("fqcn").alias("target"), "qualified")
     inner = below.select(*G, "target", F.col("qualified"), F.substring_index("qualified", ".", -1).alias("last"),
                          F.substring_index("qualified", ".", 1).alias("head"), "path")
     own = decls.where(F.col("qualified") == F.col("name")).select(*G, "fqcn", "path", F.col("name").alias("head"))
-    near = (open_.withColumn("last", F.substring_index("token", ".", -1)).join(own, [*G, "fqcn"])
-            .join(inner, [*G, "path", "head", "last"])
+    near = (open_.withColumn("last", F.substring_index("token", ".", -1)).join(own.hint("merge"), [*G, "fqcn"])
+            .join(inner.hint("merge"), [*G, "path", "head", "last"])
             .where(F.endswith(F.col("qualified"), F.concat(F.lit("."), F.col("token"))))
             .groupBy(*G, "fqcn", F.col("token").alias("ref"))
             .agg(F.min_by("target", F.struct(F.size(F.split("qualified", r"\.")).alias("n"), F.col("qualified"))).alias("target")))
     both = found.unionByName(dotted)
-    return both.unionByName(near.join(dotted.select(*k), k, "left_anti"))
+    return both.unionByName(near.join(dotted.select(*k).hint("merge"), k, "left_anti"))
 
 
 def build_graph(files: DataFrame, scopes: bool = False, max_depth: int | None = 1) -> dict[str, DataFrame]:
@@ -435,7 +436,7 @@ def build_graph(files: DataFrame, scopes: bool = False, max_depth: int | None =
     if scopes:
         table = cut_lineage(scope_table(files), "scopes")
         decls = cut_lineage(scoped_declarations(files, table, max_depth))
-        imports = _imports_of(files, decls)
+        imports = cut_lineage(_imports_of(files, decls), "imports")
         resolved = resolve_scoped(scoped_refs(files, decls), imports, decls)
     else:
         decls = cut_lineage(declarations(files))

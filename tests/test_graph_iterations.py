@@ -238,3 +238,19 @@ def test_prompt_searches_cycles_once(spark, monkeypatch):
     again = intents.analysis_prompt(nodes, edges, tr, asked, cycle_changes=tables["cycle-changes"]).collect()
     assert again == first and len(first) == 1
     assert len(tables) == 1
+
+
+def test_resolution_broadcasts_nothing(spark):
+    """Sides that grow with the sources stay out of the driver, however small they lie in a shuffle."""
+    files = spark.createDataFrame(
+        [("p", "v1", f"src/a/C{i}.java", f"package a;\nimport a.C{i + 1};\nclass C{i} {{\n  C{i + 1} next;\n  C{i + 1}.In other;\n"
+          "  static class In { }\n}\n") for i in range(20)], "project string, version string, path string, content string")
+    decls = extract.scoped_declarations(files, extract.scope_table(files))
+    found = extract.resolve_scoped(extract.scoped_refs(files, decls), extract._imports_of(files, decls), decls)
+    calls = {(r.fqcn, r.target) for r in found.collect()}
+    assert {("a.C0", "a.C1"), ("a.C0", "a.C1.In")} <= calls
+    refs = spark.createDataFrame([("p", "v1", "a.C0", "a", "C1")], "project string, version string, fqcn string, package string, token string")
+    flat = decls.select("project", "version", "fqcn", "name", "package", "path")
+    out = extract.resolve(refs, extract._imports_of(files, flat), flat, extract.declared_index(flat))
+    plan = out.select("target")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") >= 8
