@@ -254,3 +254,31 @@ def test_resolution_broadcasts_nothing(spark):
     out = extract.resolve(refs, extract._imports_of(files, flat), flat, extract.declared_index(flat))
     plan = out.select("target")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=merge)") >= 8
+
+
+def test_counts_and_changes_share_one_listing(spark, monkeypatch):
+    """STA-03 lists the cycles of all versions once: counts and changes read that listing."""
+    import random
+    from evograph.operators import stats
+    rnd = random.Random(5)
+    rows = [("P", v, n, rnd.randrange(30), rnd.randrange(30), "calls") for v in ("v1", "v2") for n in range(90)]
+    edges = spark.createDataFrame(rows, "project string, version string, ord bigint, source bigint, target bigint, type string")
+    ids = [("P", v, i, i, f"N{i}", "class", f"{i}.java", i, i % 7, i % 10, i % 5) for v in ("v1", "v2") for i in range(30)]
+    nodes = spark.createDataFrame(ids, "project string, version string, ord bigint, id bigint, name string, type string, "
+                                       "file_path string, loc bigint, complexity bigint, coupling bigint, inheritance_depth bigint")
+    tr = spark.createDataFrame([("P", "v1", "v2")], "project string, v_old string, v_new string")
+    # the same changes from changed edges, from a listing of both versions, and by brute force
+    want = {}
+    for v in ("v1", "v2"):
+        want[v] = brute_cycles({(r[3], r[4]) for r in rows if r[1] == v}, 5)
+    want = ({("new", c) for c in want["v2"] - want["v1"]} | {("broken", c) for c in want["v1"] - want["v2"]})
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(cycles, "MANY_CHANGES", share)
+        got = [(r.change, tuple(r.cycle)) for r in cycles.cycle_changes(edges, tr).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    calls, search = [], cycles._reached_back
+    monkeypatch.setattr(cycles, "_reached_back", lambda *a, **k: calls.append(1) or search(*a, **k))
+    row = stats.evolution_comparison_fast(nodes, edges, tr).first()
+    assert (row.new_cycles, row.broken_cycles) == (sum(c == "new" for c, _ in want), sum(c == "broken" for c, _ in want))
+    # one search for all: none from changed edges beside the listing
+    assert len(calls) == 1
