@@ -236,3 +236,13 @@ def test_unchanged_graphs_are_not_read_again(spark):
     assert rows_of(out, *cols) == rows_of(evolution.evolution_analysis(nodes, more, tr), *cols)
     # other intents are another analysis
     assert evolution.intents_key(["avoid cyclic dependencies"]) != evolution.intents_key()
+
+
+def test_graph_documents_group_once(spark):
+    """Documents are built from one grouping of the order lines (besides the join of lines and orders)."""
+    from evograph import fixtures as fx
+    docs = fx.graph_documents(spark, "/root/testdata/sf0.001")
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+    for d in docs.limit(50).collect():
+        ends = {x for e in d.edges for x in (e.source, e.target)}
+        assert [n.id for n in d.nodes] == sorted(ends, key=int) and len(d.edges) == len({(e.source, e.target) for e in d.edges})
